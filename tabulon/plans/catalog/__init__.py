@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["forecast"]
+MODULES = ["forecast", "profile"]
 
 
 def _collect():
