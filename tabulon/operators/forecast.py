@@ -58,7 +58,7 @@ def monthly(df: DataFrame, date_col: str, value_col: str, by: Sequence[str] = ()
     not appear (parity: the series is compressed, not zero-filled).
     """
     value = col(value_col).cast("double") if is_numeric(df.schema[value_col].dataType) \
-        else F.try_cast(col(value_col), "double")
+        else (col(value_col)).try_cast("double")
     base = df.select(*[col(b) for b in by], _as_timestamp(df, date_col).alias("_ts"), value.alias("_v"))
     base = base.where(F.col("_ts").isNotNull() & F.col("_v").isNotNull() & ~F.isnan("_v"))
     return base.groupBy(*by, F.last_day("_ts").alias("month_end")).agg(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["forecast", "profile"]
+MODULES = ["forecast", "profile", "clean"]
 
 
 def _collect():
