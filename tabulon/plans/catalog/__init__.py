@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["forecast", "profile", "clean"]
+MODULES = ["forecast", "profile", "clean", "target_sample", "reasoning"]
 
 
 def _collect():
