@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["forecast", "profile", "clean", "target_sample", "reasoning", "text", "model"]
+MODULES = ["forecast", "profile", "clean", "target_sample", "reasoning", "text", "model", "misc"]
 
 
 def _collect():
