@@ -65,18 +65,26 @@ def _small(counts: DataFrame, limit: int) -> bool:
     return counts.limit(limit + 1).count() <= limit
 
 
+def _few_distinct(long_df: DataFrame, limit: int) -> bool:
+    """Size check for the in-memory path: an HLL estimate of the distinct
+    (column, value) pairs, computed in one map-side-combined pass with no
+    shuffle of the values.  Choosing the path never changes the result."""
+    est = long_df.agg(F.approx_count_distinct(F.struct("column_name", "value"), 0.05)).first()[0] or 0
+    return est * 1.2 <= limit
+
+
 def exact_quantiles(long_df: DataFrame, probs: Sequence[float],
                     in_memory_limit: int = IN_MEMORY_LIMIT) -> DataFrame:
     """Linear-interpolated quantiles (``quantile_cont``) per column_name.
 
     Output: column_name, prob, quantile.
     """
-    counts = value_counts_long(long_df)
-    if _small(counts, in_memory_limit):
+    if _few_distinct(long_df, in_memory_limit):
         arr = F.array(*[F.lit(float(p)) for p in probs])
         q = long_df.groupBy("column_name").agg(F.percentile("value", arr).alias("_q"))
         return q.select("column_name", F.posexplode("_q").alias("_i", "quantile")).select(
             "column_name", F.element_at(arr, F.col("_i") + 1).alias("prob"), "quantile")
+    counts = value_counts_long(long_df)
     cum = running_total(counts)
     totals = counts.groupBy("column_name").agg(F.sum("n").alias("_total"))
     targets = totals.select("column_name", "_total", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
@@ -109,7 +117,7 @@ def dense_codes(long_df: DataFrame, in_memory_limit: int = IN_MEMORY_LIMIT) -> D
     Output: column_name, value, code.
     """
     distinct = long_df.groupBy("column_name", "value").agg(F.lit(1).alias("n"))
-    if _small(distinct, in_memory_limit):
+    if _few_distinct(long_df, in_memory_limit):
         w = Window.partitionBy("column_name").orderBy("value")
         return distinct.select("column_name", "value", (F.row_number().over(w) - 1).alias("code"))
     cum = running_total(distinct)

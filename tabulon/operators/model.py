@@ -98,7 +98,7 @@ def tree_rules(model: PipelineModel, features: Sequence[str], digits: int = 4) -
     nodes = tree_nodes(model)
     labels = class_labels(model)
     names = F.array(*[F.lit(f) for f in features])
-    thr = F.format_string(f"%.{digits}f", F.col("split.leftCategoriesOrThreshold")[0])
+    thr = F.format_string(f"%.{digits}f", F.get(F.col("split.leftCategoriesOrThreshold"), 0))
     fname = F.element_at(names, F.col("split.featureIndex") + 1)
     n = nodes.select("id", "leftChild", "rightChild", fname.alias("fname"), thr.alias("thr"),
                      "impurityStats", "rawCount")

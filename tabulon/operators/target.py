@@ -87,8 +87,7 @@ def ensure_target(df: DataFrame, target: str) -> DataFrame:
             x = F.col("text_signal").cast("double")
     med = _median(out, x)
     filled = F.coalesce(F.nanvl(x, F.lit(None).cast("double")), F.lit(med).cast("double"))
-    nd = out.agg(F.countDistinct(filled)).first()[0]
-    if nd < 3:
+    if _fewer_than_three(out, filled):
         label = F.when(filled >= F.lit(med), F.lit("high")).otherwise(F.lit("low"))
     else:
         q = exact_quantiles(long_values(out.select(filled.alias("_x")), ["_x"]), [0.33, 0.5, 0.67]).collect()
@@ -97,19 +96,29 @@ def ensure_target(df: DataFrame, target: str) -> DataFrame:
     return out.withColumn(target, label)
 
 
+def _fewer_than_three(df: DataFrame, x: Column) -> bool:
+    """True when ``x`` has fewer than 3 distinct non-null values, from two
+    shuffle-free scans (min/max, then values strictly inside)."""
+    lo, hi = df.agg(F.min(x), F.max(x)).first()
+    if lo is None or lo == hi:
+        return True
+    return df.agg(F.count_if((x > F.lit(lo)) & (x < F.lit(hi)))).first()[0] == 0
+
+
 def tier(df: DataFrame, column: str, out_col: str | None = None, fill_median: bool = True) -> DataFrame:
-    """T-02/T-03 on one numeric column: low/medium/high at q0.33/q0.67."""
-    x = col(column).cast("double")
+    """T-02/T-03 on one numeric column: low/medium/high at q0.33/q0.67, or
+    low/high at the median for fewer than three distinct values or equal cut
+    points (nulls first filled with the median when ``fill_median``)."""
+    raw = F.nanvl(col(column).cast("double"), F.lit(None).cast("double"))
     out_col = out_col or f"{column}_tier"
-    med = None
+    x = raw
     if fill_median:
-        q = exact_quantiles(long_values(df, [column]), [0.5]).first()
-        med = q["quantile"] if q else None
-        x = F.coalesce(F.nanvl(x, F.lit(None).cast("double")), F.lit(med).cast("double"))
-    nd = df.agg(F.countDistinct(x)).first()[0]
+        n, nn = df.agg(F.count(F.lit(1)), F.count(raw)).first()
+        if nn < n:
+            x = F.coalesce(raw, F.lit(_median(df, raw)).cast("double"))
     q = exact_quantiles(long_values(df.select(x.alias("_x")), ["_x"]), [0.33, 0.5, 0.67]).collect()
     qs = {r["prob"]: r["quantile"] for r in q}
-    if nd < 3:
+    if _fewer_than_three(df, x):
         return df.withColumn(out_col, F.when(x >= F.lit(qs.get(0.5)), F.lit("high")).otherwise(F.lit("low")))
     return df.withColumn(out_col, tier_expr(x, qs.get(0.33), qs.get(0.67), qs.get(0.5)))
 

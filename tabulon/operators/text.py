@@ -133,11 +133,15 @@ def tfidf_index(docs: DataFrame, id_col: str, text_col: str, max_terms: int = 40
     (corpus count desc, term asc), idf = ln((1 + n) / (1 + df)) + 1.
     """
     occ = terms(docs, id_col, text_col, ngram)
-    tf = occ.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
-    n_docs = docs.count()
+    # the (document, term) counts feed both the vocabulary and the postings:
+    # materialise them once in the shared checkpoint folder
+    tf = occ.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")).checkpoint(eager=True)
+    n_docs = docs.select(col(id_col)).count()
     stats = tf.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
-    vocab = (stats.orderBy(F.desc("cf"), "term").limit(max_terms)
-             .select("term", "df", (F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1).alias("idf")))
+    top = (stats.orderBy(F.desc("cf"), "term").limit(max_terms)
+           .select("term", "df", (F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1).alias("idf")))
+    # the vocabulary is a top-k: at most max_terms rows reach the driver
+    vocab = docs.sparkSession.createDataFrame(top.collect(), "term string, df long, idf double")
     raw = tf.join(F.broadcast(vocab.select("term", "idf")), "term").withColumn("_w", F.col("tf") * F.col("idf"))
     w = Window.partitionBy(id_col)  # one document's postings: at most max_terms rows
     postings = raw.withColumn("weight", F.col("_w") / F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(w))) \

@@ -25,7 +25,7 @@ from tabulon.sources import artifacts as art
 QUERIES = {}
 SQL = {}
 
-KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 _STATE = {}
 
@@ -81,6 +81,26 @@ def m05_permutation_importance(spark, sf_dir):
 QUERIES["m05_permutation_importance"] = m05_permutation_importance
 
 
+def m06_shap_importance(spark, sf_dir):
+    from tabulon.operators.shap import shap_importance
+    s = state(spark, sf_dir)
+    train = s.data.where(F.col("split") == "train")
+    return shap_importance(s.forest, train, s.features, KEYS, max_rows=300)
+
+
+QUERIES["m06_shap_importance"] = m06_shap_importance
+
+
+def m13_drivers_from_model(spark, sf_dir):
+    """SHAP when present, else permutation importance (both from the trained forest)."""
+    s = state(spark, sf_dir)
+    imp = s.importances.join(m06_shap_importance(spark, sf_dir).select("feature", "shap"), "feature", "left")
+    return md.driver_ranking(imp, top=8)
+
+
+QUERIES["m13_drivers_from_model"] = m13_drivers_from_model
+
+
 def m07_tree_rules(spark, sf_dir):
     return state(spark, sf_dir).rules
 
@@ -206,7 +226,8 @@ def m10_train_test_gap(spark, sf_dir):
 QUERIES["m10_train_test_gap"] = m10_train_test_gap
 SQL["m10_train_test_gap"] = "WITH " + _FIXED_SQL.strip() + """,
 h AS (SELECT *, md5(concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR),
-                               CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR))) AS hk FROM s),
+                               CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR),
+                               CAST(l_shipdate AS VARCHAR))) AS hk FROM s),
 sp AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY actual_tier ORDER BY hk)
                            <= floor(count(*) OVER (PARTITION BY actual_tier) * 0.2 + 0.5) THEN 'test' ELSE 'train' END
                    AS split FROM h),

@@ -9,7 +9,7 @@ from tabulon.operators import target as tg
 from conftest import SF_SMALL
 
 FEATS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
 
 
 def _data(spark):
@@ -57,3 +57,24 @@ def test_report_sums(spark):
     rep = {r["class"]: r for r in md.classification_report(md.confusion(df, "y", "p")).collect()}
     assert rep["a"]["precision"] == 1.0 and rep["a"]["recall"] == 0.5
     assert abs(rep["b"]["precision"] - 2 / 3) < 1e-12 and rep["weighted avg"]["support"] == 4
+
+
+def test_tree_shap_additivity(spark):
+    import numpy as np
+    import pandas as pd
+
+    from tabulon.operators import shap as sh
+
+    data = _data(spark).withColumn("rk", F.concat_ws("|", *[F.col(k).cast("string") for k in KEYS]))
+    forest = md.train_forest(data, "tier", FEATS, n_trees=3, max_depth=4)
+    sample = data.orderBy("rk").limit(25)
+    sv = sh.shap_values(forest, sample, FEATS, "rk").toPandas()
+    nodes = sh.forest_nodes(forest).toPandas()
+    base = np.mean([sh.expected_value(*[a for i, a in enumerate(sh._tree_arrays(g)) if i in (0, 4, 5)])
+                    for _, g in nodes.groupby("treeID")], axis=0)
+    scored = md.predict(forest, sample, "tier", FEATS).select("rk", "probability").toPandas()
+    for _, r in scored.iterrows():
+        rows = sv[sv["rk"] == r["rk"]]
+        for c in range(3):
+            total = rows[rows["class_index"] == c]["shap"].sum() + base[c]
+            assert abs(total - r["probability"][c]) < 1e-9

@@ -23,7 +23,7 @@ def test_folds_balanced(spark):
     f = sp.stratified_folds(o, "o_orderpriority", ["o_orderkey"])
     k = f.agg(F.max("fold")).first()[0] + 1
     assert k == 5
-    sizes = [r[1] for r in f.groupBy("o_orderpriority", "fold").count().collect()]
+    sizes = [r["count"] for r in f.groupBy("o_orderpriority", "fold").count().collect()]
     per_class = f.groupBy("o_orderpriority", "fold").count().groupBy("o_orderpriority") \
         .agg((F.max("count") - F.min("count")).alias("spread")).collect()
     assert all(r["spread"] <= 1 for r in per_class) and sum(sizes) == o.count()
