@@ -111,13 +111,14 @@ def modes(long_df: DataFrame) -> DataFrame:
                            salt_on=["value"])
 
 
-def dense_codes(long_df: DataFrame, in_memory_limit: int = IN_MEMORY_LIMIT) -> DataFrame:
-    """0-based code of every distinct value per column_name in sorted order.
+def dense_codes(long_df: DataFrame, in_memory_limit: int = IN_MEMORY_LIMIT, small: bool | None = None) -> DataFrame:
+    """0-based code of every distinct value per column_name in sorted order
+    (``small``: the caller's size decision, else an HLL check here).
 
     Output: column_name, value, code.
     """
     distinct = long_df.groupBy("column_name", "value").agg(F.lit(1).alias("n"))
-    if _few_distinct(long_df, in_memory_limit):
+    if small if small is not None else _few_distinct(long_df, in_memory_limit):
         w = Window.partitionBy("column_name").orderBy("value")
         return distinct.select("column_name", "value", (F.row_number().over(w) - 1).alias("code"))
     cum = running_total(distinct)

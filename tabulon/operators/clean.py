@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from tabulon.functions.columns import col, is_datetime, is_numeric, is_string, quote
 from tabulon.functions.dates import parse_timestamp
-from tabulon.functions.ordering import dense_codes, exact_quantiles, is_small, long_values, modes
+from tabulon.functions.ordering import _few_distinct, dense_codes, exact_quantiles, long_values, modes
 
 # Text cells treated as missing after trimming (C-06), as listed
 # by the reference (29 entries, 28 distinct once trimmed).
@@ -157,6 +157,47 @@ def column_stats(df: DataFrame, date_candidates: Sequence[str] = ()) -> dict[str
     return stats
 
 
+def pipeline_stats(df: DataFrame, date_candidates: Sequence[str] = (), ratio: float = 0.9,
+                   margin: float = 0.05) -> dict[str, dict[str, int]]:
+    """Inputs of C-09..C-12a without an exact distinct count per column.
+
+    Constant columns are found with min/max (no distinct count needed);
+    text columns get an HLL distinct estimate, recounted exactly only when
+    the estimate lies within ``margin`` of the ID-like ``ratio``, so the
+    decisions equal those of exact counts.
+    """
+    fields = df.schema.fields
+    texts = [f.name for f in fields if is_string(f.dataType)]
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    for i, f in enumerate(fields):
+        c = col(f.name)
+        aggs += [F.count(c).alias(f"nn{i}"), F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}")]
+    for i, c in enumerate(texts):
+        aggs.append(F.approx_count_distinct(col(c), 0.01).alias(f"ad{i}"))
+    for i, c in enumerate(date_candidates):
+        aggs.append(F.count(parse_timestamp(col(c))).alias(f"dp{i}"))
+    row = df.agg(*aggs).first()
+    n = row["_n"]
+    stats = {}
+    for i, f in enumerate(fields):
+        nn = row[f"nn{i}"]
+        same = nn == 0 or row[f"lo{i}"] == row[f"hi{i}"]
+        stats[f.name] = {"n": n, "non_null": nn, "distinct": 0 if nn == 0 else (1 if same else 2)}
+    near = []
+    for i, c in enumerate(texts):
+        est = row[f"ad{i}"]
+        stats[c]["distinct"] = max(stats[c]["distinct"], est) if stats[c]["distinct"] > 1 else stats[c]["distinct"]
+        if stats[c]["distinct"] > 1 and abs(est / max(n, 1) - ratio) <= margin:
+            near.append(c)
+    if near:
+        exact = df.agg(*[F.countDistinct(col(c)).alias(f"x{i}") for i, c in enumerate(near)]).first()
+        for i, c in enumerate(near):
+            stats[c]["distinct"] = exact[f"x{i}"]
+    for i, c in enumerate(date_candidates):
+        stats[c]["parsed"] = row[f"dp{i}"]
+    return stats
+
+
 def sparse_columns(stats: dict, max_missing: float = 0.6) -> list[str]:
     """C-09 decision: keep a column only with >= int(n - 0.6 n) non-null cells."""
     out = []
@@ -318,8 +359,9 @@ def encode_categories(df: DataFrame, target: str | None = None, columns: Sequenc
                 [f.name for f in df.schema.fields if is_string(f.dataType) and f.name != target])
     if not cols:
         return df
-    codes = dense_codes(long_values(df, cols, as_type="string"))
-    small = is_small(codes, broadcast_limit)
+    long = long_values(df, cols, as_type="string")
+    small = _few_distinct(long, broadcast_limit)
+    codes = dense_codes(long, small=small)
     out = df
     for i, c in enumerate(cols):
         m = codes.where(F.col("column_name") == c).select(F.col("value").alias(f"_v{i}"), F.col("code").alias(f"_c{i}"))
@@ -361,7 +403,7 @@ def clean(df: DataFrame, target: str = "sales_category", return_report: bool = F
     df = bool_to_int(df)
     # job 2: sparse / id-like / constant columns and text dates
     dates = date_text_candidates(df)
-    stats = column_stats(df, dates)
+    stats = pipeline_stats(df, dates)
     sparse = sparse_columns(stats)
     remaining = df.select(*[col(c) for c in df.columns if c not in sparse])
     idlike = id_like_columns(remaining, stats)
@@ -374,10 +416,20 @@ def clean(df: DataFrame, target: str = "sales_category", return_report: bool = F
     df = expand_dates(df, text_dates)
     # job 3: derived target
     df = add_default_target(df, target)
-    # job 4: medians and modes of the columns that still have holes
+    # job 4: medians and modes of the columns that still have holes; null
+    # counts come from job 2 (date parts inherit the parse counts)
     n = stats[next(iter(stats))]["n"] if stats else df.count()
-    nn = non_null_counts(df)
-    null_counts = {c: n - nn[c] for c in df.columns}
+    null_counts = {c: n - s["non_null"] for c, s in stats.items()}
+    for c in text_dates:
+        for part in ("_year", "_month", "_dow"):
+            null_counts[c + part] = n - stats[c]["parsed"]
+    for c in report["expanded_dates"][len(text_dates):]:
+        for part in ("_year", "_month", "_dow"):
+            null_counts[c + part] = n - stats[c]["non_null"]
+    missing_counts = [c for c in df.columns if c not in null_counts]
+    if missing_counts:  # a derived target
+        nn = non_null_counts(df, missing_counts)
+        null_counts.update({c: n - nn[c] for c in missing_counts})
     df = fill_numeric_median(df, [f.name for f in df.schema.fields if is_numeric(f.dataType)], null_counts)
     df = fill_text_mode(df, [f.name for f in df.schema.fields if is_string(f.dataType)], null_counts)
     df = encode_categories(df, target)

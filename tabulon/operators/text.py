@@ -132,7 +132,11 @@ def tfidf_index(docs: DataFrame, id_col: str, text_col: str, max_terms: int = 40
     vocabulary: term, df, idf       — the ``max_terms`` most frequent terms
     (corpus count desc, term asc), idf = ln((1 + n) / (1 + df)) + 1.
     """
-    occ = terms(docs, id_col, text_col, ngram)
+    # hash-partition the documents once: the (document, term) count and the
+    # per-document norm then need no further shuffle, and the shuffle moves
+    # the raw text rather than the (larger) exploded terms
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    occ = terms(docs.repartition(parts, col(id_col)), id_col, text_col, ngram)
     # the (document, term) counts feed both the vocabulary and the postings:
     # materialise them once in the shared checkpoint folder
     tf = occ.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")).checkpoint(eager=True)

@@ -79,10 +79,10 @@ def train_agent(df: DataFrame, keys: Sequence[str], target_request: str | None =
 
 
 def _clean_with_keys(df: DataFrame, keys: Sequence[str], target: str) -> DataFrame:
-    """Clean the table; numeric row keys pass through unchanged and are kept
-    out of the feature list by the caller."""
-    cleaned = cl.clean(df, target=target)
-    missing = [k for k in keys if k not in cleaned.columns]
-    if missing:
-        raise ValueError(f"cleaning removed key columns {missing}; pass keys that are numeric or low-cardinality")
-    return cleaned
+    """Clean the table while the row keys ride along untouched: they are
+    packed into one struct column, which no cleaning pass rewrites (passes act
+    on text, numeric and datetime columns), and unpacked afterwards."""
+    packed = df.select(F.struct(*[F.col(k) for k in keys]).alias("_row_keys"),
+                       *[F.col(f"`{c}`") for c in df.columns if c not in keys])
+    cleaned = cl.clean(packed, target=target)
+    return cleaned.select("_row_keys.*", *[F.col(f"`{c}`") for c in cleaned.columns if c != "_row_keys"])
