@@ -12,6 +12,15 @@ NUMERIC_TYPES = (
 )
 
 
+# Characters Python's str.strip() and the reference's ``\s`` remove: built by rule.
+WHITESPACE = "".join(chr(i) for i in range(0x110000) if chr(i).isspace())
+
+
+def strip_ws(c: Column) -> Column:
+    """Python-style strip (all Unicode whitespace) without a regular expression."""
+    return F.btrim(c, F.lit(WHITESPACE))
+
+
 def quote(name: str) -> str:
     """Backtick a column name so dots, spaces and colons survive parsing."""
     return "`" + name.replace("`", "``") + "`"

@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.functions.columns import col, is_datetime, is_numeric, is_string, quote
+from tabulon.functions.columns import WHITESPACE, col, is_datetime, is_numeric, is_string, quote, strip_ws
 from tabulon.functions.dates import parse_timestamp
-from tabulon.functions.ordering import _few_distinct, dense_codes, exact_quantiles, long_values, modes
+from tabulon.functions.ordering import IN_MEMORY_LIMIT, _few_distinct, dense_codes, exact_quantiles, long_values, modes
 
 # Text cells treated as missing after trimming (C-06), as listed
 # by the reference (29 entries, 28 distinct once trimmed).
@@ -29,9 +29,12 @@ NA_MARKERS = [
 ]
 
 # Characters removed before numeric parsing (C-07): currency
-# signs, thousands separator, whitespace and percent; then every ASCII letter.
-UNIT_STRIP_PATTERN = r"(?U)[$£€¥₹,\s%]"
-ALPHA_PATTERN = r"[A-Za-z]+"
+# signs, thousands separator and percent, plus all whitespace and every ASCII
+# letter (the letters and whitespace are generated below).
+UNIT_CHARS = "$£€¥₹,%"
+ASCII_LETTERS = "".join(chr(c) for c in range(ord("A"), ord("Z") + 1)) + "".join(
+    chr(c) for c in range(ord("a"), ord("z") + 1))
+NUMERIC_DROP_CHARS = UNIT_CHARS + WHITESPACE + ASCII_LETTERS
 
 # Default target base columns, in priority order (C-13).
 TARGET_BASE_NAMES = ["net_sales", "sales", "revenue", "amount"]
@@ -40,7 +43,7 @@ BROADCAST_CODES_LIMIT = 1_000_000
 
 
 def _strip_ws(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return strip_ws(c)
 
 
 # --- column-name hygiene (metadata only) -------------------------------------
@@ -104,9 +107,11 @@ def normalize_missing(df: DataFrame) -> DataFrame:
 
 
 def numeric_text_expr(c: Column) -> Column:
-    """Text -> number after dropping currency/percent/space, then ASCII letters."""
-    stripped = _strip_ws(F.regexp_replace(F.regexp_replace(c, UNIT_STRIP_PATTERN, ""), ALPHA_PATTERN, ""))
-    return (stripped).try_cast("double")
+    """Text -> number after deleting currency/percent signs, separators,
+    whitespace and ASCII letters (one ``translate``, no regular expression)."""
+    s = F.translate(c, NUMERIC_DROP_CHARS, "")
+    # empty results are the common non-numeric case; skip the cast's slow failure path
+    return F.when(F.length(s) > 0, s.try_cast("double"))
 
 
 def numeric_text_candidates(df: DataFrame, target: str | None = None, min_values: int = 5,
@@ -158,7 +163,7 @@ def column_stats(df: DataFrame, date_candidates: Sequence[str] = ()) -> dict[str
 
 
 def pipeline_stats(df: DataFrame, date_candidates: Sequence[str] = (), ratio: float = 0.9,
-                   margin: float = 0.05) -> dict[str, dict[str, int]]:
+                   margin: float = 0.2, estimate: Sequence[str] = ()) -> dict[str, dict[str, int]]:
     """Inputs of C-09..C-12a without an exact distinct count per column.
 
     Constant columns are found with min/max (no distinct count needed);
@@ -173,7 +178,10 @@ def pipeline_stats(df: DataFrame, date_candidates: Sequence[str] = (), ratio: fl
         c = col(f.name)
         aggs += [F.count(c).alias(f"nn{i}"), F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}")]
     for i, c in enumerate(texts):
-        aggs.append(F.approx_count_distinct(col(c), 0.01).alias(f"ad{i}"))
+        aggs.append(F.approx_count_distinct(col(c)).alias(f"ad{i}"))  # rsd 5 %: margin 0.2 is > 4 sigma
+    extra = [c for c in estimate if c not in texts]
+    for i, c in enumerate(extra):
+        aggs.append(F.approx_count_distinct(col(c)).alias(f"ae{i}"))
     for i, c in enumerate(date_candidates):
         aggs.append(F.count(parse_timestamp(col(c))).alias(f"dp{i}"))
     row = df.agg(*aggs).first()
@@ -183,9 +191,12 @@ def pipeline_stats(df: DataFrame, date_candidates: Sequence[str] = (), ratio: fl
         nn = row[f"nn{i}"]
         same = nn == 0 or row[f"lo{i}"] == row[f"hi{i}"]
         stats[f.name] = {"n": n, "non_null": nn, "distinct": 0 if nn == 0 else (1 if same else 2)}
+    for i, c in enumerate(extra):
+        stats[c]["approx"] = row[f"ae{i}"]
     near = []
     for i, c in enumerate(texts):
         est = row[f"ad{i}"]
+        stats[c]["approx"] = est
         stats[c]["distinct"] = max(stats[c]["distinct"], est) if stats[c]["distinct"] > 1 else stats[c]["distinct"]
         if stats[c]["distinct"] > 1 and abs(est / max(n, 1) - ratio) <= margin:
             near.append(c)
@@ -401,9 +412,12 @@ def clean(df: DataFrame, target: str = "sales_category", return_report: bool = F
     df = normalize_missing(df)
     df = coerce_numeric_text(df, target, numeric_text)
     df = bool_to_int(df)
-    # job 2: sparse / id-like / constant columns and text dates
+    # job 2: sparse / id-like / constant columns, text dates, and HLL size
+    # estimates of the numeric columns that have holes
     dates = date_text_candidates(df)
-    stats = pipeline_stats(df, dates)
+    holes = [f.name for i, f in enumerate(fields) if f.name not in empty and is_numeric(f.dataType)]
+    holes += numeric_text
+    stats = pipeline_stats(df, dates, estimate=holes)
     sparse = sparse_columns(stats)
     remaining = df.select(*[col(c) for c in df.columns if c not in sparse])
     idlike = id_like_columns(remaining, stats)
@@ -430,14 +444,68 @@ def clean(df: DataFrame, target: str = "sales_category", return_report: bool = F
     if missing_counts:  # a derived target
         nn = non_null_counts(df, missing_counts)
         null_counts.update({c: n - nn[c] for c in missing_counts})
-    df = fill_numeric_median(df, [f.name for f in df.schema.fields if is_numeric(f.dataType)], null_counts)
-    df = fill_text_mode(df, [f.name for f in df.schema.fields if is_string(f.dataType)], null_counts)
-    df = encode_categories(df, target)
+    df = _fill_and_encode(df, target, null_counts, stats)
     if return_report:
         return df, report
     return df
 
 
+CODE_LITERAL_LIMIT = 10_000
+
+
+def _fill_and_encode(df: DataFrame, target: str, null_counts: dict[str, int], stats: dict) -> DataFrame:
+    """C-14..C-16 with one statistics job for every column whose HLL estimate
+    is small: medians (``percentile``), modes (``mode``, smallest on ties) and
+    the sorted value sets for codes (``collect_set``) are computed together,
+    and codes become a literal-map projection (no join).  Columns estimated
+    large go through the distributed quantile / mode / code paths instead."""
+    def est(c):
+        return stats.get(c, {}).get("approx", 0)  # date parts and derived targets: small by construction
+
+    nums = [f.name for f in df.schema.fields if is_numeric(f.dataType) and null_counts.get(f.name, 0) > 0]
+    texts = [f.name for f in df.schema.fields if is_string(f.dataType)]
+    text_holes = [c for c in texts if null_counts.get(c, 0) > 0]
+    codes = [c for c in texts if c != target]
+    big_num = [c for c in nums if est(c) * 1.25 > IN_MEMORY_LIMIT]
+    big_mode = [c for c in text_holes if est(c) * 1.25 > IN_MEMORY_LIMIT]
+    big_code = [c for c in codes if est(c) * 1.25 > CODE_LITERAL_LIMIT]
+    aggs = []
+    for i, c in enumerate(nums):
+        if c not in big_num:
+            aggs.append(F.percentile(F.nanvl(col(c).cast("double"), F.lit(None).cast("double")), F.lit(0.5)).alias(f"m{i}"))
+    for i, c in enumerate(text_holes):
+        if c not in big_mode:
+            aggs.append(F.mode(col(c), True).alias(f"o{i}"))
+    for i, c in enumerate(codes):
+        if c not in big_code:
+            aggs.append(F.array_sort(F.collect_set(col(c))).alias(f"s{i}"))
+    row = df.agg(*aggs).first() if aggs else None
+    med = {c: row[f"m{i}"] for i, c in enumerate(nums) if c not in big_num}
+    med.update(_medians(df, big_num))
+    mode = {c: row[f"o{i}"] for i, c in enumerate(text_holes) if c not in big_mode}
+    mode.update(_modes(df, big_mode))
+    exprs = {}
+    for c in nums:
+        exprs[c] = F.coalesce(F.nanvl(col(c).cast("double"), F.lit(None).cast("double")),
+                              F.lit(med.get(c)).cast("double"))
+    for c in text_holes:
+        exprs[c] = F.coalesce(col(c), F.lit(mode.get(c) if mode.get(c) is not None else "Unknown"))
+    for i, c in enumerate(codes):
+        if c in big_code:
+            continue
+        values = list(row[f"s{i}"] or [])
+        if null_counts.get(c, 0) > 0:
+            fill = mode.get(c) if mode.get(c) is not None else "Unknown"
+            values = sorted(set(values) | {fill})
+        lookup = F.create_map(*[x for k, v in enumerate(values) for x in (F.lit(v), F.lit(k))]) if values \
+            else F.create_map().cast("map<string,int>")
+        exprs[c] = F.element_at(lookup, exprs.get(c, col(c)))
+    out = df.select(*[exprs[c].alias(c) if c in exprs else col(c) for c in df.columns])
+    if big_code:
+        out = encode_categories(out, target, big_code)
+    return out
+
+
 # --- C-18 .. C-24: rule sets ------------------------------------------------------
 
 RULE_KEYS = ("drop", "rename", "cast", "impute", "target")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulon.functions.columns import col, dtype_name, is_numeric, numeric_columns
+from tabulon.functions.ordering import exact_quantiles, long_values
 from tabulon.functions.topk import top_k_per_group
 
 
@@ -126,22 +127,34 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, exact: bool =
     bounded-memory sketch for columns with very many distinct values.
     """
     cols = list(columns or numeric_columns(df))
-    out = per_column(df, cols, {
+    metrics = {
         "count": lambda c: F.count(c),
         "mean": lambda c: F.avg(_num(c)),
         "std": lambda c: F.stddev_samp(_num(c)),
         "min": lambda c: F.min(_num(c)),
-        "q": lambda c: _quantiles(c, (0.25, 0.5, 0.75), exact, accuracy),
         "max": lambda c: F.max(_num(c)),
-    })
-    return out.select("column_name", "count", "mean", "std", "min",
-                      F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
+    }
+    if not exact:
+        metrics["q"] = lambda c: _quantiles(c, (0.25, 0.5, 0.75), False, accuracy)
+        out = per_column(df, cols, metrics)
+        return out.select("column_name", "count", "mean", "std", "min", F.col("q")[0].alias("p25"),
+                          F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
+    out = per_column(df, cols, metrics)
+    q = exact_quantiles(long_values(df, cols), [0.25, 0.5, 0.75]).groupBy("column_name").pivot(
+        "prob", [0.25, 0.5, 0.75]).agg(F.first("quantile"))
+    q = q.toDF("column_name", "p25", "p50", "p75")
+    return out.join(q, "column_name", "left").select("column_name", "count", "mean", "std", "min",
+                                                     "p25", "p50", "p75", "max")
 
 
 def column_read(df: DataFrame, column: str, exact: bool = True) -> DataFrame:
     """A-06: mean, median, min, max of one column (one row)."""
     c = _num(col(column))
-    med = F.percentile(c, F.lit(0.5)) if exact else F.percentile_approx(c, F.lit(0.5), 100000)
+    if exact:
+        q = exact_quantiles(long_values(df, [column]), [0.5]).first()
+        med = F.lit(q["quantile"] if q else None).cast("double")
+    else:
+        med = F.percentile_approx(c, F.lit(0.5), 100000)
     return df.agg(F.lit(column).alias("column_name"), F.avg(c).alias("mean"), med.alias("median"),
                   F.min(c).alias("min"), F.max(c).alias("max"))
 
@@ -225,10 +238,16 @@ def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None, exact: boo
     """
     cols = list(columns or [c for c in numeric_columns(df)
                             if not isinstance(df.schema[c].dataType, T.BooleanType)])
-    q = df.agg(*[_quantiles(col(c), (0.25, 0.75), exact, 100000).alias(f"q{i}") for i, c in enumerate(cols)]).first()
+    if exact:
+        rows = exact_quantiles(long_values(df, cols), [0.25, 0.75]).collect()  # 2 rows per column
+        qd = {(r["column_name"], r["prob"]): r["quantile"] for r in rows}
+        quart = {c: (qd.get((c, 0.25)), qd.get((c, 0.75))) for c in cols}
+    else:
+        q = df.agg(*[_quantiles(col(c), (0.25, 0.75), False, 100000).alias(f"q{i}") for i, c in enumerate(cols)]).first()
+        quart = {c: tuple(q[f"q{i}"]) if q[f"q{i}"] is not None else (None, None) for i, c in enumerate(cols)}
     aggs, structs = [], []
     for i, c in enumerate(cols):
-        q1, q3 = q[f"q{i}"] if q[f"q{i}"] is not None else (None, None)
+        q1, q3 = quart[c]
         if q1 is None:
             aggs.append(F.lit(0).cast("long").alias(f"n{i}"))
             lo = hi = None

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions.columns import col, string_columns
+from tabulon.functions.columns import strip_ws as _strip
 from tabulon.functions.ordering import is_small
 from tabulon.functions.topk import top_k_per_group
 
@@ -47,7 +48,7 @@ def english_stop_words() -> tuple[str, ...]:
 
 
 def strip_ws(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return _strip(c)
 
 
 # --- X-01 / X-04 / X-05 --------------------------------------------------------

@@ -353,3 +353,42 @@ UNION ALL SELECT 'target_present', true, 'true'
 UNION ALL SELECT 'min_features', true, '10'
 UNION ALL SELECT 'min_classes', count(DISTINCT l_returnflag) >= 2, CAST(count(DISTINCT l_returnflag) AS VARCHAR)
 FROM lineitem"""
+
+
+# --- whole-pipeline runs on the largest table (the reference's scalability path) ----------
+
+def c17_clean_lineitem(spark, sf_dir):
+    return cl.clean(lineitem_nulls(spark, sf_dir), target="l_returnflag")
+
+
+QUERIES["c17_clean_lineitem"] = c17_clean_lineitem
+SQL["c17_clean_lineitem"] = with_sql(LINEITEM_NULLS_SQL, body="""
+SELECT l_orderkey, l_linenumber,
+       coalesce(l_quantity, (SELECT quantile_cont(l_quantity, 0.5) FROM lineitem_nulls)) AS l_quantity,
+       l_extendedprice, l_discount, l_tax, l_returnflag,
+       dense_rank() OVER (ORDER BY coalesce(l_linestatus, (SELECT l_linestatus FROM lineitem_nulls
+                          WHERE l_linestatus IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1))) - 1
+         AS l_linestatus,
+       year(l_shipdate) AS l_shipdate_year, month(l_shipdate) AS l_shipdate_month,
+       isodow(l_shipdate) - 1 AS l_shipdate_dow
+FROM lineitem_nulls""")
+
+LINEITEM_RULES = {"drop": ["l_partkey", "l_suppkey"], "rename": {"l_linestatus": "status"},
+                  "cast": {"l_linenumber": "float"},
+                  "impute": {"l_quantity": "median", "status": "mode", "l_tax": "zero"}, "target": "l_returnflag"}
+
+
+def c24_apply_rules_lineitem(spark, sf_dir):
+    li = lineitem_nulls(spark, sf_dir)
+    return cl.apply_rules(li, LINEITEM_RULES)
+
+
+QUERIES["c24_apply_rules_lineitem"] = c24_apply_rules_lineitem
+SQL["c24_apply_rules_lineitem"] = with_sql(LINEITEM_NULLS_SQL, body="""
+SELECT l_orderkey, CAST(l_linenumber AS DOUBLE) AS l_linenumber,
+       coalesce(l_quantity, (SELECT quantile_cont(l_quantity, 0.5) FROM lineitem_nulls)) AS l_quantity,
+       l_extendedprice, l_discount, coalesce(l_tax, 0.0) AS l_tax, l_returnflag,
+       coalesce(l_linestatus, (SELECT l_linestatus FROM lineitem_nulls WHERE l_linestatus IS NOT NULL
+                               GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS status,
+       l_shipdate
+FROM lineitem_nulls""")
