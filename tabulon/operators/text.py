@@ -178,5 +178,6 @@ def search(queries: DataFrame, query_id: str, query_text: str, postings: DataFra
     # scores are rounded so that copies of a document tie exactly and fall back to doc order
     top = top_k_per_group(scores, [query_id], [F.desc("score"), F.asc("_doc")], top_k,
                           salt_buckets=salt_buckets, salt_on=["_doc"], rank_col="rank")
-    best = top.where(F.col("rank") == 1).where(F.col("score") >= F.lit(min_score)).select(query_id)
-    return top.join(best, query_id, "left_semi").select(query_id, "rank", F.col("_doc").alias(doc_id), "score")
+    # the top-k output is already partitioned by query: the best-score filter is a window, not a self-join
+    top = top.withColumn("_best", F.max("score").over(Window.partitionBy(query_id)))
+    return top.where(F.col("_best") >= F.lit(min_score)).select(query_id, "rank", F.col("_doc").alias(doc_id), "score")
