@@ -110,6 +110,54 @@ def n03_resolve_conversations(spark, sf_dir):
 QUERIES["n03_resolve_conversations"] = n03_resolve_conversations
 
 
+def n02_predict_from_prompts(spark, sf_dir):
+    """Prompt table -> intent -> facts -> rule deduction (the prompt-to-answer plan)."""
+    from tabulon.operators.rules import rules_frame
+    from tabulon.plans.answer import predict_from_prompts
+    from tabulon.plans.catalog.reasoning import RULES
+    return predict_from_prompts(_lineitem_prompts(spark, sf_dir), PKEYS, "text", rules_frame(spark, RULES),
+                                LI_NUMERIC)
+
+
+def _predict_condition():
+    """SQL for intent = 'predict': no earlier keyword group matches, a predict word does."""
+    groups = dict(pm.INTENT_WORDS)
+    earlier = [w for name, words in pm.INTENT_WORDS if name != "predict" and
+               [n for n, _ in pm.INTENT_WORDS].index(name) < [n for n, _ in pm.INTENT_WORDS].index("predict")
+               for w in words]
+    any_of = lambda ws: " OR ".join(f"contains(lower(text), '{w}')" for w in ws)
+    return f"NOT ({any_of(earlier)}) AND ({any_of(groups['predict'])})"
+
+
+def _predict_sql():
+    from tabulon.plans.catalog.reasoning import RULES, _cond_sql
+    cols = ", ".join(
+        f"TRY_CAST(nullif(regexp_extract(text, '(?i){f}\\s*(?:=|is|:)\\s*([A-Za-z0-9_.-]+)', 1), '') AS DOUBLE) AS {f}"
+        for f in LI_NUMERIC)
+    parts = []
+    for i, r in enumerate(RULES):
+        if not r["conditions"]:
+            continue
+        sats, knowns = zip(*[_cond_sql(c) for c in r["conditions"]])
+        parts.append(
+            f"SELECT {', '.join(PKEYS)}, {i} AS rule_id, '{r['prediction']}' AS prediction, "
+            f"CAST({r['confidence']} AS DOUBLE) AS confidence, round(({' + '.join(sats)}) / {float(len(sats))}, 4) "
+            f"AS match_score, {' + '.join(knowns)} AS known_conditions, CAST({r['samples']} AS BIGINT) AS samples "
+            f"FROM facts")
+    return with_sql(_PROMPTS_SQL, f"""
+facts AS (SELECT {', '.join(PKEYS)}, {cols} FROM prompts
+          WHERE {_predict_condition()})""",
+                    body=f"""
+SELECT * EXCLUDE (r) FROM (
+  SELECT *, row_number() OVER (PARTITION BY {', '.join(PKEYS)} ORDER BY match_score DESC, confidence DESC, rule_id) AS r
+  FROM ({' UNION ALL '.join(parts)}))
+WHERE r = 1""")
+
+
+QUERIES["n02_predict_from_prompts"] = n02_predict_from_prompts
+SQL["n02_predict_from_prompts"] = _predict_sql()
+
+
 # --- set operations --------------------------------------------------------------
 
 def u01_union_parts(spark, sf_dir):
