@@ -16,6 +16,10 @@ NUMERIC_TYPES = (
 WHITESPACE = "".join(chr(i) for i in range(0x110000) if chr(i).isspace())
 
 
+# The same set as a Java regex character class (no Unicode-property lookups).
+WS_CLASS = "[" + "".join(f"\\x{{{ord(ch):x}}}" for ch in WHITESPACE) + "]"
+
+
 def strip_ws(c: Column) -> Column:
     """Python-style strip (all Unicode whitespace) without a regular expression."""
     return F.btrim(c, F.lit(WHITESPACE))

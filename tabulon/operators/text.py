@@ -23,7 +23,7 @@ from pyspark.ml.feature import NGram, StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.functions.columns import col, string_columns
+from tabulon.functions.columns import WS_CLASS, col, string_columns
 from tabulon.functions.columns import strip_ws as _strip
 from tabulon.functions.ordering import is_small
 from tabulon.functions.topk import top_k_per_group
@@ -31,7 +31,7 @@ from tabulon.functions.topk import top_k_per_group
 # Token pattern (runs of 2+ letters, digits or underscores) and
 # the splitter of S-04 (blank line, or whitespace after . ! ?).
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
-SPLIT_PATTERN = r"(?U)\n\s*\n|(?<=[.!?])\s+"
+SPLIT_PATTERN = r"\n" + WS_CLASS + r"*\n|(?<=[.!?])" + WS_CLASS + "+"
 EMPTY_TEXT_CHUNK = "No readable text was provided."
 
 BROADCAST_QUERY_POSTINGS = 5_000_000
@@ -68,7 +68,7 @@ def char_count(c: Column) -> Column:
 def word_count(c: Column) -> Column:
     """X-04: whitespace-separated words (0 for blank text)."""
     t = strip_ws(c)
-    return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, r"(?U)\s+")))
+    return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, WS_CLASS + "+")))
 
 
 def truncate(c: Column, limit: int = 40) -> Column:
@@ -98,7 +98,7 @@ def normalize_bullets(c: Column) -> Column:
     def per_line(line: Column) -> Column:
         s = strip_ws(line)
         n_sep = (F.length(s) - F.length(F.replace(s, F.lit(" - "), F.lit("")))) / 3
-        parts = F.split(s, r"(?U)\s+-\s+", -1)
+        parts = F.split(s, WS_CLASS + "+-" + WS_CLASS + "+", -1)
         head = strip_ws(parts[0])
         items = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))),
                             lambda p: F.regexp_replace(strip_ws(p), r"\.+$", ""))
