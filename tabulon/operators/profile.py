@@ -84,6 +84,17 @@ def missing_counts(df: DataFrame) -> DataFrame:
     return wide.select(F.inline(F.array(*structs)))
 
 
+def missing_scaled(df: DataFrame, keys: Sequence[str], sample_rows: int = 200) -> DataFrame:
+    """A-17 option: missing counts estimated from a capped hash sample and
+    scaled to the table size (round half to even), columns with misses only."""
+    from tabulon.operators.sample import capped_sample
+    n = df.count()
+    sample = capped_sample(df, keys, sample_rows)
+    m = missing_counts(sample).where(F.col("n_missing") > 0)
+    scale = F.lit(float(n)) / F.greatest(F.col("n_rows"), F.lit(1))
+    return m.select("column_name", F.bround(F.col("n_missing") * scale, 0).cast("long").alias("n_missing_estimate"))
+
+
 def missing(df: DataFrame, top: int | None = 8, with_percent: bool = False) -> DataFrame:
     """A-02 (top 8, counts) / A-03 (top 10 with percent): columns with nulls, most first."""
     m = missing_counts(df).where(F.col("n_missing") > 0)
@@ -402,13 +413,22 @@ def dataset_context(df: DataFrame, order_by: Sequence[str], target: str | None =
             F.struct(F.lit("unique").alias("key"), F.col("uniq").cast("string").alias("value")),
         ))))
     total = max(df.count(), 1)  # one scalar
-    for c, section, k in [(c, "text", top_values) for c in texts] + (
-            [(target, "target", max_target_classes)] if target and target in df.columns else []):
-        counts = df.groupBy(col(c).cast("string").alias("v")).agg(F.count(F.lit(1)).alias("n")) \
-            .where(F.col("v").isNotNull()).orderBy(F.desc("n"), "v").limit(k)
+    # one pass for every text column and the target: unpivot, count, top-k per column
+    wanted = [(c, "text", top_values) for c in texts]
+    if target and target in df.columns:
+        wanted.append((target, "target", max_target_classes))
+    if wanted:
+        long = df.select(F.explode(F.array(*[
+            F.struct(F.lit(f"{sec}|{c}").alias("_key"), col(c).cast("string").alias("v")) for c, sec, _ in wanted
+        ])).alias("_kv")).select("_kv._key", "_kv.v").where(F.col("v").isNotNull())
+        counts = long.groupBy("_key", "v").agg(F.count(F.lit(1)).alias("n"))
+        limits = F.create_map(*[x for c, sec, k in wanted for x in (F.lit(f"{sec}|{c}"), F.lit(k))])
+        top = top_k_per_group(counts, ["_key"], [F.desc("n"), F.asc("v")], max(k for _, _, k in wanted),
+                              salt_on=["v"], rank_col="_r").where(F.col("_r") <= F.element_at(limits, F.col("_key")))
         v = F.when(F.length("v") > value_chars, F.concat(F.substring("v", 1, value_chars), F.lit("…"))).otherwise(F.col("v"))
-        parts.append(counts.select(
-            F.lit(section).alias("section"), F.lit(c).alias("column_name"), v.alias("key"),
+        parts.append(top.select(
+            F.split_part(F.col("_key"), F.lit("|"), F.lit(1)).alias("section"),
+            F.expr("substring(_key, instr(_key, '|') + 1)").alias("column_name"), v.alias("key"),
             F.concat(F.col("n").cast("string"), F.lit(" ("),
                      F.round(F.col("n") / F.lit(total) * 100, 1).cast("string"), F.lit("%)")).alias("value")))
     n_sample = max(5, min(20, 600 // max(len(df.columns), 1)))

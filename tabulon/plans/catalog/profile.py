@@ -294,3 +294,18 @@ def a19_dataset_context(spark, sf_dir):
 
 
 QUERIES["a19_dataset_context"] = a19_dataset_context
+
+
+def a17_missing_scaled(spark, sf_dir):
+    return pr.missing_scaled(lineitem_nulls(spark, sf_dir), ["l_orderkey", "l_linenumber", "l_shipdate"], 200)
+
+
+QUERIES["a17_missing_scaled"] = a17_missing_scaled
+SQL["a17_missing_scaled"] = with_sql(LINEITEM_NULLS_SQL, """
+s AS (SELECT * FROM lineitem_nulls
+      ORDER BY md5(concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR),
+                             CAST(l_shipdate AS VARCHAR))) LIMIT 200)""", body="""
+SELECT column_name, CAST(round_even(m * (SELECT count(*) FROM lineitem_nulls) / 200.0, 0) AS BIGINT)
+         AS n_missing_estimate
+FROM (SELECT 'l_quantity' AS column_name, count(*) - count(l_quantity) AS m FROM s
+      UNION ALL SELECT 'l_linestatus', count(*) - count(l_linestatus) FROM s) WHERE m > 0""")
