@@ -260,6 +260,24 @@ SELECT * FROM (SELECT column_name, 'target' AS action, CAST(NULL AS VARCHAR) AS
                WHERE is_text AND action = 'impute' ORDER BY nd, pos LIMIT 1)""")
 
 
+def c18_validate_default_rules(spark, sf_dir):
+    """Rules derived from the data (C-19), turned into a rule dict and validated (C-18)."""
+    rules = cl.rules_to_dict(cl.default_rules(part_dirty(spark, sf_dir)))
+    return spark.createDataFrame([(cl.validate_rules(rules), len(rules["drop"]), len(rules["impute"]),
+                                   rules["target"])], "valid boolean, n_drop long, n_impute long, target string")
+
+
+QUERIES["c18_validate_default_rules"] = c18_validate_default_rules
+SQL["c18_validate_default_rules"] = SQL["c19_default_rules"].replace(
+    "\nSELECT column_name, action, arg FROM r\nUNION ALL", ",\nrules AS (SELECT column_name, action, arg FROM r\nUNION ALL") \
+    .rstrip() + """),
+final AS (SELECT true AS valid,
+                 count(*) FILTER (WHERE action = 'drop') AS n_drop,
+                 count(*) FILTER (WHERE action = 'impute') AS n_impute,
+                 max(CASE WHEN action = 'target' THEN column_name END) AS target FROM rules)
+SELECT * FROM final"""
+
+
 RULES = {
     "drop": ["Unnamed: 0", "empty_col", "no_such_column"],
     "rename": {"o_orderpriority": "priority"},

@@ -158,3 +158,26 @@ def f06_available_analyses(spark, sf_dir):
 
 
 QUERIES["f06_available_analyses"] = f06_available_analyses
+
+
+def f04_projected_change(spark, sf_dir):
+    """Historical average and projected end-of-horizon change of the shipped-value series."""
+    tr = fc.trend(t(spark, sf_dir, "lineitem"), "l_shipdate", "l_extendedprice", periods=6)
+    return tr.where(F.col("step") == 6).select("n_months", "hist_avg", "last_actual", "forecast", "change_pct",
+                                               "direction")
+
+
+QUERIES["f04_projected_change"] = f04_projected_change
+SQL["f04_projected_change"] = """
+WITH m AS (SELECT last_day(l_shipdate) AS month_end, avg(l_extendedprice) AS value_mean, count(*) AS n_rows
+           FROM lineitem GROUP BY 1),
+i AS (SELECT *, CAST(row_number() OVER (ORDER BY month_end) - 1 AS DOUBLE) AS month_idx FROM m),
+fit AS (SELECT regr_slope(value_mean, month_idx) AS slope, regr_intercept(value_mean, month_idx) AS intercept,
+               count(*) AS n_months, avg(value_mean) AS hist_avg, arg_max(value_mean, month_end) AS last_actual
+        FROM i)
+SELECT n_months, round(hist_avg, 4) AS hist_avg, round(last_actual, 4) AS last_actual,
+       round(intercept + slope * (n_months - 1 + 6), 4) AS forecast,
+       round((intercept + slope * (n_months - 1 + 6) - last_actual) / greatest(abs(last_actual), 1.0) * 100, 4)
+         AS change_pct,
+       CASE WHEN slope > 0 THEN 'increasing' ELSE 'decreasing' END AS direction
+FROM fit"""

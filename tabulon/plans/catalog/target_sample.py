@@ -258,3 +258,22 @@ SQL["w02_best_per_group"] = """
 SELECT o_custkey, o_orderkey, o_totalprice FROM (
   SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders)
 WHERE r = 1 ORDER BY o_totalprice DESC, o_custkey LIMIT 10"""
+
+
+def w03_two_key_ranking(spark, sf_dir):
+    """Stable two-key ranking: per return flag, the 3 lines with the highest
+    discount, then tax, then key order (salted two-phase top-k)."""
+    li = t(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", "l_partkey",
+                                             "l_suppkey", "l_discount", "l_tax")
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    return top_k_per_group(li, ["l_returnflag"], [F.desc("l_discount"), F.desc("l_tax"), *[F.asc(k) for k in keys]],
+                           3, salt_on=keys, rank_col="rank")
+
+
+QUERIES["w03_two_key_ranking"] = w03_two_key_ranking
+SQL["w03_two_key_ranking"] = """
+SELECT * FROM (
+  SELECT l_returnflag, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount, l_tax,
+         row_number() OVER (PARTITION BY l_returnflag
+                            ORDER BY l_discount DESC, l_tax DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS rank
+  FROM lineitem) WHERE rank <= 3"""
