@@ -130,10 +130,6 @@ def is_small(df: DataFrame, limit: int) -> bool:
     return _small(df, limit)
 
 
-def lit_or_null(v) -> Column:
-    return F.lit(v)
-
-
 def rank_within(df: DataFrame, group: str, order: Column, rank_col: str = "rank",
                 window_limit: int = IN_MEMORY_LIMIT) -> DataFrame:
     """1-based position of every row inside its ``group`` under ``order``

@@ -80,7 +80,7 @@ def facts(df: DataFrame, keys: Sequence[str], text_col: str, features: Sequence[
         pattern = r"(?i)" + re.escape(f) + r"\s*(?:=|is|:)\s*([A-Za-z0-9_.-]+)"
         v = F.regexp_extract(col(text_col), pattern, 1)
         structs.append(F.struct(F.lit(f).alias("feature"), F.when(v != "", v).alias("value_text")))
-    ex = df.select(*[col(k) for k in keys], F.explode(F.array(*structs)).alias("_f"))
+    ex = df.select(*[col(k) for k in keys], F.explode_outer(F.array(*structs)).alias("_f"))
     return ex.select(*keys, "_f.feature", "_f.value_text").where(F.col("value_text").isNotNull()) \
         .withColumn("value_num", F.col("value_text").try_cast("double"))
 
@@ -101,7 +101,8 @@ def resolve_columns(df: DataFrame, keys: Sequence[str], text_col: str, columns:
     words take the closest column with similarity >= ``cutoff``.
     """
     words = df.select(*[col(k) for k in keys],
-                      F.posexplode(F.regexp_extract_all(col(text_col), F.lit(WORD_PATTERN), 1)).alias("position", "word"))
+                      F.posexplode_outer(F.regexp_extract_all(col(text_col), F.lit(WORD_PATTERN), 1))
+                      .alias("position", "word")).where(F.col("word").isNotNull())
     stop = F.array(*[F.lit(w) for w in sorted(COLUMN_STOP_WORDS)])
     words = words.where(~F.array_contains(stop, F.lower("word")) & _looks_like_column(F.col("word")))
     first = words.groupBy(*keys, F.lower("word").alias("word_lower")).agg(

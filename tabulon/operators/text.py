@@ -23,7 +23,7 @@ from pyspark.ml.feature import NGram, StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.functions.columns import WS_CLASS, col, string_columns
+from tabulon.functions.columns import WHITESPACE, WS_CLASS, col, string_columns
 from tabulon.functions.columns import strip_ws as _strip
 from tabulon.functions.ordering import is_small
 from tabulon.functions.topk import top_k_per_group
@@ -65,10 +65,16 @@ def char_count(c: Column) -> Column:
     return F.length(c)
 
 
+def _words_in_stripped(c: Column) -> Column:
+    """Words of a stripped, non-empty text: whitespace mapped to spaces with
+    ``translate`` and split on the single space (no regular expression)."""
+    spaced = F.translate(c, WHITESPACE, " " * len(WHITESPACE))
+    return F.size(F.filter(F.split(spaced, " "), lambda w: w != ""))
+
+
 def word_count(c: Column) -> Column:
     """X-04: whitespace-separated words (0 for blank text)."""
-    t = strip_ws(c)
-    return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, WS_CLASS + "+")))
+    return _words_in_stripped(strip_ws(c))
 
 
 def truncate(c: Column, limit: int = 40) -> Column:
@@ -81,13 +87,23 @@ def truncate(c: Column, limit: int = 40) -> Column:
 def split_text(df: DataFrame, keys: Sequence[str], text_col: str = "text") -> DataFrame:
     """S-04: split each text into chunks at blank lines and after sentence
     punctuation; chunks are stripped, empty ones dropped and numbered from 1.
-    Output: keys..., document_id, content, char_count, word_count."""
-    parts = F.filter(F.transform(F.split(col(text_col), SPLIT_PATTERN, -1), strip_ws), lambda s: s != "")
-    parts = F.when(F.size(parts) > 0, parts).otherwise(F.array(F.lit(EMPTY_TEXT_CHUNK)))
-    ex = df.select(*[col(k) for k in keys], F.posexplode(parts).alias("_pos", "content"))
+    Output: keys..., document_id, content, char_count, word_count.
+
+    Each stage is its own projection so the split/strip expressions are
+    evaluated once per row (Spark does not inline an expensive expression
+    that is referenced twice)."""
+    k = [col(x) for x in keys]
+    raw = df.select(*k, F.split(col(text_col), SPLIT_PATTERN, -1).alias("_raw"))
+    kept = raw.select(*keys, F.filter(F.transform("_raw", strip_ws), lambda s: s != "").alias("_parts"))
+    kept = kept.select(*keys, F.when(F.size("_parts") > 0, F.col("_parts"))
+                       .otherwise(F.array(F.lit(EMPTY_TEXT_CHUNK))).alias("_parts"))
+    # the outer variant skips the inferred "size > 0" filter, which would
+    # re-evaluate the whole split expression; the array is never empty here
+    ex = kept.select(*keys, F.posexplode_outer("_parts").alias("_pos", "content"))
+    # chunks are non-empty and already stripped: the word count is a plain split
     return ex.select(*keys, (F.col("_pos") + 1).alias("document_id"), "content",
                      char_count(F.col("content")).alias("char_count"),
-                     word_count(F.col("content")).alias("word_count"))
+                     _words_in_stripped(F.col("content")).alias("word_count"))
 
 
 # --- X-06 -------------------------------------------------------------------------
@@ -123,7 +139,10 @@ def terms(df: DataFrame, id_col: str, text_col: str, ngram: int = 2) -> DataFram
     for n in range(2, ngram + 1):
         words = NGram(n=n, inputCol="_words", outputCol=f"_g{n}").transform(words)
         cols.append(F.col(f"_g{n}"))
-    return words.select(F.col("_id").alias(id_col), F.explode(F.concat(*cols)).alias("term"))
+    # explode_outer: no inferred filter re-running the token pipeline; empty
+    # documents give a null term, removed here
+    return words.select(F.col("_id").alias(id_col), F.explode_outer(F.concat(*cols)).alias("term")) \
+        .where(F.col("term").isNotNull())
 
 
 def tfidf_index(docs: DataFrame, id_col: str, text_col: str, max_terms: int = 4000, ngram: int = 2):

@@ -113,14 +113,6 @@ SELECT column_name, 'lowest_cardinality' AS reason, nd AS n_distinct FROM (
 WHERE nd BETWEEN 2 AND 20 ORDER BY nd, pos LIMIT 1"""
 
 
-def _bin_sql(c, table="lineitem", bins=5):
-    whens = " ".join(
-        f"WHEN {c} <= (CASE WHEN {i + 1} = {bins} THEN hi ELSE {i + 1} * ((hi - lo) / {bins}) + lo END) THEN {i}"
-        for i in range(bins))
-    return (f"(SELECT CASE WHEN {c} > lo - (hi - lo) * 0.001 THEN CASE {whens} END END AS bin "
-            f"FROM (SELECT min({c}) AS lo, max({c}) AS hi FROM {table}))")
-
-
 def t08_equal_width_bins(spark, sf_dir):
     li = tg.equal_width_bins(t(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount"], bins=5)
     return li.groupBy("l_quantity_bin", "l_discount_bin").agg(F.count(F.lit(1)).alias("n"))
