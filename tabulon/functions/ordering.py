@@ -25,7 +25,7 @@ IN_MEMORY_LIMIT = 2_000_000
 def long_values(df: DataFrame, columns: Sequence[str], as_type: str = "double") -> DataFrame:
     """Unpivot ``columns`` into (column_name, value) rows, nulls removed."""
     structs = [F.struct(F.lit(c).alias("column_name"), col(c).cast(as_type).alias("value")) for c in columns]
-    out = df.select(F.explode(F.array(*structs)).alias("_kv")).select("_kv.column_name", "_kv.value")
+    out = df.select(F.explode_outer(F.array(*structs)).alias("_kv")).select("_kv.column_name", "_kv.value")
     cond = F.col("value").isNotNull()
     if as_type == "double":
         cond = cond & ~F.isnan("value")

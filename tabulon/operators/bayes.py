@@ -37,7 +37,7 @@ def fit(df: DataFrame, target: str, features: Sequence[str] | None = None, bins:
     structs = [F.struct(F.lit(c).alias("feature"), F.lit(i).alias("position"),
                         bin_index(col(c).cast("double"), [F.lit(e) for e in edges]).alias("bin"))
                for i, c, edges, _ in per_feature]
-    long = df.select(col(target).cast("string").alias("class"), F.explode(F.array(*structs)).alias("_f")) \
+    long = df.select(col(target).cast("string").alias("class"), F.explode_outer(F.array(*structs)).alias("_f")) \
         .select("_f.feature", "_f.position", "_f.bin", "class") \
         .where(F.col("bin").isNotNull() & F.col("class").isNotNull())
     counts = long.groupBy("feature", "position", "bin", "class").agg(F.count(F.lit(1)).alias("n"))

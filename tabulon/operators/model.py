@@ -170,8 +170,8 @@ def permutation_importance(model: PipelineModel, test: DataFrame, target: str, f
     base_acc = accuracy(predict(model, base, target, features)).first()["accuracy"]
     pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("rep"))
                       for f in features for r in range(repeats)])
-    long = base.select("_rid", F.explode(pairs).alias("_p")).select("_rid", "_p.feature", "_p.rep")
-    vals = base.select("_rid", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"),
+    long = base.select("_rid", F.explode_outer(pairs).alias("_p")).select("_rid", "_p.feature", "_p.rep")
+    vals = base.select("_rid", F.explode_outer(F.array(*[F.struct(F.lit(f).alias("feature"),
                                                             col(f).cast("double").alias("v"))
                                                    for f in features])).alias("_v")).select("_rid", "_v.feature", "_v.v")
     long = long.join(vals, ["_rid", "feature"])

@@ -321,7 +321,7 @@ def first_values(df: DataFrame, order_by: Sequence[str], k: int = 3,
     column's values funnel through one task."""
     cols = list(columns or df.columns)
     keyed = df.select(*[col(c) for c in order_by],
-                      F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"),
+                      F.explode_outer(F.array(*[F.struct(F.lit(c).alias("column_name"),
                                                    col(c).cast("string").alias("value"))
                                           for c in cols])).alias("_kv"))
     long = keyed.select(*order_by, "_kv.column_name", "_kv.value").where(F.col("value").isNotNull())
@@ -418,7 +418,7 @@ def dataset_context(df: DataFrame, order_by: Sequence[str], target: str | None =
     if target and target in df.columns:
         wanted.append((target, "target", max_target_classes))
     if wanted:
-        long = df.select(F.explode(F.array(*[
+        long = df.select(F.explode_outer(F.array(*[
             F.struct(F.lit(f"{sec}|{c}").alias("_key"), col(c).cast("string").alias("v")) for c, sec, _ in wanted
         ])).alias("_kv")).select("_kv._key", "_kv.v").where(F.col("v").isNotNull())
         counts = long.groupBy("_key", "v").agg(F.count(F.lit(1)).alias("n"))
@@ -434,7 +434,7 @@ def dataset_context(df: DataFrame, order_by: Sequence[str], target: str | None =
     n_sample = max(5, min(20, 600 // max(len(df.columns), 1)))
     w = Window.orderBy(*order_by)
     sample = df.orderBy(*order_by).limit(n_sample).withColumn("_row", F.row_number().over(w))
-    parts.append(sample.select(F.lit("sample").alias("section"), F.explode(F.array(*[
+    parts.append(sample.select(F.lit("sample").alias("section"), F.explode_outer(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col("_row").cast("string").alias("key"),
                  F.substring(F.coalesce(col(c).cast("string"), F.lit("nan")), 1, cell_chars).alias("value"))
         for c in df.columns])).alias("_s")).select("section", "_s.column_name", "_s.key", "_s.value"))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.functions.columns import col
+from tabulon.functions.columns import col, is_numeric
 
 MAX_COMPILED_RULES = 4096
 
@@ -72,6 +72,11 @@ def deduce(facts: DataFrame, rules: DataFrame, keys: Sequence[str], top_k: int =
     if len(rule_rows) > MAX_COMPILED_RULES:
         raise ValueError(f"rule base larger than {MAX_COMPILED_RULES} rules")
     fact_cols = set(facts.columns)
+    numeric = {f.name for f in facts.schema.fields if is_numeric(f.dataType)}
+
+    def value(feat):  # numbers cast directly; text goes through the tolerant parse
+        return col(feat).cast("double") if feat in numeric else col(feat).cast("string").try_cast("double")
+
     scored = []
     for r in rule_rows:
         conds = list(r["conditions"] or [])
@@ -81,7 +86,7 @@ def deduce(facts: DataFrame, rules: DataFrame, keys: Sequence[str], top_k: int =
         for cond in conds:
             feat, op, thr = _parse_text(cond)
             if feat in fact_cols:
-                v = col(feat).cast("string").try_cast("double")
+                v = value(feat)
                 sat.append(F.coalesce((v <= F.lit(thr)) if op == "<=" else (v > F.lit(thr)), F.lit(True)).cast("int"))
                 known.append(v.isNotNull().cast("int"))
             else:
@@ -110,7 +115,7 @@ def deduce(facts: DataFrame, rules: DataFrame, keys: Sequence[str], top_k: int =
               " known_conditions int, samples long")
     # struct ordering is field by field: score, confidence, then rule order (via -rule_id)
     best = F.slice(F.sort_array(F.array(*scored), asc=False), 1, top_k)
-    out = facts.select(*[col(k) for k in keys], F.posexplode(best).alias("_pos", "_r"))
+    out = facts.select(*[col(k) for k in keys], F.posexplode_outer(best).alias("_pos", "_r"))
     return out.select(*keys, (F.col("_pos") + 1).alias("rank"), "_r.rule_id", "_r.prediction", "_r.confidence",
                       "_r.match_score", "_r.known_conditions", "_r.samples")
 
