@@ -39,15 +39,15 @@ def _lineitem_prompts(spark, sf_dir):
                     F.lit(" and L_TAX is "), F.col("l_tax").cast("string"),
                     F.lit(", l_discont: "), F.col("l_discount").cast("string"),
                     F.when(F.col("l_linenumber") % 3 == 0, F.lit(" why high?")).otherwise(F.lit("")))
-    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", text.alias("text"))
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", text.alias("text"))
 
 
 _PROMPTS_SQL = """
-prompts AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+prompts AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate,
   'predict if l_quantity=' || CAST(l_quantity AS VARCHAR) || ' and L_TAX is ' || CAST(l_tax AS VARCHAR)
   || ', l_discont: ' || CAST(l_discount AS VARCHAR)
   || CASE WHEN l_linenumber % 3 = 0 THEN ' why high?' ELSE '' END AS text FROM lineitem)"""
-PKEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+PKEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
 
 
 def _intent_sql(source, keys):
