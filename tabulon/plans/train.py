@@ -49,7 +49,12 @@ def train_agent(df: DataFrame, keys: Sequence[str], target_request: str | None =
               ("non_empty", "min_columns", "min_rows")]  # six rows
     if failed:
         raise ValueError(f"training guards failed: {failed}")
-    target = tg.detect_target(df, target_request).first()["target"]
+    features_only = df.drop(*keys)  # row keys are never targets or features
+    base = target_request[:-len("_tier")] if target_request and target_request.endswith("_tier") else None
+    if target_request and target_request not in df.columns and base in features_only.columns:
+        target = target_request  # explicit request for tiers of an existing column (T-02)
+    else:
+        target = tg.detect_target(features_only, target_request).first()["target"]
     model_df = tg.ensure_target(df, target)
     clean_df = _clean_with_keys(model_df, keys, target)
     features = [c for c in clean_df.columns if c != target and c not in keys]

@@ -78,3 +78,19 @@ def test_tree_shap_additivity(spark):
         for c in range(3):
             total = rows[rows["class_index"] == c]["shap"].sum() + base[c]
             assert abs(total - r["probability"][c]) < 1e-9
+
+
+def test_train_agent_end_to_end(spark):
+    from tabulon.plans.train import train_agent
+
+    li = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").select(*KEYS, *FEATS)
+    st = train_agent(li, KEYS, target_request="l_extendedprice_tier", n_trees=10, permutation_repeats=2,
+                     cv_cap=2000)
+    assert st.target == "l_extendedprice_tier" and sorted(st.features) == sorted(FEATS)
+    assert st.tree_accuracy > 0.9 and st.forest_accuracy > 0.9
+    assert st.rules.count() >= 3
+    assert st.importances.count() == len(FEATS)
+    cv = st.cv.first()
+    assert 2 <= cv["n_folds"] <= 5 and cv["cv_mean"] > 0.8
+    splits = {r[0]: r[1] for r in st.data.groupBy("split").count().collect()}
+    assert abs(splits["test"] / (splits["test"] + splits["train"]) - 0.2) < 0.01
