@@ -31,3 +31,27 @@ def predict_from_prompts(prompts: DataFrame, keys: Sequence[str], text_col: str,
     asks = tagged.where(F.col("intent") == "predict").select(*keys, text_col)
     facts = facts_table(asks, keys, text_col, features)
     return rl.deduce(facts, rules, keys, top_k=1).drop("rank")
+
+
+def why_from_prompts(prompts: DataFrame, keys: Sequence[str], text_col: str, classes: Sequence[str],
+                     rules: DataFrame, importances: DataFrame, cpt: DataFrame, numeric_columns: Sequence[str] = (),
+                     top_k: int = 5, bayes_k: int = 3) -> DataFrame:
+    """Combined explanation (R-07) for every prompt tagged ``why``.
+
+    The observed class is the first class named in the prompt, else the last
+    class.  Explanations are computed once per class (a bounded set) and
+    joined to the prompts by class, so the per-prompt work is a broadcast join.
+    """
+    from tabulon.operators import bayes
+
+    tagged = pm.intent(prompts, text_col, numeric_columns)
+    low = F.lower(F.col(text_col))
+    observed = F.coalesce(*[F.when(F.contains(low, F.lit(c.lower())), F.lit(c)) for c in classes],
+                          F.lit(classes[-1]))
+    asks = tagged.where(F.col("intent") == "why").select(*keys, observed.alias("observed"))
+    per_class = None
+    for c in classes:  # one small table per class
+        hints = bayes.explain(cpt, c, top_k=bayes_k) if cpt.where(F.col("class") == c).limit(1).count() else None
+        part = bayes.why(rl.abduce(rules, importances, c, top_k=top_k), hints).withColumn("observed", F.lit(c))
+        per_class = part if per_class is None else per_class.unionByName(part)
+    return asks.join(F.broadcast(per_class), "observed")

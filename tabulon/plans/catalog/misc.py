@@ -158,6 +158,21 @@ QUERIES["n02_predict_from_prompts"] = n02_predict_from_prompts
 SQL["n02_predict_from_prompts"] = _predict_sql()
 
 
+def r07_why_from_prompts(spark, sf_dir):
+    """'why' prompts -> observed return flag -> rule causes and Bayesian hints."""
+    from tabulon.operators import bayes
+    from tabulon.operators.rules import rules_frame
+    from tabulon.plans.answer import why_from_prompts
+    from tabulon.plans.catalog.reasoning import FEATURES, RULES, _importances
+    cpt = bayes.fit(t(spark, sf_dir, "lineitem"), "l_returnflag", FEATURES)
+    classes = sorted(r[0] for r in t(spark, sf_dir, "lineitem").select("l_returnflag").distinct().collect())
+    return why_from_prompts(_lineitem_prompts(spark, sf_dir), PKEYS, "text", classes, rules_frame(spark, RULES),
+                            _importances(spark, sf_dir), cpt, LI_NUMERIC)
+
+
+QUERIES["r07_why_from_prompts"] = r07_why_from_prompts
+
+
 # --- set operations --------------------------------------------------------------
 
 def u01_union_parts(spark, sf_dir):
