@@ -13,9 +13,7 @@ the reference's library (which is not available here).
 
 from __future__ import annotations
 
-import glob
-import os
-import zipfile
+import pkgutil
 from collections.abc import Sequence
 from functools import lru_cache
 
@@ -39,12 +37,9 @@ BROADCAST_QUERY_POSTINGS = 5_000_000
 
 @lru_cache(maxsize=1)
 def english_stop_words() -> tuple[str, ...]:
-    """Spark ML's default English stop words, read from the installed jar
-    (the same list ``StopWordsRemover.loadDefaultStopWords`` returns)."""
-    import pyspark
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    with zipfile.ZipFile(jars[0]) as z:
-        return tuple(z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8").split())
+    """English stop words, shipped as a data file of the package (Spark ML's default list)."""
+    data = pkgutil.get_data("tabulon", "functions/stopwords_en.txt")
+    return tuple(data.decode("utf-8").split())
 
 
 def strip_ws(c: Column) -> Column:
