@@ -55,10 +55,9 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(WORD_BYTES).split()
 
 
-def utf8_values(column):
+def utf8_values(column) -> list[bytes]:
     """The values of an Arrow string column as bytes (null: empty), without decoding."""
     import pyarrow as pa
 
-    for v in column.cast(pa.large_binary()):
-        raw = v.as_buffer()
-        yield raw.to_pybytes() if raw is not None else b""
+    kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
+    return [v or b"" for v in column.cast(kind).to_pylist()]
