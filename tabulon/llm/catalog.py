@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import decontam, mixing, sharding
+from tabulon.llm import bagminhash, decontam, mixing, sharding
 from tabulon.llm.scratch import prepare
 from tabulon.session import table
 
@@ -15,6 +15,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.mix(table(spark, sf_dir, "documents")))
 
 
+def op4_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.classify(table(spark, sf_dir, "documents"))
+
+
 def op6_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     placed = sharding.shard_documents(table(spark, sf_dir, "documents"), shards=24)
@@ -26,7 +30,7 @@ def op8_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op6_sampled_splitters, op8_suffix_automaton)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op4_bagminhash, op6_sampled_splitters, op8_suffix_automaton)}
 SQL: dict[str, str] = {}
 
 # words as positions, windows as joined words; a shorter item is one window of its own length
