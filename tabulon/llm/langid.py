@@ -37,7 +37,7 @@ _LETTER = re.compile(r"[^\W\d_]")
 #: A-Z in lower case, digits as one digit, other ASCII non-letters as blanks
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else 32
               for b in range(256))
-_CHUNK_BYTES = 4_000_000
+_CHUNK_BYTES = 200_000
 
 
 def held_out(id_col: str, modulus: int, remainder: int) -> Column:
@@ -132,8 +132,8 @@ class Ecoc:
             c = counts[:, k] + SMOOTH
             share[:, k] = c / c.sum(axis=1, keepdims=True)
         bits = self.code.shape[1]
-        # one more bucket, without weight, for positions that hold no n-gram
-        self.weights = np.zeros((len(ORDERS), BUCKETS + 1, bits), dtype=np.float32)
+        # one more bucket, without weight, for positions that hold no n-gram; rows padded to whole vectors
+        self.weights = np.zeros((len(ORDERS), BUCKETS + 1, -(-bits // 8) * 8), dtype=np.float32)
         seen = counts.sum(axis=0) > 0
         for b in range(bits):
             on, off = self.code[:, b] > 0, self.code[:, b] < 0
@@ -141,7 +141,7 @@ class Ecoc:
                 w = np.log(share[on].mean(axis=0)) - np.log(share[off].mean(axis=0))
                 self.weights[:, :-1, b] = np.where(seen, w, 0.0)
         # expected margin of every training language: what separates the bit's two sides
-        expect = np.einsum("lkb,kbj->lj", share, self.weights[:, :-1]) / len(ORDERS)
+        expect = np.einsum("lkb,kbj->lj", share, self.weights[:, :-1, :bits]) / len(ORDERS)
         edge = (expect * self.code).min(axis=0) if len(langs) > 1 else np.ones(bits)
         self.bit_weight = np.maximum(edge, 1e-3) / max(np.maximum(edge, 1e-3).sum(), 1e-9)
         self.centre = np.array([
@@ -149,13 +149,14 @@ class Ecoc:
             if (self.code[:, b] < 0).any() else 0.0 for b in range(bits)])
 
     def margins(self, texts: list[bytes]) -> np.ndarray:
-        """Mean log-odds per n-gram of every bit, centred between the bit's two sides."""
+        """Log-odds per byte of every bit, summed over the orders and centred between the bit's two sides."""
         made, starts, sizes = _grams(texts)
-        out = np.zeros((len(texts), self.code.shape[1]))
-        for k, code in enumerate(made):
-            n = np.maximum(sizes - 1 - (ORDERS[k] - 1), 1)
-            out += np.add.reduceat(self.weights[k][code], starts, axis=0) / n[:, None]
-        return out / len(ORDERS) - self.centre
+        rows = self.weights[0].take(made[0], axis=0)
+        for k, code in enumerate(made[1:], 1):
+            rows += self.weights[k].take(code, axis=0)
+        ones = np.ones(int(sizes.max(initial=1)), dtype=np.float32)
+        out = np.stack([ones[:n] @ rows[a:a + n] for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)])
+        return out[:, :self.code.shape[1]] / (len(ORDERS) * np.maximum(sizes - 1, 1))[:, None] - self.centre
 
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codeword index and score (0 to 1) by the weighted exponential loss."""

@@ -38,6 +38,7 @@ SHARD_SLOTS = 4096    # blocks in an output shard
 MIN_LANE = 128        # documents in a lane, at least
 ROUNDS = 12           # of the permutation
 SLOT_CHUNK = 8192     # slots made from one row
+SLOTS_PER_TASK = 1_000_000
 
 
 def word_count(text: str = "text") -> Column:
@@ -89,7 +90,8 @@ class Mix:
 
     def taken_pieces(self) -> DataFrame:
         """Slots joined to blocks by block number: every piece of text the mix takes, once per time."""
-        return self.slots.join(self.pieces.drop("source_id"), "block")
+        # both sides grow with the corpus: never broadcast (the planner takes exploded rows for few)
+        return self.slots.join(self.pieces.drop("source_id").hint("merge"), "block")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -135,7 +137,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
                       "source_id", "lane", "nth", "from", "to"))
     chunks = plan.where("n_slots > 0").withColumn(
         "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_slots") - 1, F.lit(SLOT_CHUNK).cast("long"))))
-    spread = chunks.repartition("source_id", "chunk")
+    # a fixed number of partitions: the few small rows grow by the explode, which AQE cannot foresee
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // SLOTS_PER_TASK + 1)
+    spread = chunks.repartition(parts, "source_id", "chunk")
     j = F.col("j")
     slots = (spread.withColumn("j", F.explode(F.sequence(
         F.col("chunk"), F.least(F.col("chunk") + SLOT_CHUNK, F.col("n_slots")) - 1)))
