@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import bagminhash, decontam, langid, mixing, sharding
+from tabulon.llm import bagminhash, decontam, langid, mixing, sharding, toxicity
 from tabulon.llm.scratch import prepare
 from tabulon.session import table
 
@@ -19,6 +19,10 @@ def op4_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.classify(table(spark, sf_dir, "documents"))
 
 
+def op5_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     placed = sharding.shard_documents(table(spark, sf_dir, "documents"), shards=24)
@@ -34,7 +38,7 @@ def op10_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op4_bagminhash, op6_sampled_splitters, op8_suffix_automaton,
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op4_bagminhash, op5_kneser_ney_toxicity, op6_sampled_splitters, op8_suffix_automaton,
                                 op10_ecoc_language)}
 SQL: dict[str, str] = {}
 
