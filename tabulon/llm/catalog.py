@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import bagminhash, decontam, langid, mixing, sharding, toxicity
+from tabulon.llm import bagminhash, decontam, langid, mixing, quality, sharding, toxicity
 from tabulon.llm.scratch import prepare
 from tabulon.session import table
 
@@ -30,6 +30,10 @@ def op6_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
 
 
+def op7_zstd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -38,7 +42,7 @@ def op10_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op4_bagminhash, op5_kneser_ney_toxicity, op6_sampled_splitters, op8_suffix_automaton,
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op4_bagminhash, op5_kneser_ney_toxicity, op6_sampled_splitters, op7_zstd_quality, op8_suffix_automaton,
                                 op10_ecoc_language)}
 SQL: dict[str, str] = {}
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.calibration import fit_logistic
+from tabulon.llm.calibration import fit_logistic, logistic
 from tabulon.llm.langid import held_out
 from tabulon.llm.scratch import broadcast_if, prepare, utf8_values, words_of
 
@@ -209,9 +209,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     part = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(CALIBRATION)) == 0
     model = fit(learnable.where(~part), "_label", text_col)
     checked = differences(learnable.where(part), model, ["_label"], text_col)
-    a, b = fit_logistic(checked, "_x", "_label", 0.05, anchors=((0.0, 0, 2.0), (2.0, 0, 0.5), (3.0, 1, 1.0)))
-    b = max(b, 0.1)
+    beta = fit_logistic(checked, ["_x"], "_label", [0.05],
+                        anchors=[(0.0, 0, 2.0), (2.0, 0, 0.5), (3.0, 1, 1.0)])
+    beta[1] = max(beta[1], 0.1)
     out = differences(docs, model, [id_col], text_col)
-    score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.lit(a) + F.lit(b) * F.col("_x")))))
+    score = logistic(beta, "_x")
     return out.select(id_col, held_out(id_col, 3, 1).alias("held_out"), score.alias("score"),
                       (score >= THRESHOLD).cast("int").alias("predicted"), F.col("_x").alias("difference"))
