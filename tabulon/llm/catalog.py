@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import bagminhash, decontam, langid, mixing, quality, sharding, toxicity
+from tabulon.llm import bagminhash, decontam, itq, langid, mixing, quality, sharding, toxicity
 from tabulon.llm.scratch import prepare
 from tabulon.session import table
 
@@ -38,12 +38,16 @@ def op8_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_itq_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op4_bagminhash, op5_kneser_ney_toxicity, op6_sampled_splitters, op7_zstd_quality, op8_suffix_automaton,
-                                op10_ecoc_language)}
+                                op9_itq_embeddings, op10_ecoc_language)}
 SQL: dict[str, str] = {}
 
 # words as positions, windows as joined words; a shorter item is one window of its own length
