@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import bagminhash, decontam, itq, langid, mixing, quality, sharding, toxicity
+from tabulon.llm import bagminhash, decontam, itq, langid, mixing, quality, secrets, sharding, toxicity, urls
 from tabulon.llm.scratch import prepare
 from tabulon.session import table
 
@@ -15,6 +15,16 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.mix(table(spark, sf_dir, "documents")))
 
 
+def op2_url_language_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+def op3_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op4_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.classify(table(spark, sf_dir, "documents"))
 
@@ -46,7 +56,7 @@ def op10_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op4_bagminhash, op5_kneser_ney_toxicity, op6_sampled_splitters, op7_zstd_quality, op8_suffix_automaton,
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_url_language_models, op3_secret_ownership, op4_bagminhash, op5_kneser_ney_toxicity, op6_sampled_splitters, op7_zstd_quality, op8_suffix_automaton,
                                 op9_itq_embeddings, op10_ecoc_language)}
 SQL: dict[str, str] = {}
 
