@@ -184,7 +184,7 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text") ->
 
 
 def predict(docs: DataFrame, model: Ecoc | None, text_col: str = "text") -> DataFrame:
-    """``docs`` (as _rec) with _lang and _score."""
+    """_rec (the columns of ``docs`` but the text), _text, _lang and _score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -202,22 +202,22 @@ def predict(docs: DataFrame, model: Ecoc | None, text_col: str = "text") -> Data
                     letter = _LETTER.search(raw.decode("utf-8", "replace"))
                     lang.append(m.langs[i] if letter else UND)
                     score.append(min(max(x, 0.0), 1.0) if letter else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()),
-                                              pa.array(score, pa.float64())], names=["_rec", "_lang", "_score"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())],
+                names=["_rec", "_text", "_lang", "_score"])
 
-    rec = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_rec"),
-                      F.col(text_col).alias("_text"))
-    return rec.mapInArrow(run, rec.select("_rec").schema.add("_lang", "string").add("_score", "double"))
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col] or [F.lit(0).alias("_none")]
+    rec = docs.select(F.struct(*rest).alias("_rec"), F.col(text_col).alias("_text"))
+    return rec.mapInArrow(run, rec.schema.add("_lang", "string").add("_score", "double"))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per document: id, held_out, lang_pred, score, ambiguous."""
     prepare(docs.sparkSession)
-    out = held_out(id_col, 4, 2)
-    model = fit(docs.where(~out), lang_col, text_col)
+    model = fit(docs.where(~held_out(id_col, 4, 2)), lang_col, text_col)
     found = predict(docs.select(id_col, text_col), model, text_col)
-    return found.select(F.col(f"_rec.{id_col}").alias(id_col),
-                        held_out(f"_rec.{id_col}", 4, 2).alias("held_out"),
+    return found.select(F.col(f"_rec.`{id_col}`").alias(id_col),
+                        held_out(f"_rec.`{id_col}`", 4, 2).alias("held_out"),
                         F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"),
                         ((F.col("_score") < AMBIGUOUS) | (F.col("_lang") == UND)).alias("ambiguous"))
 
@@ -229,4 +229,5 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prepare(docs.sparkSession)
     model = fit(docs.where(~held_out(id_col, 4, 2)), lang_col, text_col)
     found = predict(docs, model, text_col)
-    return found.where((F.col("_lang") != UND) & (F.col("_score") >= AMBIGUOUS / 10)).select("_rec.*")
+    return found.where((F.col("_lang") != UND) & (F.col("_score") >= AMBIGUOUS / 10)).select(
+        *[F.col("_text").alias(c) if c == text_col else F.col(f"_rec.`{c}`").alias(c) for c in docs.columns])

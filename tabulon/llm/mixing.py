@@ -39,6 +39,7 @@ MIN_LANE = 128        # documents in a lane, at least
 ROUNDS = 12           # of the permutation
 SLOT_CHUNK = 8192     # slots made from one row
 SLOTS_PER_TASK = 1_000_000
+MIX_BROADCAST = 200_000   # taken documents whose places may be broadcast
 
 
 def word_count(text: str = "text") -> Column:
@@ -167,29 +168,31 @@ def mixed_documents(docs: DataFrame, m: Mix, id_col: str = "doc_id", text_col: s
     """The mix as rows of ``docs``: one row per document and pass that takes any of its words.
 
     A pass that takes the whole document keeps its text; otherwise the taken
-    words are joined by single blanks, in their order.  Rows agree in the id
-    and in the text's hash; repeated rows each stand for their own place.
+    words are joined by single blanks, in their order.  Rows are found again by
+    id and text hash; rows that repeat both each stand for their own place.
     """
     parts = m.taken_pieces().groupBy("source_id", "lane", "nth", "epoch").agg(
-        F.array_sort(F.collect_list(F.struct("from", "to"))).alias("_parts"),
-        F.sum(F.col("to") - F.col("from")).alias("_taken"))
+        F.array_sort(F.collect_list(F.struct("from", "to"))).alias("parts"),
+        F.sum(F.col("to") - F.col("from")).alias("n"))
     same = Window.partitionBy("doc_id", "text_key").orderBy("source_id", "lane", "nth")
-    place = m.documents.withColumn("_copy", F.row_number().over(same))
-    chosen = parts.join(place, ["source_id", "lane", "nth"]).select(
-        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "_copy", "epoch", "_parts", "_taken", "size")
-    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    rec = docs.select(F.struct("*").alias("_rec"), F.col(id_col).alias("_id2"), key.alias("_key2"))
-    rec = rec.withColumn("_copy2", F.row_number().over(
-        Window.partitionBy("_id2", "_key2").orderBy(F.lit(0))))
-    joined = rec.join(chosen, F.col("_id2").eqNullSafe(F.col("_id")) & (F.col("_key2") == F.col("_key"))
-                      & (F.col("_copy2") == F.col("_copy")))
-    words = F.regexp_extract_all(F.col(f"_rec.{text_col}"), F.lit(WORD), F.lit(0))
+    place = m.documents.withColumn("copy", F.row_number().over(same))
+    chosen = written(parts.join(place, ["source_id", "lane", "nth"]).select(
+        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("copy").alias("_copy"),
+        F.when(F.col("n") < F.col("size"), F.col("parts")).alias("_parts")))
+    n, copies = chosen.agg(F.count(F.lit(1)), F.max("_copy")).first()
+    rec = docs.select(F.struct("*").alias("_rec"), F.col(id_col).alias("_id2"),
+                      F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_key2"))
+    on = F.col("_id2").eqNullSafe(F.col("_id")) & (F.col("_key2") == F.col("_key"))
+    if copies and copies > 1:   # only then must rows that agree in both be told apart
+        rec = rec.withColumn("_copy2", F.row_number().over(Window.partitionBy("_id2", "_key2").orderBy(F.lit(0))))
+        on = on & (F.col("_copy2") == F.col("_copy"))
+    joined = rec.join(broadcast_if(chosen, n, MIX_BROADCAST), on)
+    words = F.regexp_extract_all(F.col(f"_rec.`{text_col}`"), F.lit(WORD), F.lit(0))
     cut = F.array_join(F.flatten(F.transform(
-        F.col("_parts"), lambda p: F.slice(F.col("_words"), (p["from"] + 1).cast("int"),
+        F.col("_parts"), lambda p: F.slice(words, (p["from"] + 1).cast("int"),
                                            (p["to"] - p["from"]).cast("int")))), " ")
-    text = F.when(F.col("_taken") == F.col("size"), F.col(f"_rec.{text_col}")).otherwise(cut)
-    out = joined.withColumn("_words", F.when(F.col("_taken") < F.col("size"), words)).withColumn("_text", text)
+    out = joined.withColumn("_text", F.when(F.col("_parts").isNull(), F.col(f"_rec.`{text_col}`")).otherwise(cut))
     cols = [F.col("_text").alias(c) if c == text_col
             else F.length("_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars"
-            else F.col(f"_rec.{c}").alias(c) for c in docs.columns]
+            else F.col(f"_rec.`{c}`").alias(c) for c in docs.columns]
     return out.select(*cols)
