@@ -208,7 +208,7 @@ def predict(docs: DataFrame, model: Ecoc | None, text_col: str = "text") -> Data
 
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col] or [F.lit(0).alias("_none")]
     rec = docs.select(F.struct(*rest).alias("_rec"), F.col(text_col).alias("_text"))
-    return rec.mapInArrow(run, rec.schema.add("_lang", "string").add("_score", "double"))
+    return rec.mapInArrow(run, rec.select("*").schema.add("_lang", "string").add("_score", "double"))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
