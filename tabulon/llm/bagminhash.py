@@ -354,12 +354,12 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of every class; rows sharing id and text become one row."""
     found = near_duplicates(docs, id_col, text_col)
-    gone = written(found.where("id <> class_id").select("id").distinct())
-    again = written(found.groupBy("id").count().where("count > 1").select("id"))
-    key = F.col(id_col).cast("long")
-    kept = docs.join(broadcast_if(gone, gone.count()), key == F.col("id"), "left_anti")
+    gone = written(found.where("id <> class_id").select(F.col("id").alias("_nd_id")).distinct())
+    again = written(found.groupBy("id").count().where("count > 1").select(F.col("id").alias("_nd_id")))
+    on = F.col(id_col).cast("long") == F.col("_nd_id")
+    kept = docs.join(broadcast_if(gone, gone.count()), on, "left_anti")
     n_again = again.count()
     if not n_again:
         return kept
-    repeated = kept.join(broadcast_if(again, n_again), key == F.col("id"), "left_semi").dropDuplicates([id_col])
-    return kept.join(broadcast_if(again, n_again), key == F.col("id"), "left_anti").unionByName(repeated)
+    repeated = kept.join(broadcast_if(again, n_again), on, "left_semi").dropDuplicates([id_col])
+    return kept.join(broadcast_if(again, n_again), on, "left_anti").unionByName(repeated)

@@ -55,8 +55,7 @@ def _range_of(bounds: list[tuple[int, int]]) -> Column:
     """Index of the range that holds (_h, _id): binary search in a constant array."""
     if not bounds:
         return F.lit(0)
-    table = F.array(*[F.struct(F.lit(h).cast("long").alias("_h"), F.lit(i).cast("long").alias("_id"))
-                      for h, i in bounds])
+    table = F.expr("array(" + ",".join(f"named_struct('_h',{h}L,'_id',{i}L)" for h, i in bounds) + ")")
     steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
     key = F.struct("_h", "_id")
 
@@ -128,13 +127,13 @@ def assign(rows: DataFrame, key: Column, size: Column, tie: Column, shards: int
         starts.append(s)
         ranks.append(k)
         s, k = s + totals.get(i, (0, 0))[0], k + totals.get(i, (0, 0))[1]
-    at = F.get(F.array(*[F.lit(x).cast("long") for x in starts]), F.col("_range"))
+    at = F.get(_longs(starts), F.col("_range"))
     middle = at + F.col("_run") - F.col("_size") / 2
     placed = ranged.withColumn("shard", F.least(_position(ends, middle), F.lit(shards - 1)).cast("int")).withColumn(
-        "_rank", F.get(F.array(*[F.lit(x).cast("long") for x in ranks]), F.col("_range")) + F.col("_n") - 1)
+        "_rank", F.get(_longs(ranks), F.col("_range")) + F.col("_n") - 1)
     placed = written(placed.drop("_w", "_run", "_n", "_range"))
     first = {r["shard"]: r["f"] for r in placed.groupBy("shard").agg(F.min("_rank").alias("f")).collect()}
-    base_slot = F.array(*[F.lit(big_slots[k] - first.get(k, 0)).cast("long") for k in range(shards)])
+    base_slot = _longs([big_slots[k] - first.get(k, 0) for k in range(shards)])
     parts.append(placed.withColumn("slot", F.get(base_slot, F.col("shard")) + F.col("_rank")).drop("_rank"))
     out = parts[0]
     for p in parts[1:]:
@@ -142,6 +141,10 @@ def assign(rows: DataFrame, key: Column, size: Column, tie: Column, shards: int
     return out.select("_rec.*", "shard", "slot")
 
 
+def _longs(values: list[int]) -> Column:
+    return F.expr("array(" + ",".join(f"{v}L" for v in values) + ")")
+
+
 def _room(filled: list[int], rest: int) -> list[float]:
     """Share of ``rest`` that lifts every shard to one level (none to the shards above it)."""
     order, level, used = sorted(filled), 0.0, 0

@@ -1,0 +1,26 @@
+import pytest
+from pyspark.sql import functions as F
+
+LONG = " ".join(f"word{i % 977} tail{i % 13}" for i in range(40_000))
+
+
+@pytest.fixture(scope="session")
+def odd_docs(spark):
+    """Nulls in every column, empty and very long texts, repeated rows, columns with clashing names."""
+    prose = "the river ran past the old mill and the miller heard it all night long in his sleep"
+    rows = [
+        (1, None, "en", "a"), (2, "", "en", "a"), (3, "   \n\t ", None, "b"), (4, "x", "en", None),
+        (5, LONG, "de", "a"), (6, prose, "en", "a"), (7, prose, "en", "b"), (7, prose, "en", "b"),
+        (8, prose.upper() + "!", "fr", "b"), (None, prose, None, None), (9, "12 34 !!", "en", "c"),
+        (10, "Ünï côdé \u4f60\u597d \U0001f600 " * 5, "fr", "c"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    return df.withColumn("n_chars", F.length("text").cast("long")).withColumn("_rec", F.lit("r")) \
+        .withColumn("id", F.lit(5)).withColumn("key", F.lit("k")).withColumn("size", F.lit(-1)) \
+        .withColumn("shard", F.lit("s")).withColumn("_text", F.lit("t"))
+
+
+@pytest.fixture(scope="session")
+def odd_labels(spark):
+    return spark.createDataFrame([(1, 0, 0), (5, 1, None), (6, 1, 1), (6, 1, 1), (8, None, 0), (None, 1, 1)],
+                                 "doc_id long, quality int, toxic int")
