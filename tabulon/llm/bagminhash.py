@@ -42,7 +42,8 @@ BANDS, ROWS = 32, 6            # 192 registers; a pair at 0.8 is missed with pro
 HORIZON = 3.0                  # a register stays empty with probability exp(-HORIZON) / m; then the horizon doubles
 SLACK = 0.15                   # five standard deviations of a 192-register estimate at 0.8
 CHUNK_WORDS = 400_000          # words handled at once in a task
-BLOCK_ROWS = 512               # members of a large bucket compared at once
+BLOCK_ROWS = 512               # members of a large bucket compared at once,
+BLOCK_SHINGLES = 1_000_000     # and their shingles
 MEMO_WORDS = 300_000
 
 # Constants of the splitmix64 generator.
@@ -209,17 +210,23 @@ def _payload(docs: DataFrame, ids: DataFrame, n_ids: int, id_col: str, text_col:
     return written(made.join(broadcast_if(ids, n_ids), ["id", "key"], "left_semi").drop("key"))
 
 
+def _overlap(x: np.ndarray, y: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets."""
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    if not len(large):
+        return 0.0
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    both = int((large[at] == small).sum())
+    return both / (len(small) + len(large) - both)
+
+
 def _verify(pairs: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) whose multisets overlap by ``threshold`` or more, with the exact similarity."""
     def run(batches):
         for batch in batches:
             a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            sim = np.empty(len(a))
-            for k, (x, y) in enumerate(zip(a, b, strict=True)):
-                small, large = (np.frombuffer(v, dtype=np.uint64) for v in sorted((x, y), key=len))
-                at = np.searchsorted(large, small)
-                both = int((large[np.minimum(at, len(large) - 1)] == small).sum()) if len(large) else 0
-                sim[k] = both / max(len(small) + len(large) - both, 1)
+            sim = np.array([_overlap(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64))
+                            for x, y in zip(a, b, strict=True)])
             keep = pa.array(sim >= threshold)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sim)],
                                              names=["a", "b", "sim"]).filter(keep)
@@ -250,55 +257,63 @@ def _estimate(agree):
     return (agree - 1 / 256) / (1 - 1 / 256)   # bytes agree by chance once in 256
 
 
-def _rest(members: DataFrame, labels: DataFrame, n_labels: int, sketches: DataFrame, floor: float,
-          threshold: float) -> DataFrame:
-    """Likely pairs of large buckets that no hub comparison has settled: members of
-    different classes, neither being the hub, compared by blocks."""
-    tagged = members.where("id <> hub").join(broadcast_if(labels, n_labels), "id", "left") \
-        .select("band", "id", F.coalesce("component", "id").alias("label"))
+def _open_members(members: DataFrame, labels: DataFrame, n_labels: int) -> DataFrame:
+    """(band, blocks, id, label) of the buckets whose members, the hub aside, are in several
+    classes; blocks says into how many parts such a bucket is cut."""
+    tagged = written(members.where("id <> hub").join(broadcast_if(labels, n_labels), "id", "left")
+                     .select("band", "id", "n", F.coalesce("component", "id").alias("label")))
     state = tagged.groupBy("band").agg(F.min("label").alias("_l"), F.max("label").alias("_h"),
-                                       F.count(F.lit(1)).alias("_c")).where("_l <> _h")
-    state = written(state.select("band", F.ceil(F.col("_c") / F.lit(float(BLOCK_ROWS))).cast("int").alias("blocks")))
-    open_rows = written(tagged).join(broadcast_if(state, state.count()), "band") \
-        .join(sketches, "id") \
+                                       F.count(F.lit(1)).alias("_c"), F.sum("n").alias("_n")).where("_l <> _h")
+    state = written(state.select("band", F.ceil(F.greatest(
+        F.col("_c") / F.lit(float(BLOCK_ROWS)), F.col("_n") / F.lit(float(BLOCK_SHINGLES)))).cast("int")
+        .alias("blocks")))
+    return tagged.join(broadcast_if(state, state.count()), "band").select("band", "blocks", "id", "label")
+
+
+def _rest(members: DataFrame, signed: DataFrame, grams: DataFrame, floor: float, threshold: float) -> DataFrame:
+    """Links (a, b) that no hub comparison has settled: members of different classes,
+    compared block by block.  A pair meets in the first band its members share, is
+    screened by sketch and decided by its multisets inside the task, so only links
+    leave it — and of these only what joins classes not yet joined there."""
+    rows = members.join(signed.select("id", "n", "sketch", "bands"), "id").join(grams, "id") \
         .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
         .select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                "block", "id", "label", "n", "sketch")
+                "block", "id", "label", "n", "sketch", "bands", "grams")
 
     def compare(key, rows):
-        _, i, j = key
-        block = np.array([r[0] for r in rows])
-        ids, label, n = (np.array([r[k] for r in rows], dtype=np.int64) for k in (1, 2, 3))
-        sketch = np.frombuffer(b"".join(r[4] for r in rows), dtype=np.uint8).reshape(len(rows), -1)
+        band, i, j = key
+        block, ids, label, n = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(4))
+        sketch = np.frombuffer(b"".join([r[4] for r in rows]), dtype=np.uint8).reshape(len(rows), -1)
+        bands = np.array([r[5] for r in rows], dtype=np.int64)
+        sets = [np.frombuffer(r[6], dtype=np.uint64) for r in rows]
+        here = int(np.flatnonzero(bands[0] == band)[0])
         right = np.flatnonzero(block == j)
         for p in np.flatnonzero(block == i).tolist():
             q = right[right > p] if i == j else right
             q = q[(label[q] != label[p]) & (np.minimum(n[q], n[p]) >= threshold * np.maximum(n[q], n[p]))]
             if len(q):
                 q = q[_estimate((sketch[q] == sketch[p]).mean(axis=1)) >= floor]
-                for other in q.tolist():
+            if len(q):
+                q = q[(bands[q] == bands[p]).argmax(axis=1) == here]
+            for other in q.tolist():
+                if label[other] != label[p] and _overlap(sets[p], sets[other]) >= threshold:
+                    label[label == label[other]] = label[p]
                     yield max(ids[p], ids[other]), min(ids[p], ids[other])
 
     def run(batches):
-        def rows():
+        def values():
             for batch in batches:
                 yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
-        found = []
-        for key, group in groupby(rows(), key=lambda r: r[:3]):
-            found.extend(compare(key, [r[3:] for r in group]))
-            if len(found) >= 10_000:
-                yield _pairs(found)
-                found = []
-        yield _pairs(found)
-
-    def _pairs(found):
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()),
-                                           pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+        for key, group in groupby(values(), key=lambda r: r[:3]):
+            found = list(compare(key, [r[3:] for r in group]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()),
+                                                  pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
-    return open_rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j") \
-        .mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j") \
+        .mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -311,28 +326,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_classes = classes.count()
     reps = signed.join(broadcast_if(classes.select("key", F.col("rep").alias("id")), n_classes, 500_000),
                        ["key", "id"], "left_semi")
-    exploded = reps.select("id", F.explode("bands").alias("band"))
+    exploded = reps.select("id", "n", F.explode("bands").alias("band"))
     buckets = written(exploded.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("top"),
                                                    F.count(F.lit(1)).alias("c")).where("hub <> top"))
     large = buckets.where("c > 2").select("band", "hub")
     members = written(exploded.join(broadcast_if(large, large.count()), "band"))
     pairs = buckets.where("c = 2").select(F.col("top").alias("a"), F.col("hub").alias("b")).unionByName(
         members.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))).distinct()
-    sketches = reps.select("id", "n", "sketch")
-    likely = written(_likely(written(pairs), sketches, floor))
+    likely = written(_likely(written(pairs), reps.select("id", "n", "sketch"), floor))
 
-    def links_of(found: DataFrame) -> DataFrame:
-        ids = found.select(F.col("a").alias("rep")).unionByName(found.select(F.col("b").alias("rep"))).distinct() \
-            .join(classes, "rep").select(F.col("rep").alias("id"), "key")
-        ids = written(ids)
-        return written(_verify(found, _payload(docs, ids, ids.count(), id_col, text_col), threshold))
+    def grams_of(ids: DataFrame) -> DataFrame:
+        keyed = written(ids.withColumnRenamed("id", "rep").distinct().join(classes, "rep")
+                        .select(F.col("rep").alias("id"), "key"))
+        return _payload(docs, keyed, keyed.count(), id_col, text_col)
 
-    links = links_of(likely)
+    ends = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id")))
+    links = written(_verify(likely, grams_of(ends), threshold).select("a", "b"))
     labels = written(components(links))
-    rest = written(_rest(members, labels, labels.count(), sketches, floor, threshold))
-    if not rest.isEmpty():
-        more = links_of(rest)
-        labels = written(components(links.unionByName(more)))
+    still = written(_open_members(members, labels, labels.count()))
+    if not still.isEmpty():
+        more = written(_rest(still, reps, grams_of(still.select("id")), floor, threshold))
+        if not more.isEmpty():
+            labels = written(components(links.unionByName(more)))
     n_labels = labels.count()
     placed = signed.select("id", "key").where("key IS NOT NULL") \
         .join(broadcast_if(classes, n_classes, 500_000), "key") \
