@@ -25,6 +25,32 @@ def strip_ws(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE))
 
 
+# A number as text: what Python's and pandas' parsers read, without the JVM's suffixes and hexadecimals.
+NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
+def parse_number(c: Column) -> Column:
+    """Text -> double, null for anything but a plain decimal number."""
+    s = strip_ws(c)
+    return F.when(F.regexp_like(s, F.lit(NUMBER_PATTERN)), s.try_cast("double"))
+
+
+def is_floating(dtype: T.DataType) -> bool:
+    return isinstance(dtype, (T.FloatType, T.DoubleType))
+
+
+def present(c: Column, dtype: T.DataType) -> Column:
+    """The value with NaN as null: both are missing."""
+    return F.when(~F.isnan(c), c) if is_floating(dtype) else c
+
+
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """Floating-point NaN becomes null (a projection)."""
+    if not any(is_floating(f.dataType) for f in df.schema.fields):
+        return df
+    return df.select(*[present(col(f.name), f.dataType).alias(f.name) for f in df.schema.fields])
+
+
 def quote(name: str) -> str:
     """Backtick a column name so dots, spaces and colons survive parsing."""
     return "`" + name.replace("`", "``") + "`"

@@ -24,8 +24,3 @@ def parse_timestamp(c: Column) -> Column:
     """First successful parse of a string column, else NULL (never raises)."""
     s = F.trim(c.cast("string"))
     return F.coalesce(F.try_to_timestamp(s), *[F.try_to_timestamp(s, F.lit(f)) for f in DATE_FORMATS])
-
-
-def weekday_mon0(c: Column) -> Column:
-    """Day of week with Monday = 0 … Sunday = 6."""
-    return F.weekday(c)

@@ -20,6 +20,7 @@ from tabulon.functions.columns import col
 from tabulon.functions.topk import top_k_per_group
 
 IN_MEMORY_LIMIT = 2_000_000
+OFFSET_ROWS = 1_000_000   # offsets that may be broadcast
 
 
 def long_values(df: DataFrame, columns: Sequence[str], as_type: str = "double") -> DataFrame:
@@ -32,6 +33,14 @@ def long_values(df: DataFrame, columns: Sequence[str], as_type: str = "double")
     return out.where(cond)
 
 
+def distinct_per_column(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column_name, n_distinct) of the columns' non-null values: one unpivot and one
+    (column, value) aggregate with map-side combining, instead of one ``countDistinct``
+    per column, which would copy and shuffle every row once for each."""
+    pairs = long_values(df, columns, as_type="string").distinct()
+    return pairs.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct"))
+
+
 def value_counts_long(long_df: DataFrame) -> DataFrame:
     """(column_name, value, n): distinct values with their counts (partial aggregation)."""
     return long_df.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
@@ -55,7 +64,12 @@ def running_total(counts: DataFrame, weight: str = "n", partitions: int | None =
     offsets = sums.withColumn("_off", F.coalesce(F.sum("_s").over(w_off), F.lit(0)))
     w_loc = Window.partitionBy("_pid", "column_name").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.withColumn("_loc", F.sum(weight).over(w_loc))
-    return (local.join(F.broadcast(offsets.select("_pid", "column_name", "_off")), ["_pid", "column_name"])
+    # one offset per partition and column; null-safe, as a null class is a group of its own
+    off = offsets.select(F.col("_pid").alias("_opid"), F.col("column_name").alias("_ocol"), "_off").checkpoint(eager=True)
+    if is_small(off, OFFSET_ROWS):
+        off = F.broadcast(off)
+    same = (F.col("_pid") == F.col("_opid")) & F.col("column_name").eqNullSafe(F.col("_ocol"))
+    return (local.join(off, same).drop("_opid", "_ocol")
             .withColumn("cum_after", F.col("_off") + F.col("_loc"))
             .withColumn("cum_before", F.col("cum_after") - F.col(weight))
             .drop("_pid", "_off", "_loc"))

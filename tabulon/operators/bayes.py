@@ -14,8 +14,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tabulon.functions.columns import col
+from tabulon.functions.columns import col, is_numeric, present
 from tabulon.operators.target import bin_index, equal_width_edges
 
 
@@ -23,50 +24,59 @@ def fit(df: DataFrame, target: str, features: Sequence[str] | None = None, bins:
         alpha: float = 1.0) -> DataFrame:
     """R-05: conditional probability table P(bin | class) per feature."""
     feats = list(features or [c for c in df.columns if c != target])
-    row = df.agg(*[F.min(col(c).cast("double")).alias(f"lo{i}") for i, c in enumerate(feats)],
-                 *[F.max(col(c).cast("double")).alias(f"hi{i}") for i, c in enumerate(feats)]).first()
-    per_feature = []
+    # text and boolean features are categories (their values are the bins), numbers get equal-width bins
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    numeric = [c for c in feats if is_numeric(kinds[c]) and not isinstance(kinds[c], T.BooleanType)]
+    ends = df.agg(F.count(F.lit(1)), *[F.min(present(col(c), kinds[c]).cast("double")).alias(f"lo{i}")
+                                       for i, c in enumerate(numeric)],
+                  *[F.max(present(col(c), kinds[c]).cast("double")).alias(f"hi{i}")
+                    for i, c in enumerate(numeric)]).first()
+    labels, structs = {}, []
     for i, c in enumerate(feats):
-        lo, hi = row[f"lo{i}"], row[f"hi{i}"]
-        if lo is None:
-            continue
-        edges = equal_width_edges(lo, hi, bins)
-        labels = [f"{edges[j]:.2f}–{edges[j + 1]:.2f}" for j in range(bins)]
-        per_feature.append((i, c, edges, labels))
-    # unpivot: one (feature, position, bin, class) row per non-null cell
-    structs = [F.struct(F.lit(c).alias("feature"), F.lit(i).alias("position"),
-                        bin_index(col(c).cast("double"), [F.lit(e) for e in edges]).alias("bin"))
-               for i, c, edges, _ in per_feature]
+        if c in numeric:
+            lo, hi = ends[f"lo{numeric.index(c)}"], ends[f"hi{numeric.index(c)}"]
+            if lo is None:
+                continue
+            edges = equal_width_edges(lo, hi, bins)
+            labels[c] = [f"{edges[j]:.2f}–{edges[j + 1]:.2f}" for j in range(bins)]
+            at, name = bin_index(present(col(c), kinds[c]).cast("double"), [F.lit(e) for e in edges]), None
+        else:
+            at, name = F.when(col(c).isNotNull(), F.lit(-1)), col(c).cast("string")
+        structs.append(F.struct(F.lit(c).alias("feature"), F.lit(i).alias("position"), at.cast("int").alias("bin"),
+                                (name if name is not None else F.lit(None).cast("string")).alias("category")))
+    # unpivot: one (feature, position, bin, category, class) row per non-null cell
     long = df.select(col(target).cast("string").alias("class"), F.explode_outer(F.array(*structs)).alias("_f")) \
-        .select("_f.feature", "_f.position", "_f.bin", "class") \
+        .select("_f.feature", "_f.position", "_f.bin", "_f.category", "class") \
         .where(F.col("bin").isNotNull() & F.col("class").isNotNull())
-    counts = long.groupBy("feature", "position", "bin", "class").agg(F.count(F.lit(1)).alias("n"))
-    obs_bins = counts.select("feature", "position", "bin").distinct()
+    return _table(long, labels, bins, alpha)
+
+
+def _table(long: DataFrame, labels: dict[str, list[str]], bins: int, alpha: float) -> DataFrame:
+    """Smoothed likelihoods over the observed bin x class grid of each feature; categories are
+    numbered in sorted order."""
+    cats = long.where("category IS NOT NULL").select("feature", "category").distinct()
+    coded = cats.withColumn("code", F.row_number().over(Window.partitionBy("feature").orderBy("category")) - 1)
+    counts = long.groupBy("feature", "position", "bin", "category", "class").agg(F.count(F.lit(1)).alias("n")) \
+        .join(coded, ["feature", "category"], "left").withColumn("bin", F.coalesce("code", "bin")).drop("code")
+    obs_bins = counts.select("feature", "position", "bin", "category").distinct()
     obs_classes = counts.select("feature", "class").distinct()
     grid = obs_bins.join(obs_classes, "feature")  # <= bins x classes per feature
-    table = grid.join(counts, ["feature", "position", "bin", "class"], "left") \
+    table = grid.join(counts.drop("category"), ["feature", "position", "bin", "class"], "left") \
         .withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
     w_class = Window.partitionBy("feature", "class")
     w_feat = Window.partitionBy("feature")
-    label_map = F.create_map(*[x for i, c, e, labels in per_feature for x in
-                               (F.lit(c), F.array(*[F.lit(s) for s in labels]))])
+    label_map = F.create_map(*[x for c, own in labels.items() for x in
+                               (F.lit(c), F.array(*[F.lit(s) for s in own]))]) if labels \
+        else F.create_map().cast("map<string,array<string>>")
     n_obs_bins = F.size(F.collect_set("bin").over(w_feat))
     smoothed = (F.col("n") + F.lit(alpha)) / F.sum(F.col("n") + F.lit(alpha)).over(w_class)
     return table.select(
         "feature", "position", "bin",
-        F.when(n_obs_bins == bins, F.element_at(F.element_at(label_map, F.col("feature")), F.col("bin") + 1))
+        F.when(F.col("category").isNotNull(), F.col("category")).when(n_obs_bins == bins, F.element_at(F.element_at(label_map, F.col("feature")), F.col("bin") + 1))
         .otherwise(F.col("bin").cast("string")).alias("bin_label"),
         "class", "n", smoothed.alias("likelihood"))
 
 
-def priors(df: DataFrame, target: str) -> DataFrame:
-    """Class prior P(y) over rows with a class."""
-    base = df.where(col(target).isNotNull())
-    total = base.count()
-    return base.groupBy(col(target).cast("string").alias("class")).agg(
-        (F.count(F.lit(1)) / F.lit(max(total, 1))).alias("prior"))
-
-
 def explain(cpt: DataFrame, outcome: str, top_k: int = 5, classes: DataFrame | None = None) -> DataFrame:
     """R-06: best bin per feature for ``outcome`` -> (rank, feature,
     feature_value_range, posterior_score, likelihood, marginal).

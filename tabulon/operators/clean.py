@@ -15,9 +15,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.functions.columns import WHITESPACE, col, is_datetime, is_numeric, is_string, quote, strip_ws
+from tabulon.functions.columns import (
+    WHITESPACE,
+    col,
+    is_datetime,
+    is_numeric,
+    is_string,
+    nan_to_null,
+    parse_number,
+    present,
+    strip_ws,
+)
 from tabulon.functions.dates import parse_timestamp
-from tabulon.functions.ordering import IN_MEMORY_LIMIT, _few_distinct, dense_codes, exact_quantiles, long_values, modes
+from tabulon.functions.ordering import (
+    IN_MEMORY_LIMIT,
+    _few_distinct,
+    dense_codes,
+    distinct_per_column,
+    exact_quantiles,
+    long_values,
+    modes,
+)
 
 # Text cells treated as missing after trimming (C-06), as listed
 # by the reference (29 entries, 28 distinct once trimmed).
@@ -61,18 +79,30 @@ def drop_unnamed(df: DataFrame) -> DataFrame:
 
 def dedupe_names(df: DataFrame) -> DataFrame:
     """C-03: second ``x`` becomes ``x_1``, third ``x_2`` (positional rename)."""
-    seen: dict[str, int] = {}
-    names = []
-    for c in df.columns:
-        if c in seen:
-            seen[c] += 1
-            names.append(f"{c}_{seen[c]}")
-        else:
-            seen[c] = 0
-            names.append(c)
+    names = unique_names(df.columns)
     return df.toDF(*names) if names != df.columns else df
 
 
+def unique_names(columns: Sequence[str]) -> list[str]:
+    """Repeated names get the next free suffix ``_1``, ``_2``, ...; names that differ only
+    in case count as repeated, as Spark resolves columns without regard to case."""
+    taken = {c.lower() for c in columns}
+    used: set[str] = set()
+    count: dict[str, int] = {}
+    names = []
+    for c in columns:
+        name = c
+        if c.lower() in used:
+            k = count.get(c.lower(), 0) + 1
+            while f"{c}_{k}".lower() in taken | used:
+                k += 1
+            count[c.lower()] = k
+            name = f"{c}_{k}"
+        used.add(name.lower())
+        names.append(name)
+    return names
+
+
 # --- row / cell hygiene -------------------------------------------------------
 
 def drop_empty_rows(df: DataFrame) -> DataFrame:
@@ -85,7 +115,7 @@ def non_null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> dict
     cols = list(columns or df.columns)
     if not cols:
         return {}
-    row = df.agg(*[F.count(col(c)).alias(f"c{i}") for i, c in enumerate(cols)]).first()
+    row = df.agg(*[F.count(present(col(c), df.schema[c].dataType)).alias(f"c{i}") for i, c in enumerate(cols)]).first()
     return {c: row[f"c{i}"] for i, c in enumerate(cols)}
 
 
@@ -146,17 +176,23 @@ def bool_to_int(df: DataFrame) -> DataFrame:
                        else col(f.name) for f in df.schema.fields])
 
 
-def column_stats(df: DataFrame, date_candidates: Sequence[str] = ()) -> dict[str, dict[str, int]]:
-    """One aggregate: rows, non-null and distinct counts of every column, and
-    parsed-date counts of ``date_candidates`` (inputs of C-09..C-12a)."""
+def column_stats(df: DataFrame, date_candidates: Sequence[str] = (),
+                 distinct: Sequence[str] = ()) -> dict[str, dict[str, int]]:
+    """One aggregate: rows and non-null counts of every column, and parsed-date
+    counts of ``date_candidates`` (inputs of C-09 and C-12a); exact distinct
+    counts only of the ``distinct`` columns, from one unpivoted aggregate."""
     aggs = [F.count(F.lit(1)).alias("_n")]
-    for i, c in enumerate(df.columns):
-        aggs += [F.count(col(c)).alias(f"nn{i}"), F.countDistinct(col(c)).alias(f"nd{i}")]
+    for i, f in enumerate(df.schema.fields):
+        aggs.append(F.count(present(col(f.name), f.dataType)).alias(f"nn{i}"))
     for i, c in enumerate(date_candidates):
         aggs.append(F.count(parse_timestamp(col(c))).alias(f"dp{i}"))
     row = df.agg(*aggs).first()
     n = row["_n"]
-    stats = {c: {"n": n, "non_null": row[f"nn{i}"], "distinct": row[f"nd{i}"]} for i, c in enumerate(df.columns)}
+    stats = {c: {"n": n, "non_null": row[f"nn{i}"]} for i, c in enumerate(df.columns)}
+    if distinct:
+        known = {r["column_name"]: r["n_distinct"] for r in distinct_per_column(df, distinct).collect()}
+        for c in distinct:
+            stats[c]["distinct"] = known.get(c, 0)
     for i, c in enumerate(date_candidates):
         stats[c]["parsed"] = row[f"dp{i}"]
     return stats
@@ -167,15 +203,17 @@ def pipeline_stats(df: DataFrame, date_candidates: Sequence[str] = (), ratio: fl
     """Inputs of C-09..C-12a without an exact distinct count per column.
 
     Constant columns are found with min/max (no distinct count needed);
-    text columns get an HLL distinct estimate, recounted exactly only when
-    the estimate lies within ``margin`` of the ID-like ``ratio``, so the
-    decisions equal those of exact counts.
+    text columns get an HLL distinct estimate, recounted exactly when the
+    estimate lies above ``ratio - margin`` (its error is under 5 % rsd, so a
+    column estimated lower is below the ratio), so no column is dropped on an
+    estimate.
     """
     fields = df.schema.fields
     texts = [f.name for f in fields if is_string(f.dataType)]
     aggs = [F.count(F.lit(1)).alias("_n")]
     for i, f in enumerate(fields):
         c = col(f.name)
+        c = present(c, f.dataType)
         aggs += [F.count(c).alias(f"nn{i}"), F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}")]
     for i, c in enumerate(texts):
         aggs.append(F.approx_count_distinct(col(c)).alias(f"ad{i}"))  # rsd 5 %: margin 0.2 is > 4 sigma
@@ -198,12 +236,11 @@ def pipeline_stats(df: DataFrame, date_candidates: Sequence[str] = (), ratio: fl
         est = row[f"ad{i}"]
         stats[c]["approx"] = est
         stats[c]["distinct"] = max(stats[c]["distinct"], est) if stats[c]["distinct"] > 1 else stats[c]["distinct"]
-        if stats[c]["distinct"] > 1 and abs(est / max(n, 1) - ratio) <= margin:
+        if stats[c]["distinct"] > 1 and est / max(n, 1) >= ratio - margin:
             near.append(c)
     if near:
-        exact = df.agg(*[F.countDistinct(col(c)).alias(f"x{i}") for i, c in enumerate(near)]).first()
-        for i, c in enumerate(near):
-            stats[c]["distinct"] = exact[f"x{i}"]
+        for r in distinct_per_column(df, near).collect():
+            stats[r["column_name"]]["distinct"] = r["n_distinct"]
     for i, c in enumerate(date_candidates):
         stats[c]["parsed"] = row[f"dp{i}"]
     return stats
@@ -236,7 +273,7 @@ def id_like_columns(df: DataFrame, stats: dict, max_unique_ratio: float = 0.9) -
 
 def drop_id_like(df: DataFrame, max_unique_ratio: float = 0.9, stats: dict | None = None) -> DataFrame:
     """C-10: drop ID-like text columns."""
-    stats = stats or column_stats(df)
+    stats = stats or pipeline_stats(df, ratio=max_unique_ratio)
     drop = set(id_like_columns(df, stats, max_unique_ratio))
     return df.select(*[col(c) for c in df.columns if c not in drop])
 
@@ -253,7 +290,8 @@ def constant_columns(stats: dict, target: str | None = None) -> list[str]:
 
 def drop_constant(df: DataFrame, target: str | None = None, stats: dict | None = None) -> DataFrame:
     """C-11: drop constant columns (target exempt)."""
-    stats = stats or column_stats(df)
+    # minimum and maximum tell a constant: no distinct count is needed
+    stats = stats or pipeline_stats(df, ratio=float("inf"))
     drop = set(constant_columns(stats, target))
     return df.select(*[col(c) for c in df.columns if c not in drop])
 
@@ -308,8 +346,9 @@ def add_default_target(df: DataFrame, target: str = "sales_category") -> DataFra
     if base is None:
         return df
     x = col(base).cast("double")
-    q = df.agg(F.percentile(x, F.array(F.lit(0.33), F.lit(0.67), F.lit(0.5))).alias("q")).first()["q"]
-    q33, q67, med = (q if q else (None, None, None))
+    q = {r["prob"]: r["quantile"] for r in
+         exact_quantiles(long_values(df.select(x.alias("_x")), ["_x"]), [0.33, 0.5, 0.67]).collect()}
+    q33, q67, med = q.get(0.33), q.get(0.67), q.get(0.5)
     return df.withColumn(target, tier_expr(x, q33, q67, med))
 
 
@@ -372,7 +411,7 @@ def encode_categories(df: DataFrame, target: str | None = None, columns: Sequenc
         return df
     long = long_values(df, cols, as_type="string")
     small = _few_distinct(long, broadcast_limit)
-    codes = dense_codes(long, small=small)
+    codes = dense_codes(long, small=small).checkpoint(eager=True)   # one code table for all columns
     out = df
     for i, c in enumerate(cols):
         m = codes.where(F.col("column_name") == c).select(F.col("value").alias(f"_v{i}"), F.col("code").alias(f"_c{i}"))
@@ -391,7 +430,7 @@ def clean(df: DataFrame, target: str = "sales_category", return_report: bool = F
     derived, (4) medians and modes; then the category-code table.
     """
     report: dict[str, list[str]] = {}
-    df = dedupe_names(drop_unnamed(strip_names(df)))
+    df = nan_to_null(dedupe_names(drop_unnamed(strip_names(df))))
     df = drop_empty_rows(df)
     # job 1: empty columns and numeric-text candidates, measured on the trimmed cells
     fields = df.schema.fields
@@ -450,7 +489,7 @@ def clean(df: DataFrame, target: str = "sales_category", return_report: bool = F
     return df
 
 
-CODE_LITERAL_LIMIT = 10_000
+CODE_LITERAL_LIMIT = 64   # more values are coded by a join
 
 
 def _fill_and_encode(df: DataFrame, target: str, null_counts: dict[str, int], stats: dict) -> DataFrame:
@@ -532,7 +571,8 @@ def default_rules(df: DataFrame, max_missing: float = 0.7, max_unique_ratio: flo
     or mode; plus one ``target`` row (known name, else the text column with
     the fewest distinct values).
     """
-    stats = column_stats(df)
+    texts = [f.name for f in df.schema.fields if is_string(f.dataType)]
+    stats = column_stats(df, distinct=texts)
     rows, dropped, text_uniques = [], set(), []
     for f in df.schema.fields:
         s = stats[f.name]
@@ -590,8 +630,7 @@ def apply_cast(df: DataFrame, cast: dict[str, str]) -> DataFrame:
         if not kind:
             exprs.append(c)
         elif "int" in kind or "float" in kind or "num" in kind:
-            exprs.append((c.cast("double") if is_numeric(f.dataType) else (_strip_ws(c)).try_cast("double"))
-                         .alias(f.name))
+            exprs.append((c.cast("double") if is_numeric(f.dataType) else parse_number(c)).alias(f.name))
         elif "str" in kind or "object" in kind:
             exprs.append(c.cast("string").alias(f.name))
         else:
@@ -620,7 +659,7 @@ def apply_impute(df: DataFrame, impute: dict[str, str], stats: dict[str, object]
         if fill is None:
             exprs.append(c)
         elif is_numeric(f.dataType):
-            exprs.append(F.coalesce(c.cast("double"), F.lit(float(fill))).alias(f.name))
+            exprs.append(F.coalesce(present(c, f.dataType).cast("double"), F.lit(float(fill))).alias(f.name))
         else:
             exprs.append(F.coalesce(c, F.lit(str(fill))).alias(f.name))
     return df.select(*exprs)
@@ -657,7 +696,7 @@ def safe_numeric_expr(c: Column, dtype: T.DataType) -> Column:
         return c.cast("long")
     if is_numeric(dtype):
         return c.cast("double")
-    return (_strip_ws(c.cast("string"))).try_cast("double")
+    return parse_number(c.cast("string"))
 
 
 def safe_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -685,7 +724,3 @@ def training_guards(df: DataFrame, target: str, min_rows: int = 10) -> DataFrame
         ("min_classes", classes >= 2, str(classes)),
     ]
     return df.sparkSession.createDataFrame(checks, "check string, passed boolean, actual string")
-
-
-def quote_all(names: Sequence[str]) -> str:
-    return ", ".join(quote(n) for n in names)

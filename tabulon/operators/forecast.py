@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.functions.columns import col, datetime_columns, is_numeric, string_columns
+from tabulon.functions.columns import col, datetime_columns, is_numeric, parse_number, string_columns
 from tabulon.functions.dates import parse_timestamp
 
 DATE_NAME_HINTS = ("date", "time", "month", "year")
@@ -58,7 +58,7 @@ def monthly(df: DataFrame, date_col: str, value_col: str, by: Sequence[str] = ()
     not appear (parity: the series is compressed, not zero-filled).
     """
     value = col(value_col).cast("double") if is_numeric(df.schema[value_col].dataType) \
-        else (col(value_col)).try_cast("double")
+        else parse_number(col(value_col))
     base = df.select(*[col(b) for b in by], _as_timestamp(df, date_col).alias("_ts"), value.alias("_v"))
     base = base.where(F.col("_ts").isNotNull() & F.col("_v").isNotNull() & ~F.isnan("_v"))
     return base.groupBy(*by, F.last_day("_ts").alias("month_end")).agg(

@@ -159,30 +159,29 @@ def permutation_importance(model: PipelineModel, test: DataFrame, target: str, f
     """M-05: mean and (population) std of the accuracy drop when one feature's
     values are permuted, over ``repeats`` permutations.
 
-    A permutation is drawn per (feature, repeat) without a global sort: rows
-    fall into random buckets of about ``bucket_rows`` and every row takes the
-    value of the next row of its bucket (cyclic, random order).  All
-    (feature, repeat) copies are scored in one pass.
+    A permutation is drawn per repeat without a global sort: rows fall into
+    random buckets of about ``bucket_rows`` and every row takes the feature
+    values of the next row of its bucket (cyclic, random order).  The copies
+    with one permuted feature each are made by a projection after that single
+    shuffle, and all are scored in one pass.
     """
     base = test.withColumn("_rid", hash_order(keys))
     n = base.count()
     buckets = max(1, math.ceil(n / bucket_rows))
     base_acc = accuracy(predict(model, base, target, features)).first()["accuracy"]
-    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("rep"))
-                      for f in features for r in range(repeats)])
-    long = base.select("_rid", F.explode_outer(pairs).alias("_p")).select("_rid", "_p.feature", "_p.rep")
-    vals = base.select("_rid", F.explode_outer(F.array(*[F.struct(F.lit(f).alias("feature"),
-                                                            col(f).cast("double").alias("v"))
-                                                   for f in features])).alias("_v")).select("_rid", "_v.feature", "_v.v")
-    long = long.join(vals, ["_rid", "feature"])
-    h = F.xxhash64("_rid", "feature", "rep", F.lit(seed))
-    long = long.withColumn("_b", F.pmod(h, F.lit(buckets))).withColumn("_o", h)
-    w = Window.partitionBy("feature", "rep", "_b").orderBy("_o", "_rid")
-    permuted = long.withColumn("_pv", F.coalesce(F.lead("v").over(w), F.first("v").over(
-        w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    copies = permuted.select("_rid", "feature", "rep", "_pv").join(base, "_rid")
+    own = F.struct(*[col(f).cast("double").alias(f) for f in features])
+    drawn = base.select("_rid", col(target), own.alias("_own"),
+                        F.explode(F.array(*[F.lit(r) for r in range(repeats)])).alias("rep"))
+    h = F.xxhash64("_rid", "rep", F.lit(seed))
+    drawn = drawn.withColumn("_o", h).withColumn("_b", F.pmod(h, F.lit(buckets)))
+    w = Window.partitionBy("rep", "_b").orderBy("_o", "_rid")
+    other = F.coalesce(F.lead("_own").over(w), F.first("_own").over(
+        w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    copies = drawn.withColumn("_other", other).withColumn(
+        "feature", F.explode(F.array(*[F.lit(f) for f in features])))
     swapped = copies.select("feature", "rep", col(target), *[
-        F.when(F.col("feature") == F.lit(f), F.col("_pv")).otherwise(col(f).cast("double")).alias(f) for f in features])
+        F.when(F.col("feature") == F.lit(f), F.col("_other").getField(f)).otherwise(F.col("_own").getField(f)).alias(f)
+        for f in features])
     scored = predict(model, swapped, target, features)
     per_rep = scored.groupBy("feature", "rep").agg(
         (F.lit(base_acc) - F.avg((F.col("prediction") == F.col(LABEL)).cast("double"))).alias("drop"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulon.functions.columns import col, dtype_name, is_numeric, numeric_columns
-from tabulon.functions.ordering import exact_quantiles, long_values
+from tabulon.functions.ordering import distinct_per_column, exact_quantiles, long_values
 from tabulon.functions.topk import top_k_per_group
 
 
@@ -196,11 +196,12 @@ def class_balance(df: DataFrame, column: str, digits: int = 2) -> DataFrame:
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """A-09: distinct values per column, without and with null counted as a value."""
     cols = list(columns or df.columns)
-    uniq = (lambda c: F.approx_count_distinct(c)) if approx else (lambda c: F.countDistinct(c))
-    out = per_column(df, cols, {
-        "n_distinct": uniq,
-        "has_null": lambda c: F.max(F.when(c.isNull(), 1).otherwise(0)),
-    })
+    nulls = {"has_null": lambda c: F.max(F.when(c.isNull(), 1).otherwise(0))}
+    if approx:
+        out = per_column(df, cols, {"n_distinct": F.approx_count_distinct, **nulls})
+    else:
+        out = per_column(df, cols, nulls).join(distinct_per_column(df, cols), "column_name", "left") \
+            .withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0)))
     return out.select("column_name", F.col("n_distinct").cast("long").alias("n_distinct"),
                       (F.col("n_distinct") + F.col("has_null")).cast("long").alias("n_distinct_with_null"))
 
@@ -336,8 +337,8 @@ def column_metadata(df: DataFrame, order_by: Sequence[str], examples: int = 3) -
     stats = per_column(df, cols, {
         "n": lambda c: F.count(F.lit(1)),
         "nulls": lambda c: F.sum(F.when(c.isNull(), 1).otherwise(0)),
-        "nunique": lambda c: F.countDistinct(c),
-    })
+    }).join(distinct_per_column(df, cols).withColumnRenamed("n_distinct", "nunique"), "column_name", "left") \
+        .withColumn("nunique", F.coalesce("nunique", F.lit(0)))
     ex = first_values(df, order_by, examples, cols).groupBy("column_name").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda s: s["value"]),
                      " | ").alias("examples"))  # at most `examples` items per column
@@ -351,7 +352,9 @@ def column_metadata(df: DataFrame, order_by: Sequence[str], examples: int = 3) -
 def column_summary(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
     """A-20: dtype, distinct count and first value (under ``order_by``) per column."""
     cols = df.columns
-    stats = per_column(df, cols, {"nunique": lambda c: F.countDistinct(c)})
+    stats = per_column(df, cols, {"n": lambda c: F.count(c)}).join(
+        distinct_per_column(df, cols).withColumnRenamed("n_distinct", "nunique"), "column_name", "left") \
+        .withColumn("nunique", F.coalesce("nunique", F.lit(0)))
     first = first_values(df, order_by, 1, cols).select("column_name", F.col("value").alias("first_value"))
     types = df.sparkSession.createDataFrame(
         [(f.name, dtype_name(f.dataType)) for f in df.schema.fields], "column_name string, dtype string")
@@ -404,8 +407,9 @@ def dataset_context(df: DataFrame, order_by: Sequence[str], target: str | None =
     if nums:
         st = per_column(df, nums, {
             "min": lambda c: F.min(_num(c)), "max": lambda c: F.max(_num(c)),
-            "avg": lambda c: F.avg(_num(c)), "uniq": lambda c: F.countDistinct(c),
-        })
+            "avg": lambda c: F.avg(_num(c)),
+        }).join(distinct_per_column(df, nums).withColumnRenamed("n_distinct", "uniq"), "column_name", "left") \
+            .withColumn("uniq", F.coalesce("uniq", F.lit(0)))
         parts.append(st.select(F.lit("numeric").alias("section"), "column_name", F.inline(F.array(
             F.struct(F.lit("min").alias("key"), F.format_number("min", 2).alias("value")),
             F.struct(F.lit("max").alias("key"), F.format_number("max", 2).alias("value")),

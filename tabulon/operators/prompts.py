@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.functions.columns import col
+from tabulon.functions.columns import col, parse_number
 
 # Intent keywords, tested in this order on the lower-cased prompt.
 INTENT_WORDS = [
@@ -70,19 +70,22 @@ def intent(df: DataFrame, text_col: str, numeric_columns: Sequence[str] = (), tr
         "column_name", F.when(F.col("intent") == "column", mentioned[0]))
 
 
+def stated_value(text: Column, feature: str) -> Column:
+    """The value a text gives for ``feature`` (first match), or null."""
+    v = F.regexp_extract(text, r"(?i)" + re.escape(feature) + r"\s*(?:=|is|:)\s*([A-Za-z0-9_.-]+)", 1)
+    return F.when(v != "", v)
+
+
 def facts(df: DataFrame, keys: Sequence[str], text_col: str, features: Sequence[str]) -> DataFrame:
     """N-02: ``feature (=|is|:) value`` per feature, first match, case-insensitive.
 
     Output: keys..., feature, value_text, value_num (null when not a number).
     """
-    structs = []
-    for f in features:
-        pattern = r"(?i)" + re.escape(f) + r"\s*(?:=|is|:)\s*([A-Za-z0-9_.-]+)"
-        v = F.regexp_extract(col(text_col), pattern, 1)
-        structs.append(F.struct(F.lit(f).alias("feature"), F.when(v != "", v).alias("value_text")))
+    structs = [F.struct(F.lit(f).alias("feature"), stated_value(col(text_col), f).alias("value_text"))
+               for f in features]
     ex = df.select(*[col(k) for k in keys], F.explode_outer(F.array(*structs)).alias("_f"))
     return ex.select(*keys, "_f.feature", "_f.value_text").where(F.col("value_text").isNotNull()) \
-        .withColumn("value_num", F.col("value_text").try_cast("double"))
+        .withColumn("value_num", parse_number(F.col("value_text")))
 
 
 def _looks_like_column(word: Column) -> Column:

@@ -16,9 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.functions.columns import col, is_numeric
+from tabulon.functions.columns import col, is_numeric, parse_number
 
-MAX_COMPILED_RULES = 4096
+COMPILED_RULES = 1024   # rules in one projection
 
 RULE_SCHEMA = "rule_id int, conditions array<string>, prediction string, confidence double, samples long"
 
@@ -33,14 +33,16 @@ def parse_condition(c: Column) -> Column:
     sep = F.when(op == "<=", F.lit(" <= ")).otherwise(F.lit(" > "))
     parts = F.split(c, sep)
     return F.struct(F.trim(parts[0]).alias("feature"), op.alias("op"),
-                    F.trim(parts[1]).cast("double").alias("threshold"))
+                    parse_number(F.get(parts, F.lit(1))).alias("threshold"))
 
 
 def parse_rules(rules: DataFrame) -> DataFrame:
-    """R-01 over a rule table -> one row per condition (rule_id, position, feature, op, threshold, condition)."""
+    """R-01 over a rule table -> one row per condition (rule_id, position, feature, op, threshold,
+    condition); conditions without an operator or a number are left out."""
     ex = rules.select("rule_id", F.posexplode("conditions").alias("position", "condition"))
     return ex.select("rule_id", "position", "condition", parse_condition(F.col("condition")).alias("p")) \
-        .select("rule_id", "position", "p.feature", "p.op", "p.threshold", "condition")
+        .select("rule_id", "position", "p.feature", "p.op", "p.threshold", "condition") \
+        .where(F.col("op").isNotNull() & F.col("threshold").isNotNull())
 
 
 def _parse_text(cond: str) -> tuple[str, str, float]:
@@ -54,9 +56,14 @@ def _parse_text(cond: str) -> tuple[str, str, float]:
 def condition_matches(feature_value: Column, op: str, threshold: float) -> Column:
     """R-02: one condition against a fact value; an unknown (null) or
     non-numeric value counts as satisfied."""
-    v = feature_value.cast("string").try_cast("double") if not isinstance(feature_value, float) else feature_value
+    v = F.coalesce(parse_number(feature_value.cast("string")), _special(feature_value.cast("string")))
     test = (v <= F.lit(threshold)) if op == "<=" else (v > F.lit(threshold))
-    return F.coalesce(test, F.lit(True))
+    # NaN is larger than everything in Spark, but satisfies no comparison
+    return F.coalesce(test & ~F.isnan(v), F.lit(True))
+
+
+def _special(s: Column) -> Column:
+    return F.when(F.lower(F.trim(s)).isin("nan", "infinity", "-infinity", "inf", "-inf"), s.try_cast("double"))
 
 
 def deduce(facts: DataFrame, rules: DataFrame, keys: Sequence[str], top_k: int = 3) -> DataFrame:
@@ -68,54 +75,58 @@ def deduce(facts: DataFrame, rules: DataFrame, keys: Sequence[str], top_k: int =
     Output: keys..., rank, rule_id, prediction, confidence, match_score,
     known_conditions, samples.
     """
-    rule_rows = rules.orderBy("rule_id").limit(MAX_COMPILED_RULES + 1).collect()
-    if len(rule_rows) > MAX_COMPILED_RULES:
-        raise ValueError(f"rule base larger than {MAX_COMPILED_RULES} rules")
     fact_cols = set(facts.columns)
     numeric = {f.name for f in facts.schema.fields if is_numeric(f.dataType)}
 
     def value(feat):  # numbers cast directly; text goes through the tolerant parse
-        return col(feat).cast("double") if feat in numeric else col(feat).cast("string").try_cast("double")
+        text = col(feat).cast("string")
+        return col(feat).cast("double") if feat in numeric else F.coalesce(parse_number(text), _special(text))
 
-    scored = []
-    for r in rule_rows:
+    def compiled(r):
         conds = list(r["conditions"] or [])
-        if not conds:
-            continue
         sat, known = [], []
         for cond in conds:
             feat, op, thr = _parse_text(cond)
             if feat in fact_cols:
                 v = value(feat)
-                sat.append(F.coalesce((v <= F.lit(thr)) if op == "<=" else (v > F.lit(thr)), F.lit(True)).cast("int"))
+                test = ((v <= F.lit(thr)) if op == "<=" else (v > F.lit(thr))) & ~F.isnan(v)
+                sat.append(F.coalesce(test, F.lit(True)).cast("int"))
                 known.append(v.isNotNull().cast("int"))
             else:
                 sat.append(F.lit(1))
                 known.append(F.lit(0))
-        total = len(conds)
-        n_sat = sat[0]
-        for s in sat[1:]:
-            n_sat = n_sat + s
-        n_known = known[0]
-        for k in known[1:]:
-            n_known = n_known + k
-        scored.append(F.struct(
-            F.round(n_sat / F.lit(float(total)), 4).alias("match_score"),
+        return F.struct(
+            F.round(sum(sat[1:], sat[0]) / F.lit(float(len(conds))), 4).alias("match_score"),
             F.lit(r["confidence"]).cast("double").alias("confidence"),
             F.lit(-int(r["rule_id"])).alias("neg_rule_id"),
             F.lit(int(r["rule_id"])).alias("rule_id"),
             F.lit(r["prediction"]).alias("prediction"),
-            n_known.alias("known_conditions"),
+            sum(known[1:], known[0]).alias("known_conditions"),
             F.lit(r["samples"]).cast("long").alias("samples"),
-        ))
-    if not scored:
+        )
+
+    # the rules are compiled in chunks; a row keeps the best so far, so any number of rules is projections only
+    best, chunk = None, []
+    rows = facts
+
+    def keep(rows, best, chunk):
+        found = F.array(*chunk) if best is None else F.concat(F.col("_best"), F.array(*chunk))
+        return rows.withColumn("_best", F.slice(F.sort_array(found, asc=False), 1, top_k))
+
+    for r in rules.orderBy("rule_id").toLocalIterator():
+        if r["conditions"]:
+            chunk.append(compiled(r))
+        if len(chunk) == COMPILED_RULES:
+            rows, best, chunk = keep(rows, best, chunk), True, []
+    if chunk:
+        rows, best = keep(rows, best, chunk), True
+    if best is None:
         return facts.sparkSession.createDataFrame(
             [], ", ".join(f"{k} {facts.schema[k].dataType.simpleString()}" for k in keys)
             + ", rank int, rule_id int, prediction string, confidence double, match_score double,"
               " known_conditions int, samples long")
     # struct ordering is field by field: score, confidence, then rule order (via -rule_id)
-    best = F.slice(F.sort_array(F.array(*scored), asc=False), 1, top_k)
-    out = facts.select(*[col(k) for k in keys], F.posexplode_outer(best).alias("_pos", "_r"))
+    out = rows.select(*[col(k) for k in keys], F.posexplode_outer("_best").alias("_pos", "_r"))
     return out.select(*keys, (F.col("_pos") + 1).alias("rank"), "_r.rule_id", "_r.prediction", "_r.confidence",
                       "_r.match_score", "_r.known_conditions", "_r.samples")
 
@@ -166,7 +177,3 @@ def rules_frame(spark, rules: Sequence[dict]) -> DataFrame:
     rows = [(i, list(r["conditions"]), str(r["prediction"]), float(r["confidence"]), int(r["samples"]))
             for i, r in enumerate(rules)]
     return spark.createDataFrame(rows, RULE_SCHEMA)
-
-
-def rule_schema() -> T.StructType:
-    return T._parse_datatype_string(RULE_SCHEMA)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulon.functions.columns import col, is_numeric, is_string
-from tabulon.functions.ordering import dense_codes, exact_quantiles, is_small, long_values
+from tabulon.functions.ordering import dense_codes, distinct_per_column, exact_quantiles, is_small, long_values
 from tabulon.operators.clean import tier_expr
 
 # Target names recognised by detect_target (case-insensitive), in order.
@@ -46,11 +46,10 @@ def detect_target(df: DataFrame, requested: str | None = None) -> DataFrame:
     nums = [f.name for f in df.schema.fields if is_numeric(f.dataType)]
     if nums:
         return one(f"{nums[0]}_tier", "first_numeric")
-    row = df.agg(F.count(F.lit(1)).alias("_n"),
-                 *[F.countDistinct(col(c)).alias(f"d{i}") for i, c in enumerate(df.columns)]).first()
-    limit = min(20, max(2, row["_n"] // 3))
-    for i, c in enumerate(df.columns):
-        if row[f"d{i}"] <= limit:
+    limit = min(20, max(2, df.count() // 3))
+    known = {r["column_name"]: r["n_distinct"] for r in distinct_per_column(df, df.columns).collect()}
+    for c in df.columns:
+        if known.get(c, 0) <= limit:
             return one(c, "low_cardinality")
     return one("analyst_cluster", "fallback")
 
@@ -134,8 +133,8 @@ def target_usable(df: DataFrame, target: str) -> DataFrame:
 def guess_stratify_column(df: DataFrame) -> DataFrame:
     """T-07: known target name with >= 2 distinct values, else the text column
     with the fewest distinct values among those with 2..20 (first on ties)."""
-    row = df.agg(*[F.countDistinct(col(c)).alias(f"d{i}") for i, c in enumerate(df.columns)]).first()
-    nd = {c: row[f"d{i}"] for i, c in enumerate(df.columns)}
+    known = {r["column_name"]: r["n_distinct"] for r in distinct_per_column(df, df.columns).collect()}
+    nd = {c: known.get(c, 0) for c in df.columns}
     pick = next((c for c in STRATIFY_NAMES if c in df.columns and nd[c] >= 2), None)
     reason = "known_name"
     if pick is None:
@@ -163,18 +162,6 @@ def equal_width_edges(lo: float, hi: float, bins: int) -> list[float]:
     return edges
 
 
-def edge_columns(lo: Column, hi: Column, bins: int) -> list[Column]:
-    """``equal_width_edges`` as column expressions (same IEEE operations)."""
-    const = lo == hi
-    d = F.when(lo != 0, F.abs(lo) * 0.001).otherwise(F.lit(0.001))
-    lo2 = F.when(const, lo - d).otherwise(lo)
-    hi2 = F.when(const, hi + d).otherwise(hi)
-    step = (hi2 - lo2) / bins
-    edges = [F.lit(i) * step + lo2 for i in range(bins)] + [hi2]
-    edges[0] = F.when(const, edges[0]).otherwise(edges[0] - (hi2 - lo2) * 0.001)
-    return edges
-
-
 def bin_index(x: Column, edges: Sequence[Column]) -> Column:
     """Right-closed bin of ``x``: first i with x <= edges[i+1]; null outside."""
     n = len(edges) - 1

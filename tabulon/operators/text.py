@@ -1,11 +1,10 @@
 """Text operators X-01..X-06 and the sentence/paragraph splitter S-04.
 
-TF-IDF is built as a postings table (doc_id, term, weight) with Spark ML's
-``StopWordsRemover`` and ``NGram`` for the token pipeline and plain
-aggregates for term and document frequencies.  The vocabulary is the
-``max_terms`` most frequent terms (a top-k, so its broadcast size is bounded
-by ``max_terms``).  Search joins query postings to document postings on the
-term and keeps the top-k documents per query with the salted two-phase top-k.
+TF-IDF counts terms inside every document row (Arrow batches); only term
+counts are shuffled, the vocabulary is the ``max_terms`` most frequent terms
+(a top-k, so its broadcast size is bounded), and weights and norms are
+computed in the row.  Search multiplies each document's weights with a block
+of query vectors and keeps the top-k per query inside the task.
 
 Deviation: stop words are Spark ML's built-in English list, not the list of
 the reference's library (which is not available here).
@@ -13,18 +12,21 @@ the reference's library (which is not available here).
 
 from __future__ import annotations
 
+import math
 import pkgutil
+from collections import Counter
 from collections.abc import Sequence
 from functools import lru_cache
 
-from pyspark.ml.feature import NGram, StopWordsRemover
+import numpy as np
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabulon.functions.columns import WHITESPACE, WS_CLASS, col, string_columns
 from tabulon.functions.columns import strip_ws as _strip
-from tabulon.functions.ordering import is_small
-from tabulon.functions.topk import top_k_per_group
 
 # Token pattern (runs of 2+ letters, digits or underscores) and
 # the splitter of S-04 (blank line, or whitespace after . ! ?).
@@ -32,7 +34,8 @@ TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 SPLIT_PATTERN = r"\n" + WS_CLASS + r"*\n|(?<=[.!?])" + WS_CLASS + "+"
 EMPTY_TEXT_CHUNK = "No readable text was provided."
 
-BROADCAST_QUERY_POSTINGS = 5_000_000
+SNIPPET = 420          # characters of a match that search returns
+FLUSH_TERMS = 500_000  # different terms a task counts before it hands them on
 
 
 @lru_cache(maxsize=1)
@@ -123,75 +126,164 @@ def normalize_bullets(c: Column) -> Column:
 
 # --- X-02 / X-03 ------------------------------------------------------------------
 
-def terms(df: DataFrame, id_col: str, text_col: str, ngram: int = 2) -> DataFrame:
-    """Lower-cased tokens minus stop words, plus their n-grams up to ``ngram``:
-    one row per (id, term) occurrence."""
-    tok = df.select(col(id_col).alias("_id"),
-                    F.regexp_extract_all(F.lower(col(text_col)), F.lit(TOKEN_PATTERN), 0).alias("_tokens"))
-    sw = StopWordsRemover(inputCol="_tokens", outputCol="_words", stopWords=list(english_stop_words()))
-    words = sw.transform(tok)
-    cols = [F.col("_words")]
+def _term_counts(text: str | None, find, stop: frozenset[str], ngram: int) -> Counter:
+    """Lower-cased tokens minus stop words, and their n-grams up to ``ngram``, with counts."""
+    words = [w for w in find((text or "").lower()) if w not in stop]
+    out = Counter(words)
     for n in range(2, ngram + 1):
-        words = NGram(n=n, inputCol="_words", outputCol=f"_g{n}").transform(words)
-        cols.append(F.col(f"_g{n}"))
-    # explode_outer: no inferred filter re-running the token pipeline; empty
-    # documents give a null term, removed here
-    return words.select(F.col("_id").alias(id_col), F.explode_outer(F.concat(*cols)).alias("term")) \
-        .where(F.col("term").isNotNull())
+        out.update(" ".join(g) for g in zip(*[words[i:] for i in range(n)], strict=False))
+    return out
+
+
+def _counter(ngram: int):
+    """The per-text counting function, made inside a task."""
+    find, stop = regex.compile(TOKEN_PATTERN).findall, frozenset(english_stop_words())
+    return lambda text: _term_counts(text, find, stop, ngram)
+
+
+def vocabulary(docs: DataFrame, text_col: str, max_terms: int = 4000, ngram: int = 2) -> DataFrame:
+    """The ``max_terms`` most frequent terms (corpus count desc, term asc): term, df, idf with
+    idf = ln((1 + n) / (1 + df)) + 1.  Tasks count their own texts; only term counts are shuffled."""
+    def run(batches):
+        count, cf, df = _counter(ngram), Counter(), Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                terms = count(text)
+                cf.update(terms)
+                df.update(terms.keys())
+                if len(cf) > FLUSH_TERMS:
+                    yield _partial(cf, df)
+                    cf, df = Counter(), Counter()
+        yield _partial(cf, df)
+
+    def _partial(cf, df):
+        return pa.RecordBatch.from_arrays([pa.array(list(cf), pa.string()), pa.array(list(cf.values()), pa.int64()),
+                                           pa.array([df[t] for t in cf], pa.int64())], names=["term", "cf", "df"])
+
+    n_docs = docs.count()
+    stats = docs.select(text_col).mapInArrow(run, "term string, cf long, df long") \
+        .groupBy("term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"))
+    top = (stats.orderBy(F.desc("cf"), "term").limit(max_terms)
+           .select("term", "df", (F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1).alias("idf")))
+    # the vocabulary is a top-k: at most max_terms rows reach the driver
+    return docs.sparkSession.createDataFrame(top.collect(), "term string, df long, idf double")
+
+
+def _weights(terms: Counter, idf: dict[str, float]) -> list[tuple[str, int, float]]:
+    """(term, tf, weight) of the vocabulary terms, L2-normalised over the text."""
+    known = [(t, n, n * idf[t]) for t, n in terms.items() if t in idf]
+    norm = math.sqrt(sum(w * w for _, _, w in known))
+    return [(t, n, w / norm) for t, n, w in known]
+
+
+def postings_of(docs: DataFrame, id_col: str, text_col: str, vocab: DataFrame, ngram: int = 2) -> DataFrame:
+    """id, term, tf, weight (tf * idf, L2-normalised per document): a map over the documents, no shuffle."""
+    idf = docs.sparkSession.sparkContext.broadcast({r["term"]: r["idf"] for r in vocab.collect()})
+
+    def run(batches):
+        count = _counter(ngram)
+        for batch in batches:
+            at, rows = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                own = _weights(count(text), idf.value)
+                at += [i] * len(own)
+                rows += own
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(at, pa.int64())), pa.array([r[0] for r in rows], pa.string()),
+                 pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())],
+                names=[id_col, "term", "tf", "weight"])
+
+    pairs = docs.select(col(id_col), col(text_col))
+    schema = pairs.select(col(id_col)).schema.add("term", "string").add("tf", "long").add("weight", "double")
+    return pairs.mapInArrow(run, schema)
 
 
 def tfidf_index(docs: DataFrame, id_col: str, text_col: str, max_terms: int = 4000, ngram: int = 2):
-    """X-02: (postings, vocabulary).
+    """X-02: (postings, vocabulary); see ``postings_of`` and ``vocabulary``."""
+    vocab = vocabulary(docs, text_col, max_terms, ngram)
+    return postings_of(docs, id_col, text_col, vocab, ngram), vocab
+
+
+def search(queries: DataFrame, query_id: str, query_text: str, docs: DataFrame, doc_id: str, text_col: str,
+           vocab: DataFrame, top_k: int = 4, min_score: float = 0.04, score_digits: int = 10,
+           ngram: int = 2, query_block: int = 1000) -> DataFrame:
+    """X-03: cosine top-k documents per query with the first ``SNIPPET`` characters of each;
+    queries whose best score is under ``min_score`` get no rows.
 
-    postings: id, term, tf, weight  — weight = tf * idf, L2-normalised per document
-    vocabulary: term, df, idf       — the ``max_terms`` most frequent terms
-    (corpus count desc, term asc), idf = ln((1 + n) / (1 + df)) + 1.
+    Queries are taken in blocks (one pass over the documents each), and every
+    task keeps the ``top_k`` of its own documents per query, so what is
+    shuffled is bounded by tasks x queries x top_k.  Scores are rounded so that copies of a document tie exactly
+    and fall back to document order.  Output: query_id, rank, doc_id, score, snippet.
     """
-    # hash-partition the documents once: the (document, term) count and the
-    # per-document norm then need no further shuffle, and the shuffle moves
-    # the raw text rather than the (larger) exploded terms
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    occ = terms(docs.repartition(parts, col(id_col)), id_col, text_col, ngram)
-    # the (document, term) counts feed both the vocabulary and the postings:
-    # materialise them once in the shared checkpoint folder
-    tf = occ.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")).checkpoint(eager=True)
-    n_docs = docs.select(col(id_col)).count()
-    stats = tf.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
-    top = (stats.orderBy(F.desc("cf"), "term").limit(max_terms)
-           .select("term", "df", (F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1).alias("idf")))
-    # the vocabulary is a top-k: at most max_terms rows reach the driver
-    vocab = docs.sparkSession.createDataFrame(top.collect(), "term string, df long, idf double")
-    raw = tf.join(F.broadcast(vocab.select("term", "idf")), "term").withColumn("_w", F.col("tf") * F.col("idf"))
-    w = Window.partitionBy(id_col)  # one document's postings: at most max_terms rows
-    postings = raw.withColumn("weight", F.col("_w") / F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(w))) \
-        .select(id_col, "term", "tf", "weight")
-    return postings, vocab
-
-
-def query_postings(queries: DataFrame, id_col: str, text_col: str, vocab: DataFrame, ngram: int = 2) -> DataFrame:
-    """Queries weighted with the corpus vocabulary and idf, L2-normalised."""
-    occ = terms(queries, id_col, text_col, ngram)
-    tf = occ.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
-    raw = tf.join(F.broadcast(vocab.select("term", "idf")), "term").withColumn("_w", F.col("tf") * F.col("idf"))
-    w = Window.partitionBy(id_col)
-    return raw.withColumn("weight", F.col("_w") / F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(w))) \
-        .select(id_col, "term", "weight")
-
-
-def search(queries: DataFrame, query_id: str, query_text: str, postings: DataFrame, vocab: DataFrame,
-           doc_id: str, top_k: int = 4, min_score: float = 0.04, salt_buckets: int = 32,
-           score_digits: int = 10) -> DataFrame:
-    """X-03: cosine top-k documents per query; queries whose best score is
-    under ``min_score`` get no rows.  Output: query_id, rank, doc_id, score."""
-    q = query_postings(queries, query_id, query_text, vocab).withColumnRenamed("weight", "_qw")
-    if is_small(q, BROADCAST_QUERY_POSTINGS):
-        q = F.broadcast(q)
-    d = postings.select(F.col(doc_id).alias("_doc"), "term", F.col("weight").alias("_dw"))
-    scores = d.join(q, "term").groupBy(query_id, "_doc").agg(
-        F.round(F.sum(F.col("_qw") * F.col("_dw")), score_digits).alias("score"))
-    # scores are rounded so that copies of a document tie exactly and fall back to doc order
-    top = top_k_per_group(scores, [query_id], [F.desc("score"), F.asc("_doc")], top_k,
-                          salt_buckets=salt_buckets, salt_on=["_doc"], rank_col="rank")
-    # the top-k output is already partitioned by query: the best-score filter is a window, not a self-join
-    top = top.withColumn("_best", F.max("score").over(Window.partitionBy(query_id)))
-    return top.where(F.col("_best") >= F.lit(min_score)).select(query_id, "rank", F.col("_doc").alias(doc_id), "score")
+    spark = docs.sparkSession
+    terms = {r["term"]: (i, r["idf"]) for i, r in enumerate(vocab.collect())}
+    idf = {t: v for t, (_, v) in terms.items()}
+    out = None
+    for block in _blocks(queries.select(col(query_id).alias("q"), col(query_text).alias("t")), query_block):
+        matrix = np.zeros((max(len(terms), 1), len(block)))
+        count = _counter(ngram)
+        for j, r in enumerate(block):
+            for term, _, w in _weights(count(r["t"]), idf):
+                matrix[terms[term][0], j] = w
+        part = _best(docs, doc_id, text_col, spark.sparkContext.broadcast((matrix, terms, idf)), top_k,
+                     score_digits, ngram)
+        names = spark.createDataFrame([(j, r["q"]) for j, r in enumerate(block)],
+                                      T.StructType().add("_q", T.IntegerType()).add(query_id, queries.schema[query_id].dataType))
+        part = part.join(F.broadcast(names), "_q").drop("_q")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return docs.limit(0).select(F.lit(None).cast(queries.schema[query_id].dataType).alias(query_id),
+                                    F.lit(0).alias("rank"), col(doc_id), F.lit(0.0).alias("score"),
+                                    F.lit("").alias("snippet"))
+    w = Window.partitionBy(query_id)   # at most top_k rows of every task
+    ranked = out.withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), doc_id))) \
+        .withColumn("_best", F.max("score").over(w))
+    return ranked.where((F.col("rank") <= top_k) & (F.col("_best") >= F.lit(min_score))) \
+        .select(query_id, "rank", doc_id, "score", "snippet")
+
+
+def _blocks(queries: DataFrame, size: int):
+    """Queries in blocks, streamed to the driver."""
+    block = []
+    for r in queries.toLocalIterator():
+        block.append(r)
+        if len(block) == size:
+            yield block
+            block = []
+    if block:
+        yield block
+
+
+def _best(docs: DataFrame, doc_id: str, text_col: str, shared, top_k: int, digits: int, ngram: int) -> DataFrame:
+    """(_q, doc_id, score, snippet): the ``top_k`` documents of every task per query, scores above zero."""
+    def run(batches):
+        matrix, terms, idf = shared.value
+        count = _counter(ngram)
+        best: list[list[tuple]] = [[] for _ in range(matrix.shape[1])]
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            scores = np.zeros((len(ids), matrix.shape[1]))
+            for i, text in enumerate(texts):
+                own = _weights(count(text), idf)
+                if own:
+                    scores[i] = np.array([w for _, _, w in own]) @ matrix[[terms[t][0] for t, _, _ in own]]
+            scores = np.round(scores, digits)
+            for j in range(matrix.shape[1]):
+                column = scores[:, j]
+                limit = best[j][-1][0] if len(best[j]) == top_k else 0.0
+                at = np.flatnonzero((column >= limit) & (column > 0)).tolist()
+                found = [(column[i], ids[i], (texts[i] or "")[:SNIPPET]) for i in at]
+                best[j] = sorted(best[j] + found, key=lambda r: (-r[0], r[1]))[:top_k]
+        rows = [(j, *r) for j, kept in enumerate(best) for r in kept]
+        if rows:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[2] for r in rows], kind),
+                 pa.array([float(r[1]) for r in rows], pa.float64()), pa.array([r[3] for r in rows], pa.string())],
+                names=["_q", doc_id, "score", "snippet"])
+
+    pairs = docs.select(col(doc_id), col(text_col))
+    schema = T.StructType().add("_q", T.IntegerType()).add(doc_id, docs.schema[doc_id].dataType) \
+        .add("score", "double").add("snippet", "string")
+    return pairs.mapInArrow(run, schema)

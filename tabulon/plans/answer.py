@@ -1,8 +1,8 @@
 """The "prompt -> answer" plan for a whole column of prompts.
 
-prompts -> intent tag (N-01) -> facts (N-02) pivoted to one column per
-feature -> rule deduction (R-03) for the ``predict`` prompts.  The pivot
-uses the known feature list, so it needs no extra pass to find its columns.
+prompts -> intent tag (N-01) -> facts (N-02) as one column per
+feature -> rule deduction (R-03) for the ``predict`` prompts: projections all
+the way, without a shuffle.
 """
 
 from __future__ import annotations
@@ -12,24 +12,25 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabulon.functions.columns import parse_number
 from tabulon.operators import prompts as pm
 from tabulon.operators import rules as rl
 
 
 def facts_table(prompts: DataFrame, keys: Sequence[str], text_col: str, features: Sequence[str]) -> DataFrame:
     """One row per prompt, one column per feature (the first stated value as
-    a number, null when absent or not numeric)."""
-    long = pm.facts(prompts, keys, text_col, features)
-    wide = long.groupBy(*keys).pivot("feature", list(features)).agg(F.first("value_num"))
-    return prompts.select(*keys).join(wide, list(keys), "left")
+    a number, null when absent or not numeric), as a projection."""
+    return prompts.select(*keys, *[parse_number(pm.stated_value(F.col(text_col), f)).alias(f) for f in features])
 
 
 def predict_from_prompts(prompts: DataFrame, keys: Sequence[str], text_col: str, rules: DataFrame,
                          features: Sequence[str], numeric_columns: Sequence[str] = ()) -> DataFrame:
-    """Best rule (R-03, top 1) for every prompt tagged ``predict``."""
+    """Best rule (R-03, top 1) for every prompt tagged ``predict`` that states a fact
+    (without one there is nothing to deduce from)."""
     tagged = pm.intent(prompts, text_col, numeric_columns or features)
     asks = tagged.where(F.col("intent") == "predict").select(*keys, text_col)
     facts = facts_table(asks, keys, text_col, features)
+    facts = facts.where(F.coalesce(*[F.col(f"`{f}`") for f in features]).isNotNull())
     return rl.deduce(facts, rules, keys, top_k=1).drop("rank")
 
 

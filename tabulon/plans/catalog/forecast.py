@@ -24,7 +24,7 @@ WITH m AS (
 i AS (SELECT *, CAST(row_number() OVER (ORDER BY month_end) - 1 AS DOUBLE) AS month_idx FROM m),
 fit AS (
   SELECT regr_slope(value_mean, month_idx) AS slope, regr_intercept(value_mean, month_idx) AS intercept,
-         count(*) AS n_months, sum(n_rows) AS n_dated_rows, avg(value_mean) AS hist_avg,
+         count(*) AS n_months, CAST(sum(n_rows) AS BIGINT) AS n_dated_rows, avg(value_mean) AS hist_avg,
          arg_max(value_mean, month_end) AS last_actual, max(month_end) AS last_month
   FROM i HAVING sum(n_rows) >= 5 AND count(*) >= 3)
 SELECT step,
@@ -52,7 +52,7 @@ i AS (SELECT *, CAST(row_number() OVER (PARTITION BY o_orderstatus ORDER BY mont
       FROM m),
 fit AS (
   SELECT o_orderstatus, regr_slope(value_mean, month_idx) AS slope, regr_intercept(value_mean, month_idx) AS intercept,
-         count(*) AS n_months, sum(n_rows) AS n_dated_rows, avg(value_mean) AS hist_avg,
+         count(*) AS n_months, CAST(sum(n_rows) AS BIGINT) AS n_dated_rows, avg(value_mean) AS hist_avg,
          arg_max(value_mean, month_end) AS last_actual, max(month_end) AS last_month
   FROM i GROUP BY o_orderstatus HAVING sum(n_rows) >= 5 AND count(*) >= 3)
 SELECT o_orderstatus, step,
@@ -100,7 +100,7 @@ def f05_guards_by_priority(spark, sf_dir):
 QUERIES["f05_guards_by_priority"] = f05_guards_by_priority
 SQL["f05_guards_by_priority"] = """
 WITH m AS (SELECT o_orderpriority, last_day(o_orderdate) AS month_end, count(*) AS n_rows FROM orders GROUP BY 1, 2)
-SELECT o_orderpriority, sum(n_rows) AS n_dated_rows, count(*) AS n_months,
+SELECT o_orderpriority, CAST(sum(n_rows) AS BIGINT) AS n_dated_rows, count(*) AS n_months,
        CASE WHEN sum(n_rows) < 5 THEN 'not enough dated rows' WHEN count(*) < 3 THEN 'not enough months' END AS reason,
        (sum(n_rows) >= 5 AND count(*) >= 3) AS ok
 FROM m GROUP BY 1
@@ -115,7 +115,7 @@ def f05_guards_events(spark, sf_dir):
 QUERIES["f05_guards_events"] = f05_guards_events
 SQL["f05_guards_events"] = """
 WITH m AS (SELECT event_type, last_day(ts) AS month_end, count(*) AS n_rows FROM events GROUP BY 1, 2)
-SELECT event_type, sum(n_rows) AS n_dated_rows, count(*) AS n_months,
+SELECT event_type, CAST(sum(n_rows) AS BIGINT) AS n_dated_rows, count(*) AS n_months,
        CASE WHEN sum(n_rows) < 5 THEN 'not enough dated rows' WHEN count(*) < 3 THEN 'not enough months' END AS reason,
        (sum(n_rows) >= 5 AND count(*) >= 3) AS ok
 FROM m GROUP BY 1

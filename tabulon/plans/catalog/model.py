@@ -38,7 +38,7 @@ def state(spark, sf_dir, **kw):
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STATE:
         _STATE[key] = train_agent(_training_table(spark, sf_dir), KEYS, target_request="l_extendedprice_tier",
-                                  n_trees=kw.get("n_trees", 50), with_cv=True, permutation_repeats=5)
+                                  with_cv=True, **kw)
     return _STATE[key]
 
 
@@ -129,13 +129,22 @@ QUERIES["m11_class_probabilities"] = m11_class_probabilities
 
 def m12_regression(spark, sf_dir):
     li = t(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_extendedprice")
-    summary, _ = md.regress(li, "l_extendedprice", {"l_quantity": 10}, n_trees=20)
+    summary, _ = md.regress(li, "l_extendedprice", {"l_quantity": 10})
     return summary
 
 
 QUERIES["m12_regression"] = m12_regression
 
 
+def m12_regression_importances(spark, sf_dir):
+    li = t(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_extendedprice")
+    _, importances = md.regress(li, "l_extendedprice", {"l_quantity": 10})
+    return importances
+
+
+QUERIES["m12_regression_importances"] = m12_regression_importances
+
+
 def s07_rules_roundtrip(spark, sf_dir):
     path = os.path.join(checkpoint_dir(spark), f"rules-{uuid.uuid4().hex}")
     art.save_rules(state(spark, sf_dir).rules, path)
@@ -201,9 +210,9 @@ SQL["m09_classification_report"] = "WITH " + _FIXED_SQL.strip() + """,
 c AS (SELECT actual_tier AS actual, predicted_tier AS predicted, count(*) AS n FROM s GROUP BY 1, 2),
 per AS (
   SELECT k.cls AS class,
-         coalesce((SELECT sum(n) FROM c WHERE actual = k.cls), 0) AS support,
-         coalesce((SELECT sum(n) FROM c WHERE actual = k.cls AND predicted = k.cls), 0) AS tp,
-         coalesce((SELECT sum(n) FROM c WHERE predicted = k.cls), 0) AS n_pred
+         CAST(coalesce((SELECT sum(n) FROM c WHERE actual = k.cls), 0) AS BIGINT) AS support,
+         CAST(coalesce((SELECT sum(n) FROM c WHERE actual = k.cls AND predicted = k.cls), 0) AS BIGINT) AS tp,
+         CAST(coalesce((SELECT sum(n) FROM c WHERE predicted = k.cls), 0) AS BIGINT) AS n_pred
   FROM (SELECT actual AS cls FROM c UNION SELECT predicted FROM c) k),
 m AS (SELECT class, support,
              CASE WHEN n_pred > 0 THEN tp / n_pred ELSE 0.0 END AS precision,
@@ -211,8 +220,8 @@ m AS (SELECT class, support,
 f AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1
       FROM m)
 SELECT class, support, round(precision, 8) AS precision, round(recall, 8) AS recall, round(f1, 8) AS f1 FROM f
-UNION ALL SELECT 'macro avg', sum(support), round(avg(precision), 8), round(avg(recall), 8), round(avg(f1), 8) FROM f
-UNION ALL SELECT 'weighted avg', sum(support), round(sum(precision * support) / sum(support), 8),
+UNION ALL SELECT 'macro avg', CAST(sum(support) AS BIGINT), round(avg(precision), 8), round(avg(recall), 8), round(avg(f1), 8) FROM f
+UNION ALL SELECT 'weighted avg', CAST(sum(support) AS BIGINT), round(sum(precision * support) / sum(support), 8),
                  round(sum(recall * support) / sum(support), 8), round(sum(f1 * support) / sum(support), 8) FROM f"""
 
 

@@ -86,7 +86,7 @@ q AS (SELECT quantile_cont(x, 0.33) AS a, quantile_cont(x, 0.5) AS m, quantile_c
              count(DISTINCT x) AS nd FROM s)
 SELECT CASE WHEN nd < 3 OR a = b THEN (CASE WHEN x >= m THEN 'high' ELSE 'low' END)
             WHEN x <= a THEN 'low' WHEN x <= b THEN 'medium' ELSE 'high' END AS analyst_cluster,
-       count(*) AS n, CAST(sum(x) AS INTEGER) AS signal_sum
+       count(*) AS n, CAST(sum(x) AS BIGINT) AS signal_sum
 FROM s, q GROUP BY 1"""
 
 

@@ -112,7 +112,7 @@ SELECT id AS doc_id, term, tf, round(weight, 8) AS weight FROM postings"""
 
 
 def x02_vocabulary(spark, sf_dir):
-    _, vocab = tx.tfidf_index(t(spark, sf_dir, "documents"), "doc_id", "text", max_terms=4000)
+    vocab = tx.vocabulary(t(spark, sf_dir, "documents"), "text", max_terms=4000)
     return vocab.select("term", "df", F.round("idf", 10).alias("idf"))
 
 
@@ -122,9 +122,11 @@ SELECT term, df, round(idf, 10) AS idf FROM vocab"""
 
 
 def x03_search(spark, sf_dir):
-    postings, vocab = tx.tfidf_index(t(spark, sf_dir, "documents"), "doc_id", "text", max_terms=4000)
-    hits = tx.search(t(spark, sf_dir, "benchmark"), "item_id", "text", postings, vocab, "doc_id", top_k=4)
-    return hits.select("item_id", "rank", "doc_id", F.round("score", 8).alias("score"))
+    docs = t(spark, sf_dir, "documents")
+    hits = tx.search(t(spark, sf_dir, "benchmark"), "item_id", "text", docs, "doc_id", "text",
+                     tx.vocabulary(docs, "text", max_terms=4000), top_k=4)
+    return hits.select("item_id", F.col("rank").cast("long").alias("rank"), "doc_id",
+                       F.round("score", 8).alias("score"), "snippet")
 
 
 QUERIES["x03_search"] = x03_search
@@ -134,5 +136,6 @@ qp AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FR
 scores AS (SELECT qp.id AS item_id, p.id AS doc_id, round(sum(qp.weight * p.weight), 10) AS score
            FROM qp JOIN postings p ON qp.term = p.term GROUP BY 1, 2),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores)
-SELECT item_id, rank, doc_id, round(score, 8) AS score FROM ranked
+SELECT item_id, rank, r.doc_id, round(score, 8) AS score, substr(d.text, 1, 420) AS snippet
+FROM ranked r JOIN documents d ON d.doc_id = r.doc_id
 WHERE rank <= 4 AND item_id IN (SELECT item_id FROM ranked WHERE rank = 1 AND score >= 0.04)"""

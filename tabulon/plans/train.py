@@ -44,11 +44,6 @@ def train_agent(df: DataFrame, keys: Sequence[str], target_request: str | None =
                 permutation_repeats: int = 10, cv_cap: int = 20_000, with_importance: bool = True,
                 with_cv: bool = True) -> TrainedState:
     keys = list(keys)
-    guards = cl.training_guards(df, df.columns[-1])
-    failed = [r["check"] for r in guards.collect() if not r["passed"] and r["check"] in
-              ("non_empty", "min_columns", "min_rows")]  # six rows
-    if failed:
-        raise ValueError(f"training guards failed: {failed}")
     features_only = df.drop(*keys)  # row keys are never targets or features
     base = target_request[:-len("_tier")] if target_request and target_request.endswith("_tier") else None
     if target_request and target_request not in df.columns and base in features_only.columns:
@@ -58,8 +53,10 @@ def train_agent(df: DataFrame, keys: Sequence[str], target_request: str | None =
     model_df = tg.ensure_target(df, target)
     clean_df = _clean_with_keys(model_df, keys, target)
     features = [c for c in clean_df.columns if c != target and c not in keys]
-    if not features:
-        raise ValueError("no feature columns remain after cleaning")
+    guards = cl.training_guards(clean_df.drop(*keys), target)  # what the models are trained on
+    failed = [r["check"] for r in guards.collect() if not r["passed"]]  # six rows
+    if failed:
+        raise ValueError(f"training guards failed: {failed}")
     data = sp.drop_singleton_classes(clean_df, target)
     data = sp.stratified_split(data, target, keys, test_fraction)
     # many fits and scorings reuse this table: materialise it once in the

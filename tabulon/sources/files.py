@@ -1,9 +1,9 @@
 """File sources S-01..S-06 and S-10.
 
 Readers return partitioned DataFrames; nothing is read whole on the driver.
-The robust CSV reader inspects a bounded head of the first file (at most
-``probe_bytes``) to pick the encoding and delimiter, then runs one
-distributed scan with those options.
+The robust CSV reader tests the encoding on every line in one distributed
+scan, takes header and delimiter from the head of the first file, and then
+reads with those options.
 """
 
 from __future__ import annotations
@@ -17,11 +17,27 @@ from pyspark.sql import types as T
 
 from tabulon.functions.columns import col, is_datetime, is_numeric, is_string, quote
 from tabulon.functions.dates import parse_timestamp
+from tabulon.operators.clean import unique_names
 
 # Encodings tried in order by the robust reader (S-02).
 ENCODINGS = ["utf-8", "utf-8-sig", "utf-16", "cp1252", "latin-1"]
 DELIMITERS = [",", ";", "\t", "|"]
 
+HEADER_BYTES = 65_536   # of the first file, read for its header line
+
+
+def _cp1252(code: int) -> str | None:
+    try:
+        return bytes([code]).decode("cp1252")
+    except UnicodeDecodeError:
+        return None
+
+
+_BLOCK = [(chr(c), _cp1252(c)) for c in range(0x80, 0xA0)]
+CP1252_CODES = "".join(a for a, b in _BLOCK if b)
+CP1252_TEXT = "".join(b for _, b in _BLOCK if b)
+CP1252_UNDEFINED = "".join(f"\\x{{{ord(a):x}}}" for a, b in _BLOCK if not b)
+
 
 def _head_bytes(spark: SparkSession, path: str, n: int) -> bytes:
     """First ``n`` bytes of the first data file under ``path`` through the
@@ -51,56 +67,73 @@ def _head_bytes(spark: SparkSession, path: str, n: int) -> bytes:
 
 def read_csv(spark: SparkSession, path: str, header: bool = True, infer_schema: bool = True, **options) -> DataFrame:
     """S-01: CSV scan (files, folders and globs); a missing path raises."""
-    return spark.read.options(**options).csv(path, header=header, inferSchema=infer_schema)
-
-
-def sniff(head: bytes) -> tuple[str, str]:
-    """Encoding (first of ENCODINGS that decodes the head) and delimiter (csv.Sniffer,
-    falling back to the most frequent candidate on the first line)."""
-    enc = "latin-1"
-    text = ""
-    for e in ENCODINGS:
-        try:
-            text = head.decode(e)
-        except UnicodeDecodeError:
-            continue
-        if e in ("utf-8", "utf-8-sig") and head[:2] in (b"\xff\xfe", b"\xfe\xff"):
-            continue
-        if e == "utf-16" and head[:2] not in (b"\xff\xfe", b"\xfe\xff"):
-            continue  # without a byte-order mark almost any byte string decodes as UTF-16
-        enc = e
-        break
-    if enc == "utf-8" and head.startswith(b"\xef\xbb\xbf"):
-        enc = "utf-8-sig"
-    sample = text.lstrip("﻿")
+    df = spark.read.options(**options).csv(path, header=header, inferSchema=infer_schema)
+    if not header:
+        return df
+    encoding = {k.lower(): v for k, v in options.items()}.get("encoding", "utf-8")
+    return _own_header(df, _head_bytes(spark, path, HEADER_BYTES).decode(encoding, "replace"),
+                       options.get("sep", options.get("delimiter", ",")))
+
+
+def _own_header(df: DataFrame, text: str, sep: str) -> DataFrame:
+    """Column names as the file has them; Spark numbers repeated ones (x0, x1), here the
+    second ``x`` becomes ``x_1``."""
+    lines = text.lstrip("\ufeff").splitlines()
+    names = next(csv.reader(lines[:1], delimiter=sep), []) if lines else []
+    if len(names) != len(df.columns) or len({c.lower() for c in names}) == len(names):
+        return df
+    return df.toDF(*unique_names(names))
+
+
+def choose_encoding(spark: SparkSession, path: str, head: bytes) -> str:
+    """First of ENCODINGS that decodes the whole input: byte-order marks decide at once,
+    the others are tested on every line of every file in one scan."""
+    if head[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        return "utf-16"
+    raw = F.col("value").cast("binary")
+    as_latin = F.decode(raw, "ISO-8859-1")
+    valid, undefined = spark.read.text(path).agg(
+        F.min(F.is_valid_utf8("value").cast("int")),
+        F.max(F.regexp_like(as_latin, F.lit(f"[{CP1252_UNDEFINED}]")).cast("int"))).first()
+    if valid is None or valid == 1:
+        return "utf-8-sig" if head.startswith(b"\xef\xbb\xbf") else "utf-8"
+    return "latin-1" if undefined else "cp1252"
+
+
+def choose_delimiter(text: str) -> str:
+    """Delimiter of the first line: csv.Sniffer's, else the most frequent candidate."""
+    first = text.lstrip("\ufeff").split("\n", 1)[0]
     try:
-        delim = csv.Sniffer().sniff(sample.split("\n", 20)[0] if sample else ",", delimiters="".join(DELIMITERS)).delimiter
+        return csv.Sniffer().sniff(first or ",", delimiters="".join(DELIMITERS)).delimiter
     except csv.Error:
-        first = sample.split("\n", 1)[0]
-        delim = max(DELIMITERS, key=first.count)
-    return enc, delim
+        return max(DELIMITERS, key=first.count)
 
 
-def read_csv_robust(spark: SparkSession, path: str, probe_bytes: int = 65536, header: bool = True) -> DataFrame:
+def read_csv_robust(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
     """S-02: CSV with an unknown encoding/delimiter; malformed lines are dropped.
 
-    The probe reads only the first ``probe_bytes`` of the first file.
+    The whole input decides the encoding; the head of the first file gives the
+    header and the delimiter.
     """
-    head = _head_bytes(spark, path, probe_bytes)
-    enc, delim = sniff(head)
-    spark_enc = {"utf-8-sig": "UTF-8", "utf-16": "UTF-16", "cp1252": "windows-1252", "latin-1": "ISO-8859-1"}.get(enc, "UTF-8")
-    if spark_enc == "windows-1252":
-        # Spark 4 limits CSV charsets to the UTF/ISO family unless Java charsets are enabled
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    head = _head_bytes(spark, path, HEADER_BYTES)
+    enc = choose_encoding(spark, path, head)
+    text = head.decode(enc, "replace")
+    delim = choose_delimiter(text)
+    # Windows-1252 is Latin-1 but for a block of control codes, which are put right after the scan
+    spark_enc = {"utf-16": "UTF-16", "cp1252": "ISO-8859-1", "latin-1": "ISO-8859-1"}.get(enc, "UTF-8")
     reader = spark.read.options(encoding=spark_enc, sep=delim, mode="DROPMALFORMED", header=str(header).lower(),
                                 inferSchema="true")
     if enc == "utf-16":
         reader = reader.option("multiLine", "true")
     df = reader.csv(path)
+    if enc == "cp1252":
+        fix = str.maketrans(CP1252_CODES, CP1252_TEXT)
+        df = df.select(*[(F.translate(col(f.name), CP1252_CODES, CP1252_TEXT) if is_string(f.dataType)
+                          else col(f.name)).alias(f.name.translate(fix)) for f in df.schema.fields])
     first = df.columns[0] if df.columns else None
-    if first and first.startswith("﻿"):
-        df = df.withColumnRenamed(first, first.lstrip("﻿"))
-    return df
+    if first and first.startswith("\ufeff"):
+        df = df.withColumnRenamed(first, first.lstrip("\ufeff"))
+    return _own_header(df, text, delim) if header else df
 
 
 def flatten(df: DataFrame, sep: str = ".") -> DataFrame:
@@ -151,59 +184,3 @@ def preview(df: DataFrame, order_by: Sequence[str], n: int = 30, tail: bool = Fa
     """S-10: first (or last) ``n`` rows under ``order_by`` (a distributed top-k)."""
     order = [col(c).desc() if tail else col(c).asc() for c in order_by]
     return df.orderBy(*order).limit(n)
-
-
-def demo_sales(spark: SparkSession, n_rows: int = 10_000, seed: int = 42) -> DataFrame:
-    """S-05: demo sales table with the reference's columns and derived sums.
-
-    Distributional, not bit-equal: every column is drawn with ``rand(seed + k)``
-    over ``spark.range``; ``sales_category`` is tiered at q0.33/q0.67 of net_sales.
-    """
-    # The demo's category prices, cities (with their regions),
-    # payment methods and city tiers.
-    base_price = {"Electronics": 35000, "Clothing": 3500, "Home & Kitchen": 8000, "Books": 800, "Sports": 5000,
-                  "Beauty": 2500, "Grocery": 1200, "Toys": 2000, "Automotive": 15000, "Health": 3000}
-    regions = {"Karachi": "Sindh", "Lahore": "Punjab", "Islamabad": "Federal", "Rawalpindi": "Punjab",
-               "Faisalabad": "Punjab", "Multan": "Punjab", "Peshawar": "KPK", "Quetta": "Balochistan",
-               "Sialkot": "Punjab", "Hyderabad": "Sindh", "Gujranwala": "Punjab", "Abbottabad": "KPK",
-               "Bahawalpur": "Punjab", "Sargodha": "Punjab", "Sukkur": "Sindh"}
-    payments = ["Cash on Delivery", "Credit Card", "Debit Card", "EasyPaisa", "JazzCash"]
-    tier1 = ["Karachi", "Lahore", "Islamabad"]
-    cats, cities = list(base_price), list(regions)
-
-    def pick(values, k):
-        return F.element_at(F.array(*[F.lit(v) for v in values]),
-                            (F.floor(F.rand(seed + k) * len(values)) + 1).cast("int"))
-
-    start, end = 1577836800, 1703980800  # 2020-01-01 .. 2023-12-31 (UTC seconds)
-    step = (end - start) / max(n_rows - 1, 1)
-    df = spark.range(n_rows).select(
-        F.format_string("ORD-%06d", F.col("id") + 1).alias("order_id"),
-        F.timestamp_seconds(F.lit(start) + F.col("id") * F.lit(step)).alias("date"),
-        pick(cities, 1).alias("customer_city"), pick(cats, 2).alias("product_category"),
-        (F.lit(0.7) + F.rand(seed + 3) * 0.8).alias("_mult"),
-        (F.floor(F.rand(seed + 4) * 10) + 1).cast("long").alias("quantity"),
-        F.round(F.rand(seed + 5) * 30, 2).alias("discount_pct"),
-        F.rand(seed + 6).alias("_ship"), F.round(F.lit(1.0) + F.rand(seed + 7) * 4, 1).alias("customer_rating"),
-        (F.rand(seed + 8) < 0.12).cast("long").alias("return_flag"),
-        (F.rand(seed + 9) < 0.45).cast("long").alias("repeat_customer"),
-        (F.floor(F.rand(seed + 10) * 14) + 1).cast("long").alias("delivery_days"),
-        pick(payments, 11).alias("payment_method"))
-    price_map = F.create_map(*[x for k, v in base_price.items() for x in (F.lit(k), F.lit(float(v)))])
-    region_map = F.create_map(*[x for k, v in regions.items() for x in (F.lit(k), F.lit(v))])
-    unit = F.element_at(price_map, F.col("product_category")) * F.col("_mult")
-    df = df.withColumn("unit_price", unit).withColumn("region", F.element_at(region_map, F.col("customer_city")))
-    gross = F.col("unit_price") * F.col("quantity")
-    df = df.withColumn("gross_sales", gross).withColumn("discount_amount", gross * F.col("discount_pct") / 100)
-    df = df.withColumn("net_sales", F.round(F.col("gross_sales") - F.col("discount_amount"), 2))
-    ship = F.when(F.col("customer_city").isin(tier1), F.lit(100) + F.col("_ship") * 200) \
-        .otherwise(F.lit(200) + F.col("_ship") * 300)
-    month = F.month("date")
-    season = F.when(month <= 3, "Winter").when(month <= 6, "Spring").when(month <= 9, "Summer").otherwise("Autumn")
-    df = df.select("order_id", "date", "customer_city", "region", "product_category",
-                   F.round("unit_price", 2).alias("unit_price"), "quantity", "discount_pct",
-                   F.round("discount_amount", 2).alias("discount_amount"), F.round("gross_sales", 2).alias("gross_sales"),
-                   "net_sales", F.round(ship, 2).alias("shipping_cost"), "payment_method", "customer_rating",
-                   "return_flag", "repeat_customer", "delivery_days", season.alias("season"))
-    from tabulon.operators.target import tier
-    return tier(df, "net_sales", "sales_category", fill_median=False)

@@ -2,6 +2,9 @@
 
 import datetime as dt
 import math
+import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -59,3 +62,12 @@ def test_entry_runs(spark):
     rows = E.entry(spark).collect()
     assert len(rows) == 6
     assert [r["step"] for r in sorted(rows, key=lambda r: r["step"])] == [1, 2, 3, 4, 5, 6]
+
+
+def test_catalog_needs_no_spark_jars(tmp_path):
+    """Queries and SQL are listed in a process whose pyspark has no jars and whose folder is elsewhere."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = ("import glob, zipfile, sys; glob.glob = lambda *a, **k: []; zipfile.ZipFile = None; "
+            f"sys.path.insert(0, {root!r}); import __spark_entry__ as e; "
+            "assert len(e.queries()) >= 110 and len(e.oracle_sql()) >= 100")
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)

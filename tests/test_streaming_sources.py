@@ -40,9 +40,30 @@ def test_csv_sources(spark):
     o.write.option("header", "true").option("sep", "|").csv(path)
     back = fs.read_csv_robust(spark, path)
     assert back.count() == o.count() and back.columns == o.columns
-    assert fs.sniff("a;b\n1;2\n".encode("utf-8")) == ("utf-8", ";")
-    assert fs.sniff(b"\xff\xfe" + "a,b\n".encode("utf-16-le"))[0] == "utf-16"
-    assert fs.sniff("x,y\n\x80,1\n".encode("latin-1"))[0] == "cp1252"
+    assert fs.choose_delimiter("a;b\n1;2\n") == ";"
+
+
+def test_encoding_of_the_whole_input(spark):
+    pad = "plain,1\n" * 10_000   # beyond any head
+    cases = [("a,b\n" + pad + "caf\u00e9,2\n", "utf-8"), ("a,b\n" + pad + "caf\u00e9 \u20ac,2\n", "cp1252"),
+             ("a,b\nx,1\n\u00e9,2\n", "utf-16"), ("a,b\n" + "\u00e9" * 33_000 + ",2\n", "utf-8")]
+    for text, enc in cases:
+        path = _scratch(spark, "enc") + ".csv"
+        with open(path, "wb") as fh:
+            fh.write(text.encode(enc))
+        got = fs.read_csv_robust(spark, path)
+        assert got.columns == ["a", "b"]
+        last = text.rstrip("\n").split("\n")[-1].split(",")[0]
+        assert got.where(got["a"] == last).count() == 1
+
+
+def test_repeated_headers(spark):
+    path = _scratch(spark, "dup") + ".csv"
+    with open(path, "w") as fh:
+        fh.write("k,k,k_1,Age,age\n1,2,3,4,5\n")
+    for read in (fs.read_csv, fs.read_csv_robust):
+        got = read(spark, path)
+        assert got.columns == ["k", "k_2", "k_1", "Age", "age_1"] and tuple(got.first()) == (1, 2, 3, 4, 5)
 
 
 def test_json_flat_object(spark):
@@ -60,15 +81,6 @@ def test_infer_types(spark):
     assert kinds == {"d": "datetime", "t": "categorical", "n": "numeric", "e": "datetime"}
 
 
-def test_demo_sales_shape(spark):
-    df = fs.demo_sales(spark, 2000, seed=7)
-    assert df.count() == 2000 and len(df.columns) == 19
-    dist = {r[0]: r[1] for r in df.groupBy("sales_category").count().collect()}
-    assert set(dist) == {"low", "medium", "high"} and min(dist.values()) > 500
-    bad = df.where(F.abs(F.col("net_sales") - (F.col("gross_sales") - F.col("discount_amount"))) > 0.02).count()
-    assert bad == 0
-
-
 def test_intent_order(spark):
     df = spark.createDataFrame([(1, "Why is the summary high?"), (2, "what drives l_tax"), (3, "predict if a=1"),
                                 (4, "hello"), (5, "find the document")], "id int, text string")

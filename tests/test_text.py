@@ -72,9 +72,9 @@ def test_tfidf_rows_are_unit_length(spark):
 
 def test_search_finds_exact_document(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
-    postings, vocab = tx.tfidf_index(docs, "doc_id", "text")
+    vocab = tx.vocabulary(docs, "text")
     q = docs.where("doc_id = 3").select(F.lit(1).alias("qid"), "text")
-    hits = tx.search(q, "qid", "text", postings, vocab, "doc_id", top_k=4).orderBy("rank").collect()
+    hits = tx.search(q, "qid", "text", docs, "doc_id", "text", vocab, top_k=4).orderBy("rank").collect()
     assert hits and math.isclose(hits[0]["score"], 1.0, rel_tol=1e-6)
     assert len(hits) <= 4
 
