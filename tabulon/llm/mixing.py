@@ -188,9 +188,13 @@ def mixed_documents(docs: DataFrame, m: Mix, id_col: str = "doc_id", text_col: s
         on = on & (F.col("_copy2") == F.col("_copy"))
     joined = rec.join(broadcast_if(chosen, n, MIX_BROADCAST), on)
     words = F.regexp_extract_all(F.col(f"_rec.`{text_col}`"), F.lit(WORD), F.lit(0))
-    cut = F.array_join(F.flatten(F.transform(
-        F.col("_parts"), lambda p: F.slice(words, (p["from"] + 1).cast("int"),
-                                           (p["to"] - p["from"]).cast("int")))), " ")
+
+    def pieces_of(w):
+        return F.array_join(F.flatten(F.transform(F.col("_parts"), lambda p: F.slice(
+            w, (p["from"] + 1).cast("int"), (p["to"] - p["from"]).cast("int")))), " ")
+
+    # bound as a lambda's argument, the words are split once for all pieces of a text
+    cut = F.get(F.transform(F.array(words), pieces_of), F.lit(0))
     out = joined.withColumn("_text", F.when(F.col("_parts").isNull(), F.col(f"_rec.`{text_col}`")).otherwise(cut))
     cols = [F.col("_text").alias(c) if c == text_col
             else F.length("_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars"
