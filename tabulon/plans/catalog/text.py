@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabulon.operators import text as tx
+from tabulon.plans import answer
 from tabulon.plans.catalog.common import t, with_sql
 
 QUERIES = {}
@@ -139,3 +140,25 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC
 SELECT item_id, rank, r.doc_id, round(score, 8) AS score, substr(d.text, 1, 420) AS snippet
 FROM ranked r JOIN documents d ON d.doc_id = r.doc_id
 WHERE rank <= 4 AND item_id IN (SELECT item_id FROM ranked WHERE rank = 1 AND score >= 0.04)"""
+
+
+def x03_retrieval_prompts(spark, sf_dir):
+    docs = t(spark, sf_dir, "documents")
+    asks = t(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("find "), F.col("text")).alias("prompt"))
+    hits = answer.retrieve(asks, ["item_id"], "prompt", docs, "doc_id", "text",
+                           tx.vocabulary(docs, "text", max_terms=4000))
+    return hits.select("item_id", F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score"),
+                       "snippet")
+
+
+QUERIES["x03_retrieval_prompts"] = x03_retrieval_prompts
+SQL["x03_retrieval_prompts"] = "WITH asks AS (SELECT item_id, 'find ' || text AS prompt FROM benchmark),\n" \
+    + _index_sql().strip() + "," + _terms_sql("asks", "item_id", "prompt") + """,
+qraw AS (SELECT q.id, q.term, q.tf * v.idf AS w FROM tf_asks q JOIN vocab v ON q.term = v.term),
+qp AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM qraw),
+scores AS (SELECT qp.id AS item_id, p.id AS doc_id, round(sum(qp.weight * p.weight), 10) AS score
+           FROM qp JOIN postings p ON qp.term = p.term GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores)
+SELECT item_id, rank, r.doc_id, round(score, 6) AS score, substr(d.text, 1, 420) AS snippet
+FROM ranked r JOIN documents d ON d.doc_id = r.doc_id
+WHERE rank <= 4 AND item_id IN (SELECT item_id FROM ranked WHERE rank = 1 AND score >= 0.04)"""
