@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tabulon.functions.columns import col
 from tabulon.functions.ordering import is_small, rank_within
+from tabulon.functions.topk import top_k_per_group
 
 
 def hash_order(keys: Sequence[str], seed: int | None = None) -> Column:
@@ -51,8 +52,10 @@ def per_class_sample(df: DataFrame, class_col: str, keys: Sequence[str], n: int
     if classes == 0:
         return df.limit(0)
     k = max(1, n // classes)
-    ranked = rank_within(df.where(col(class_col).isNotNull()), class_col, hash_order(keys), "class_rank")
-    picked = ranked.where(F.col("class_rank") <= k)
+    # only the first k rows of a class are wanted: a salted top-k, no rank of the whole table
+    hashed = df.where(col(class_col).isNotNull()).withColumn("_h", hash_order(keys))
+    picked = top_k_per_group(hashed, [class_col], [F.asc("_h")], k, salt_on=list(keys),
+                             rank_col="class_rank").drop("_h")
     if classes * k > n:
         picked = picked.orderBy(col(class_col), "class_rank").limit(n)
     return picked
