@@ -73,40 +73,32 @@ def assign(rows: DataFrame, key: Column, size: Column, tie: Column, shards: int
 
     ``key`` (long) orders the records, ``tie`` (long) separates equal keys.
     """
-    # the record travels as one struct, so its columns may have any names
-    base = written(rows.select(F.struct("*").alias("_rec"), key.alias("_h"), F.coalesce(tie, F.lit(-1)).cast("long").alias("_id"),
-                               size.cast("long").alias("_size")))
-    n, total, largest = base.agg(F.count(F.lit(1)), F.coalesce(F.sum("_size"), F.lit(0)),
-                                 F.coalesce(F.max("_size"), F.lit(0))).first()
+    # the record travels as one struct, so its columns may have any names; everything is
+    # planned on slim rows, and the records themselves are moved once
+    full = rows.select(F.struct("*").alias("_rec"), key.alias("_h"), F.coalesce(tie, F.lit(-1)).cast("long")
+                       .alias("_id"), size.cast("long").alias("_size"))
+    slim = written(full.drop("_rec"))
+    total, largest = slim.agg(F.coalesce(F.sum("_size"), F.lit(0)), F.coalesce(F.max("_size"), F.lit(0))).first()
     big_share = max(1, min(big_share, MAX_BIG // shards))
     big_from = total / (shards * big_share)
-    filled = [0] * shards
-    big_slots = [0] * shards
-    parts = []
+    filled, big_slots = [0] * shards, [0] * shards
+    out = None
     if largest > big_from:
-        # at most shards * big_share records exceed this size
-        order = Window.orderBy(F.desc("_size"), "_h", "_id")
-        big = base.where(F.col("_size") > big_from).withColumn("_r", F.row_number().over(order) - 1)
-        dealt = []
-        for r in sorted(big.select("_r", "_size").collect()):
-            s = min(range(shards), key=lambda k: (filled[k], k))
-            dealt.append((r["_r"], s, big_slots[s]))
-            filled[s] += r["_size"]
-            big_slots[s] += 1
-        places = rows.sparkSession.createDataFrame(dealt, "_r int, shard int, slot long")
-        parts.append(big.join(F.broadcast(places), "_r").drop("_r"))
-    small = base.where(F.col("_size") <= big_from)
+        places = _deal(slim.where(F.col("_size") > big_from), filled, big_slots)
+        same = ["_h", "_id", "_size"]
+        out = full.where(F.col("_size") > big_from) \
+            .withColumn("_copy", F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(0)))) \
+            .join(F.broadcast(places), [*same, "_copy"]).select("_rec.*", "shard", "slot")
+    small = slim.where(F.col("_size") <= big_from)
     n_small, rest = small.agg(F.count(F.lit(1)), F.coalesce(F.sum("_size"), F.lit(0))).first()
     # what every shard may still take: the level that the big records leave, filled to the rest
-    room = _room(filled, rest)
     ends, run = [], 0.0
-    for x in room:
+    for x in _room(filled, rest):
         run += x
         ends.append(run)
     # a range is weighed by bytes and by rows, so that neither a long nor a short text overfills its sort group
-    mean = rest / max(n_small, 1)
-    small = small.withColumn("_w", F.col("_size") + F.lit(float(mean)))
-    weight = rest + mean * n_small
+    small = small.withColumn("_w", F.col("_size") + F.lit(rest / max(n_small, 1)))
+    weight = 2.0 * rest
     bounds = _splitters(small, weight, ranges, per_range, 1)
     ranged = small.withColumn("_range", _range_of(bounds))
     # overfull ranges are subdivided from a denser sample of their own
@@ -116,9 +108,6 @@ def assign(rows: DataFrame, key: Column, size: Column, tie: Column, shards: int
         extra = _splitters(ranged.where(F.col("_range").isin(over)), sum(loads[k] for k in over),
                            2 * len(over) * (1 + int(max(loads[k] for k in over) * ranges / weight)), per_range, 2)
         bounds = sorted(set(bounds) | set(extra))
-        ranged = small.withColumn("_range", _range_of(bounds))
-    inside = Window.partitionBy("_range").orderBy("_h", "_id", "_size").rowsBetween(Window.unboundedPreceding, 0)
-    ranged = ranged.withColumn("_run", F.sum("_size").over(inside)).withColumn("_n", F.count(F.lit(1)).over(inside))
     totals = {r["_range"]: (r["s"], r["n"]) for r in
               small.groupBy(_range_of(bounds).alias("_range"))
               .agg(F.sum("_size").alias("s"), F.count(F.lit(1)).alias("n")).collect()}
@@ -127,18 +116,40 @@ def assign(rows: DataFrame, key: Column, size: Column, tie: Column, shards: int
         starts.append(s)
         ranks.append(k)
         s, k = s + totals.get(i, (0, 0))[0], k + totals.get(i, (0, 0))[1]
-    at = F.get(_longs(starts), F.col("_range"))
-    middle = at + F.col("_run") - F.col("_size") / 2
-    placed = ranged.withColumn("shard", F.least(_position(ends, middle), F.lit(shards - 1)).cast("int")).withColumn(
-        "_rank", F.get(_longs(ranks), F.col("_range")) + F.col("_n") - 1)
-    placed = written(placed.drop("_w", "_run", "_n", "_range"))
-    first = {r["shard"]: r["f"] for r in placed.groupBy("shard").agg(F.min("_rank").alias("f")).collect()}
+
+    def place(df: DataFrame) -> DataFrame:
+        """Shard and rank in the global key order, by running totals inside the ranges."""
+        inside = Window.partitionBy("_range").orderBy("_h", "_id", "_size") \
+            .rowsBetween(Window.unboundedPreceding, 0)
+        df = df.withColumn("_range", _range_of(bounds)).withColumn("_run", F.sum("_size").over(inside)) \
+            .withColumn("_n", F.count(F.lit(1)).over(inside))
+        middle = F.get(_longs(starts), F.col("_range")) + F.col("_run") - F.col("_size") / 2
+        return df.withColumn("shard", F.least(_position(ends, middle), F.lit(shards - 1)).cast("int")) \
+            .withColumn("_rank", F.get(_longs(ranks), F.col("_range")) + F.col("_n") - 1)
+
+    first = {r["shard"]: r["f"] for r in place(small).groupBy("shard").agg(F.min("_rank").alias("f")).collect()}
     base_slot = _longs([big_slots[k] - first.get(k, 0) for k in range(shards)])
-    parts.append(placed.withColumn("slot", F.get(base_slot, F.col("shard")) + F.col("_rank")).drop("_rank"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("_rec.*", "shard", "slot")
+    rest_rows = place(full.where(F.col("_size") <= big_from)).withColumn(
+        "slot", F.get(base_slot, F.col("shard")) + F.col("_rank")).select("_rec.*", "shard", "slot")
+    return rest_rows if out is None else out.unionByName(rest_rows)
+
+
+def _deal(big: DataFrame, filled: list[int], slots: list[int]) -> DataFrame:
+    """Records above the size limit, largest first, each to the emptiest shard.
+
+    At most shards * big_share records exceed the limit.  Updates ``filled`` and ``slots``;
+    returns (_h, _id, _size, _copy, shard, slot), _copy numbering equal keys.
+    """
+    copies: dict[tuple, int] = {}
+    dealt = []
+    for r in sorted(big.collect(), key=lambda r: (-r["_size"], r["_h"], r["_id"])):
+        shard = min(range(len(filled)), key=lambda k: (filled[k], k))
+        key = (r["_h"], r["_id"], r["_size"])
+        copies[key] = copies.get(key, 0) + 1
+        dealt.append((*key, copies[key], shard, slots[shard]))
+        filled[shard] += r["_size"]
+        slots[shard] += 1
+    return big.sparkSession.createDataFrame(dealt, "_h long, _id long, _size long, _copy int, shard int, slot long")
 
 
 def _longs(values: list[int]) -> Column:
