@@ -39,7 +39,6 @@ MIN_LANE = 128        # documents in a lane, at least
 ROUNDS = 12           # of the permutation
 SLOT_CHUNK = 8192     # slots made from one row
 SLOTS_PER_TASK = 1_000_000
-MIX_BROADCAST = 200_000   # taken documents whose places may be broadcast
 
 
 def word_count(text: str = "text") -> Column:
@@ -179,14 +178,14 @@ def mixed_documents(docs: DataFrame, m: Mix, id_col: str = "doc_id", text_col: s
     chosen = written(parts.join(place, ["source_id", "lane", "nth"]).select(
         F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("copy").alias("_copy"),
         F.when(F.col("n") < F.col("size"), F.col("parts")).alias("_parts")))
-    n, copies = chosen.agg(F.count(F.lit(1)), F.max("_copy")).first()
+    copies = chosen.agg(F.max("_copy")).first()[0]
     rec = docs.select(F.struct("*").alias("_rec"), F.col(id_col).alias("_id2"),
                       F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_key2"))
     on = F.col("_id2").eqNullSafe(F.col("_id")) & (F.col("_key2") == F.col("_key"))
     if copies and copies > 1:   # only then must rows that agree in both be told apart
         rec = rec.withColumn("_copy2", F.row_number().over(Window.partitionBy("_id2", "_key2").orderBy(F.lit(0))))
         on = on & (F.col("_copy2") == F.col("_copy"))
-    joined = rec.join(broadcast_if(chosen, n, MIX_BROADCAST), on)
+    joined = rec.join(chosen.hint("merge"), on)   # the places grow with the documents: one way at every size
     words = F.regexp_extract_all(F.col(f"_rec.`{text_col}`"), F.lit(WORD), F.lit(0))
 
     def pieces_of(w):
