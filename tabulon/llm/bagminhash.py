@@ -41,10 +41,10 @@ THRESHOLD = 0.8
 BANDS, ROWS = 32, 6            # 192 registers; a pair at 0.8 is missed with probability 6e-5
 HORIZON = 3.0                  # a register stays empty with probability exp(-HORIZON) / m; then the horizon doubles
 SLACK = 0.15                   # five standard deviations of a 192-register estimate at 0.8
-CHUNK_WORDS = 400_000          # words handled at once in a task
+CHUNK_WORDS = 150_000          # words handled at once in a task
 BLOCK_ROWS = 512               # members of a large bucket compared at once,
 BLOCK_SHINGLES = 1_000_000     # and their shingles
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
 
 # Constants of the splitmix64 generator.
 _GOLDEN, _MIX1, _MIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -141,7 +141,9 @@ def _points(owner, shingle, weight, horizon, sig, m: int) -> None:
 def _chunks(batch, text_at: int):
     """(first row, tokenised texts) with at most about CHUNK_WORDS words each."""
     first, texts, size = 0, [], 0
-    for k, raw in enumerate(utf8_values(batch.column(text_at))):
+    column = batch.column(text_at)
+    raws = (raw for at in range(0, len(column), 256) for raw in utf8_values(column.slice(at, 256)))
+    for k, raw in enumerate(raws):
         words = words_of(raw)
         if texts and size + len(words) > CHUNK_WORDS:
             yield first, texts
