@@ -73,7 +73,7 @@ def deduce(facts: DataFrame, rules: DataFrame, keys: Sequence[str], top_k: int =
     conditions are skipped; order: score desc, confidence desc, rule order.
     Conditions on features absent from ``facts`` count as satisfied.
     Output: keys..., rank, rule_id, prediction, confidence, match_score,
-    known_conditions, samples.
+    known_conditions, samples, conditions (joined by AND).
     """
     fact_cols = set(facts.columns)
     numeric = {f.name for f in facts.schema.fields if is_numeric(f.dataType)}
@@ -103,6 +103,7 @@ def deduce(facts: DataFrame, rules: DataFrame, keys: Sequence[str], top_k: int =
             F.lit(r["prediction"]).alias("prediction"),
             sum(known[1:], known[0]).alias("known_conditions"),
             F.lit(r["samples"]).cast("long").alias("samples"),
+            F.lit(" AND ".join(conds)).alias("conditions"),
         )
 
     # the rules are compiled in chunks; a row keeps the best so far, so any number of rules is projections only
@@ -124,11 +125,11 @@ def deduce(facts: DataFrame, rules: DataFrame, keys: Sequence[str], top_k: int =
         return facts.sparkSession.createDataFrame(
             [], ", ".join(f"{k} {facts.schema[k].dataType.simpleString()}" for k in keys)
             + ", rank int, rule_id int, prediction string, confidence double, match_score double,"
-              " known_conditions int, samples long")
+              " known_conditions int, samples long, conditions string")
     # struct ordering is field by field: score, confidence, then rule order (via -rule_id)
     out = rows.select(*[col(k) for k in keys], F.posexplode_outer("_best").alias("_pos", "_r"))
     return out.select(*keys, (F.col("_pos") + 1).alias("rank"), "_r.rule_id", "_r.prediction", "_r.confidence",
-                      "_r.match_score", "_r.known_conditions", "_r.samples")
+                      "_r.match_score", "_r.known_conditions", "_r.samples", "_r.conditions")
 
 
 def abduce(rules: DataFrame, importances: DataFrame, outcome: str, top_k: int = 5,

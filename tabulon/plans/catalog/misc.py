@@ -142,7 +142,8 @@ def _predict_sql():
         parts.append(
             f"SELECT {', '.join(PKEYS)}, {i} AS rule_id, '{r['prediction']}' AS prediction, "
             f"CAST({r['confidence']} AS DOUBLE) AS confidence, round(({' + '.join(sats)}) / {float(len(sats))}, 4) "
-            f"AS match_score, {' + '.join(knowns)} AS known_conditions, CAST({r['samples']} AS BIGINT) AS samples "
+            f"AS match_score, {' + '.join(knowns)} AS known_conditions, CAST({r['samples']} AS BIGINT) AS samples, "
+            f"'{' AND '.join(r['conditions'])}' AS conditions "
             f"FROM facts")
     return with_sql(_PROMPTS_SQL, f"""
 facts AS (SELECT {', '.join(PKEYS)}, {cols} FROM prompts
