@@ -349,7 +349,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not still.isEmpty():
         more = written(_rest(still, reps, grams_of(still.select("id")), floor, threshold))
         if not more.isEmpty():
-            labels = written(components(links.unionByName(more)))
+            # the classes so far are stars already
+            stars = labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
+            labels = written(components(stars.unionByName(more)))
     n_labels = labels.count()
     placed = signed.select("id", "key").where("key IS NOT NULL") \
         .join(broadcast_if(classes, n_classes, 500_000), "key") \
