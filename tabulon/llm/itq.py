@@ -1,7 +1,9 @@
 """Operator 9 — embedding near-duplicates by iterative quantisation.
 
-Rotations are learned that turn vectors into balanced binary codes whose bits
-flip with the angle between vectors.  The codes are cut into the chunks of a
+Rotations are learned that turn unit vectors into binary codes whose bits flip
+with the angle between vectors.  The vectors are not centred: the limit is one
+on their own cosine, and the angle seen from a mean that a large cluster has
+drawn near is wider.  The codes are cut into the chunks of a
 multi-index: a pair is retrieved when one of its chunks differs in at most one
 bit, in the first table where that holds, so every pair comes up once.  Pairs
 near in Hamming distance over all chunks are reranked with the original
@@ -9,9 +11,11 @@ vectors in double precision.  Equal vectors are one class with a multiplicity;
 their pairs are counted, never listed.
 
 Chunks get one bit more than the logarithm of the number of classes, so a
-bucket holds about half a vector at every size and the work stays n log n.
-With eight chunks a pair at the cosine limit 0.95 is missed about once in a
-hundred times, one at 0.97 once in a thousand.
+bucket of spread-out vectors holds about half a one at every size.  The wider
+the chunks, the less often one of them agrees, so their number grows with their
+width: a pair at the cosine limit is missed with probability ``MISS`` at most
+at every size, by the binomial formula for independent bits that flip with
+probability angle / pi.
 
 The rotations are fitted on a bounded sample (``FIT_ROWS`` classes in the
 order of a hash of the id); every row is coded, stored and searched.
@@ -35,7 +39,8 @@ from tabulon.llm.graph import components
 from tabulon.llm.scratch import broadcast_if, prepare, written
 
 COSINE = 0.95
-TABLES = 8
+TABLES = 8            # at least
+MISS = 0.001          # of the pairs at the limit
 FIT_ROWS = 20_000
 ITERATIONS = 30
 MIN_CHUNK = 8
@@ -52,18 +57,28 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(np.float64)
 
 
-def learn(sample: np.ndarray, bits: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projection) with ``bits`` columns: principal axes turned by ITQ rotations."""
+def missed(chunk: int, tables: int, cosine: float) -> float:
+    """Probability that no chunk of a pair at ``cosine`` differs in at most one bit."""
+    flip = math.acos(cosine) / math.pi
+    return (1 - (1 - flip) ** chunk - chunk * flip * (1 - flip) ** (chunk - 1)) ** tables
+
+
+def tables_for(chunk: int, cosine: float) -> int:
+    """So many chunks that a pair at ``cosine`` is missed with probability ``MISS`` at most."""
+    once = missed(chunk, 1, cosine)
+    return TABLES if once <= 0 else max(TABLES, math.ceil(math.log(MISS) / math.log(once)))
+
+
+def learn(sample: np.ndarray, bits: int, seed: int = 11) -> np.ndarray:
+    """Projection with ``bits`` columns: principal axes turned by ITQ rotations."""
     x = _unit(sample)
-    mean = x.mean(axis=0)
-    centred = x - mean
     d = x.shape[1]
-    _, axes = np.linalg.eigh(centred.T @ centred)
+    _, axes = np.linalg.eigh(x.T @ x)
     axes = axes[:, ::-1]
     rng = np.random.default_rng(seed)
     out, made = [], 0
     while made < bits:
-        v = centred @ axes
+        v = x @ axes
         r = np.linalg.qr(rng.normal(size=(d, d)))[0]
         for _ in range(ITERATIONS):   # codes for the rotation, then the rotation for the codes
             b = np.where(v @ r >= 0, 1.0, -1.0)
@@ -72,17 +87,17 @@ def learn(sample: np.ndarray, bits: int, seed: int = 11) -> tuple[np.ndarray, np
         out.append(axes @ r)
         made += d
     columns = np.concatenate(out, axis=1)
-    return mean, columns[:, rng.permutation(columns.shape[1])[:bits]]
+    return columns[:, rng.permutation(columns.shape[1])[:bits]]
 
 
 def _encode(classes: DataFrame, model, tables: int, chunk: int) -> DataFrame:
     shared = classes.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        mean, turn = shared.value
+        turn = shared.value
         weight = (1 << np.arange(chunk, dtype=np.int64))
         for batch in batches:
-            x = _unit(_matrix(batch.column(1))) - mean
+            x = _unit(_matrix(batch.column(1)))
             bits = (x @ turn >= 0).reshape(len(x), tables, chunk)
             codes = (bits * weight).sum(axis=2)
             offsets = pa.array(np.arange(0, codes.size + 1, tables, dtype=np.int32))
@@ -133,7 +148,7 @@ def _usable(v: Column) -> Column:
 
 
 def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = COSINE,
-                 tables: int = TABLES, fit_rows: int = FIT_ROWS) -> DataFrame:
+                 tables: int | None = None, fit_rows: int = FIT_ROWS) -> DataFrame:
     """One row per vector: id, n_links, component_id, kept."""
     prepare(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
@@ -149,6 +164,7 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
                                      F.monotonically_increasing_id().alias("id")))
     n = classes.count()
     chunk = max(MIN_CHUNK, math.ceil(math.log2(max(n, 2))) + 1)
+    tables = tables or tables_for(chunk, cosine)
     sample = classes.orderBy(F.xxhash64("least", "key")).limit(fit_rows).select("vec").toArrow()
     model = learn(_matrix(sample.column("vec").combine_chunks()), tables * chunk)
     flip = math.acos(cosine) / math.pi
