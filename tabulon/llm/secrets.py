@@ -4,7 +4,7 @@ Base secrets of three kinds are found in every whole text, and wider
 candidates besides: long tokens that mix letters and digits.  The hashes of
 all values are aggregated over the corpus by distinct repositories and owners.
 A value that several owners share is an example that everybody copies; one
-that a single owner uses, in few repositories, looks live.  Owner-specific
+that a single owner uses, in however many repositories, looks live.  Owner-specific
 candidates become spans of kind ``owned``; base spans always stay, with their
 verdict beside them.
 
@@ -37,8 +37,7 @@ KINDS = ("assign", "access", "hex", "owned")
 
 #: wider candidates: long runs of token characters; those with letters in both cases and digits are kept
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
-MAX_OWNERS = 1        # more owners share an example
-MAX_REPOSITORIES = 3  # an owned candidate stands in at most so many
+MAX_OWNERS = 1  # more owners share an example
 
 
 def _spans(text: Column, kind: str, pattern: str, group: int, keep, trigger: str) -> Column:
@@ -107,8 +106,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     candidates = written(rows.where(F.size("found") > 0).select("row", "repo", "owner", F.explode("found").alias("s"))
                          .withColumn("hash", F.sha2(F.col("s.value").cast("binary"), 256)))
     shared = written(ownership(candidates))
-    judged = candidates.join(shared, "hash").withColumn(
-        "live", (F.col("owners") <= MAX_OWNERS) & (F.col("repositories") <= MAX_REPOSITORIES))
+    judged = candidates.join(shared, "hash").withColumn("live", F.col("owners") <= MAX_OWNERS)
     kept = judged.where((F.col("s.kind_no") < KINDS.index("owned")) | F.col("live"))
     per_row = kept.groupBy("row").agg(
         F.array_sort(F.collect_list(F.struct("s.start", "s.kind_no", "s.end"))).alias("spans"),

@@ -29,3 +29,15 @@ def test_pairs_at_the_limit_are_found_at_every_size(classes):
     for a, b in (near, far):
         flips = ((a @ turn >= 0) != (b @ turn >= 0)).reshape(len(a), tables, chunk).sum(axis=2)
         assert (flips.min(axis=1) > 1).mean() <= 0.005
+
+
+def test_a_single_owner_keeps_its_key_in_any_number_of_documents(spark):
+    from tabulon.llm import secrets
+    rows = [(i, "key Zx9qLm3RtY7uWp2Ks8Vb here", "hot") for i in range(4)]
+    rows += [(100 + i, f"text {i} with Qw8eRt5yUi2oPa7sDf4g", "hot") for i in range(2000)]
+    rows += [(5000 + i, "two Ab1Cd2Ef3Gh4Ij5Kl6Mn7 x", f"s{i % 2}") for i in range(4)]
+    got = {r["doc_id"]: r for r in
+           secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[i]["spans"] == "owned:4:24" and got[i]["n_live"] == 1 for i in range(4))
+    assert all(got[100 + i]["spans"].startswith("owned:") for i in range(2000))
+    assert all(got[5000 + i]["spans"] == "" for i in range(4))
