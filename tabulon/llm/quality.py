@@ -1,10 +1,11 @@
 """Operator 7 — quality by compression with zstandard dictionaries.
 
 Two dictionaries are trained, one on good and one on bad labelled texts.  A
-text is compressed whole with each; the size difference, normalised by the
-square root of the text's length (the spread of such a difference), says which
-class it resembles, and the smaller of both sizes per byte tells endless
-repetition from prose.  A logistic fit on labelled rows that trained no
+text is compressed with each in blocks of ``BLOCK`` bytes, every block afresh:
+behind the match window of a long frame no byte could refer to the dictionary,
+and before that the text's own history takes its place.  The size difference
+of all blocks, per byte, says which class the text resembles, and the smaller
+of both sizes per byte tells endless repetition from prose.  A logistic fit on labelled rows that trained no
 dictionary turns both into a score.
 
 The dictionaries learn from a bounded sample: at most ``SAMPLE`` texts per
@@ -31,6 +32,8 @@ from tabulon.llm.scratch import broadcast_if, prepare, utf8_values
 SAMPLE = 1000
 SAMPLE_BYTES = 65_536
 DICTIONARY = 65_536      # bytes
+BLOCK = 16_384           # bytes
+UNIT = 32                # bytes of text that the size difference is given for
 LEVEL = 3
 THRESHOLD = 0.7
 MIN_TRAIN = 20           # below so many texts the dictionary is their raw content
@@ -59,10 +62,11 @@ class Compressors:
                                                       write_checksum=False, write_dict_id=False))
 
     def features(self, raw: bytes) -> tuple[float, float]:
-        """(size difference per root byte, log of the smaller size per byte)."""
-        bad, good = (len(c.compress(raw)) for c in self.make)
+        """(size difference per ``UNIT`` bytes, log of the smaller size per byte), over all blocks."""
+        blocks = [raw[i:i + BLOCK] for i in range(0, max(len(raw), 1), BLOCK)]
+        bad, good = (sum(len(c.compress(b)) for b in blocks) for c in self.make)
         n = max(len(raw), 1)
-        return (bad - good) / np.sqrt(n), float(np.log(min(bad, good) / n))
+        return UNIT * (bad - good) / n, float(np.log(min(bad, good) / n))
 
 
 def features(docs: DataFrame, dictionaries: tuple[bytes, bytes], keep: list[str], text_col: str) -> DataFrame:

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tabulon.llm import itq
+from tabulon.llm import itq, quality
 
 
 @pytest.mark.parametrize("classes", [30_000, 10**6, 10**7, 10**8])
@@ -41,3 +41,16 @@ def test_a_single_owner_keeps_its_key_in_any_number_of_documents(spark):
     assert all(got[i]["spans"] == "owned:4:24" and got[i]["n_live"] == 1 for i in range(4))
     assert all(got[100 + i]["spans"].startswith("owned:") for i in range(2000))
     assert all(got[5000 + i]["spans"] == "" for i in range(4))
+
+
+def test_junk_far_behind_the_match_window_counts():
+    rng = np.random.default_rng(4)
+    words = [[("good", "bad")[c] + "".join(rng.choice(list("abcdefghij"), 8)) for _ in range(600)] for c in (0, 1)]
+    text = lambda c, n: " ".join(words[c][i] for i in rng.integers(600, size=n)).encode()
+    dictionaries = [quality.train_dictionary([text(c, 300) for _ in range(100)]) for c in (1, 0)]
+    tools = quality.Compressors((dictionaries[0], dictionaries[1]))
+    opening, junk = text(0, 200_000), text(1, 600_000)   # megabytes of each
+    good, bad, mixed = (tools.features(t)[0] for t in (opening, junk, opening + junk))
+    assert good > 0 > bad and abs(mixed - (good + 3 * bad) / 4) < 0.1 * (good - bad)
+    # length alone does not pull a text towards the middle
+    assert tools.features(opening[:20 * quality.BLOCK])[0] == pytest.approx(good, rel=0.1)
