@@ -1,58 +1,54 @@
 """Operator 5 — toxicity by class-conditional Kneser-Ney word models.
 
-Two language models, of toxic and of ordinary text, are counted in one pass.
-An expression is a word or one of its stems (first 4, 5, 6 bytes).  As in
-Kneser-Ney smoothing what counts is in how many different contexts an
-expression stands, not how often copies repeat it: the distinct left
-neighbours are estimated by linear counting, until their number is saturated
-and plain counts take over.  A rare word backs off to its stems and these to
-the class shares: ``SHARED`` backoff counts, split as the next shorter stem is
-split between the classes, are added to both models.
+Two bigram models, of toxic and of ordinary text, are counted in one pass over
+all labelled rows, in a Spark table keyed by the n-gram.  As in Kneser-Ney
+smoothing the pair (left neighbour, word) counts as often as it occurs, less a
+discount, and backs off to the word's continuation counts: in how many
+different contexts it stands, not how often copies repeat it.  These distinct
+left neighbours are counted exactly, for words and for their stems (first 4, 5,
+6 bytes); a rare word backs off to its stems and these to the class shares.
+Each step adds ``SHARED`` backoff counts, split between the classes as the
+shorter expression is split (for a pair: as word and left neighbour are,
+taken as independent).
 
 A text is scored by windows of a few words: the length-normalised difference
-of the two log-likelihoods, of the most toxic window, so a long text does not
-dilute what it says.  A logistic fit on labelled rows kept out of the counts
-turns the difference into a score.
+of the two log-likelihoods, each word given the one before it, of the most
+toxic window, so a long text does not dilute what it says.  A logistic fit on
+labelled rows kept out of the counts turns the difference into a score.
 
-Counts live in a hashed table of fixed size, so what is broadcast does not
-grow; what tasks gather and shuffle grows with the labelled text.
+The model is broadcast while its counted rows stay under ``BROADCAST_NGRAMS``;
+a larger one is joined to the n-grams of the texts, with the same results.
+Lookups go by 64-bit hashes of the n-grams, counts by the n-grams themselves.
 
 Defined results: null and empty texts have difference 0; rows without a label
 teach nothing, without any labels every text scores alike; repeated rows are
-scored alike; long texts are used whole.
+scored alike; long texts are used whole; a text's first word has the empty word
+before it.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm.calibration import fit_logistic, logistic
 from tabulon.llm.langid import held_out
-from tabulon.llm.scratch import broadcast_if, prepare, utf8_values, words_of
+from tabulon.llm.scratch import broadcast_if, prepare, utf8_values, words_of, written
 
 STEMS = (4, 5, 6)
-BUCKETS = 1 << 21
 SHARED = 10.0         # backoff counts
 DISCOUNT = 0.75
 WINDOW = 3            # words
-SATURATED = 60        # of 64 context bits
-FLUSH_WORDS = 400_000
+CHUNK_WORDS = 500_000
+BROADCAST_NGRAMS = 16_000_000   # of 16 bytes
+PIECE = 2_000_000     # of them reach the driver at a time
 CALIBRATION = 5       # one learnable row in so many calibrates, the others are counted
 THRESHOLD = 0.7
 
 
-def _buckets(word: bytes) -> list[int]:
-    """Table places of the word's stems, shortest first, and of the word."""
-    return [xxhash.xxh3_64_intdigest(word[:k], seed=k) % BUCKETS for k in STEMS] + \
-        [xxhash.xxh3_64_intdigest(word) % BUCKETS]
-
-
 class _Ids(dict):
     """Dense numbers for words in the order of their first appearance."""
 
@@ -61,141 +57,241 @@ class _Ids(dict):
         return n
 
 
-def count_expressions(labelled: DataFrame, label_col: str, text_col: str) -> DataFrame:
-    """(bucket, n_1, n_0, contexts_1, contexts_0): counts and 64-bit context sets by class."""
-    def table(ids, n, ctx):
-        where = np.array([_buckets(w) for w in ids], dtype=np.int64).reshape(len(ids), -1)
-        places, at = np.unique(where, return_inverse=True)
-        at = at.reshape(where.shape)
-        counts = np.zeros((2, len(places)), dtype=np.int64)
-        sets = np.zeros((2, len(places)), dtype=np.uint64)
-        for c in (0, 1):
-            for k in range(where.shape[1]):
-                np.add.at(counts[c], at[:, k], n[c][:len(ids)])
-                np.bitwise_or.at(sets[c], at[:, k], ctx[c][:len(ids)])
-        return pa.RecordBatch.from_arrays(
-            [pa.array(places), pa.array(counts[1]), pa.array(counts[0]), pa.array(sets[1].view(np.int64)),
-             pa.array(sets[0].view(np.int64))], names=["bucket", "n_1", "n_0", "contexts_1", "contexts_0"])
-
+def _chunks(texts):
+    """Runs of texts with about ``CHUNK_WORDS`` words: (index of the first text, words as numbers
+    per text, the words by number).  Number 0 is the empty word."""
+    ids, rows, first, size = _Ids({b"": 0}), [], 0, 0
+    for raw in texts:
+        words = words_of(raw)
+        rows.append(np.fromiter(map(ids.__getitem__, words), dtype=np.int64, count=len(words)))
+        size += len(words)
+        if size >= CHUNK_WORDS:
+            yield first, rows, list(ids)
+            first += len(rows)
+            ids, rows, size = _Ids({b"": 0}), [], 0
+    if rows:
+        yield first, rows, list(ids)
+
+
+def _pairs(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every word of the texts as (its text, the number of its left neighbour, its number)."""
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    word = np.concatenate(rows)
+    left = np.concatenate(([0], word[:-1])) * np.concatenate(([False], owner[1:] == owner[:-1]))
+    return owner, left, word
+
+
+def count_pairs(labelled: DataFrame, label_col: str, text_col: str) -> DataFrame:
+    """(l, w, n_1, n_0): how often word w follows l, by class."""
     def run(batches):
-        ids = _Ids()
-        n = np.zeros((2, 1024), dtype=np.int64)
-        ctx = np.zeros((2, 1024), dtype=np.uint64)
         for batch in batches:
-            for raw, y in zip(utf8_values(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                words = words_of(raw)
-                if not words:
-                    continue
-                at = np.fromiter(map(ids.__getitem__, words), dtype=np.int64, count=len(words))
-                if len(ids) > n.shape[1]:
-                    grow = 2 * len(ids) - n.shape[1]
-                    n = np.pad(n, ((0, 0), (0, grow)))
-                    ctx = np.pad(ctx, ((0, 0), (0, grow)))
-                np.add.at(n[y], at, 1)
-                # a left neighbour's place among the 64 comes from the word itself, not from its number here
-                left = np.fromiter((hash_bit(w) for w in words[:-1]), dtype=np.uint64, count=len(words) - 1)
-                np.bitwise_or.at(ctx[y], at[1:], np.uint64(1) << left)
-                ctx[y][at[0]] |= np.uint64(1)
-            if len(ids) > FLUSH_WORDS:
-                yield table(ids, n, ctx)
-                ids = _Ids()
-                n[:], ctx[:] = 0, 0
-        if ids:
-            yield table(ids, n, ctx)
-
-    memo: dict = {}
-
-    def hash_bit(word):
-        bit = memo.get(word)
-        if bit is None:
-            bit = xxhash.xxh3_64_intdigest(word) >> 58
-            if len(memo) < FLUSH_WORDS:
-                memo[word] = bit
-        return bit
-
-    counted = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y")).mapInArrow(
-        run, "bucket long, n_1 long, n_0 long, contexts_1 long, contexts_0 long")
-    return counted.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("n_1", "n_0")],
-                                         *[F.bit_or(c).alias(c) for c in ("contexts_1", "contexts_0")])
-
-
-def _effective(n, contexts):
-    """Continuation count of an expression, discounted: its distinct contexts by linear
-    counting, or its plain count when the 64 context bits are saturated."""
-    bits = F.bit_count(contexts)
-    distinct = -64.0 * F.log((64 - F.least(bits, F.lit(63))) / 64.0)
-    k = F.when(bits >= SATURATED, n.cast("double")).otherwise(F.least(n.cast("double"), distinct))
-    return F.greatest(k - DISCOUNT, F.lit(0.0))
+            label = np.array(batch.column(1).to_pylist(), dtype=np.int64)
+            for first, rows, words in _chunks(utf8_values(batch.column(0))):
+                owner, left, word = _pairs(rows)
+                toxic = label[first + owner]
+                seen, n = np.unique((left << 33) | (word << 1) | toxic, return_counts=True)
+                names = pa.array(words, pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [names.take(pa.array(seen >> 33)), names.take(pa.array((seen >> 1) & 0xFFFFFFFF)),
+                     pa.array(np.where(seen & 1, n, 0)), pa.array(np.where(seen & 1, 0, n))],
+                    names=["l", "w", "n_1", "n_0"])
+
+    counted = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y")) \
+        .mapInArrow(run, "l binary, w binary, n_1 long, n_0 long")
+    return counted.groupBy("l", "w").agg(F.sum("n_1").alias("n_1"), F.sum("n_0").alias("n_0"))
+
+
+def continuations(pairs: DataFrame) -> DataFrame:
+    """(x, c_1, c_0): distinct left neighbours of every expression, by class.  An expression
+    is a tag, the length of the stem or 0 for the word, and its bytes."""
+    tagged = F.array(*[F.concat(F.lit(f"{k} ").cast("binary"), F.substring("w", 1, k) if k else F.col("w"))
+                       for k in (*STEMS, 0)])
+    seen = pairs.select("l", F.explode(tagged).alias("x"), (F.col("n_1") > 0).cast("int").alias("s_1"),
+                        (F.col("n_0") > 0).cast("int").alias("s_0"))
+    distinct = seen.groupBy("x", "l").agg(F.max("s_1").alias("s_1"), F.max("s_0").alias("s_0"))
+    return distinct.groupBy("x").agg(F.sum("s_1").alias("c_1"), F.sum("s_0").alias("c_0"))
+
+
+def _hash(tagged: bytes) -> int:
+    """Spark's xxhash64 of a binary value."""
+    h = xxhash.xxh64_intdigest(tagged, seed=42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _tagged(tag: str, word: Column) -> Column:
+    return F.xxhash64(F.concat(F.lit(f"{tag} ").cast("binary"), word))
+
+
+def _discounted(n: str) -> Column:
+    return F.greatest(F.col(n) - DISCOUNT, F.lit(0.0)).cast("float")
+
+
+class Keys:
+    """The model's keys for the words of a chunk and for the pairs in it."""
+
+    def __init__(self, words: list[bytes]):
+        made = lambda tag, k: np.fromiter(
+            (_hash(tag + (w[:k] if k else w)) for w in words), dtype=np.int64, count=len(words))
+        self.levels = [made(b"%d " % k, k) for k in (*STEMS, 0)]
+        self.context = made(b"c ", 0)
+
+    def pair(self, left: np.ndarray, word: np.ndarray) -> np.ndarray:
+        u = self.context[left].view(np.uint64)
+        return ((u << np.uint64(17)) | (u >> np.uint64(47))).view(np.int64) ^ self.levels[-1][word]
 
 
 class KneserNey:
-    """The two models as hashed continuation counts."""
+    """The two models as a table (key, t, o) of discounted counts, with the class shares
+    among continuations and among running words."""
 
-    def __init__(self, toxic: np.ndarray, ordinary: np.ndarray, share: float):
-        self.toxic, self.ordinary, self.share = toxic, ordinary, share
-        self.base = math.log(share / (1 - share))
+    def __init__(self, table: DataFrame, share: float, running: float):
+        self.table, self.share, self.running = table, share, running
+        self.rows = table.count()
+        self.bits = (max(self.rows - 1, 0) // PIECE).bit_length()
+        self._pieces: list = []
 
-    def difference(self, word: bytes) -> float:
-        """log P(word | toxic) - log P(word | ordinary)."""
-        q = self.share
-        for b in _buckets(word):
-            t, o = float(self.toxic[b]), float(self.ordinary[b])
-            q = (t + SHARED * q) / (t + o + SHARED)
-        return math.log(q / (1 - q)) - self.base
+    def pieces(self) -> list:
+        """Broadcast (key, t, o) sorted by key, one for every value of the key's first ``bits`` bits."""
+        if not self._pieces:
+            spark = self.table.sparkSession
+            first = F.shiftrightunsigned("key", 64 - self.bits) if self.bits else F.lit(0).cast("long")
+            for i in range(1 << self.bits):
+                local = self.table.where(first == i).toArrow()
+                order = np.argsort(local.column("key").to_numpy())
+                self._pieces.append(spark.sparkContext.broadcast(
+                    tuple(local.column(c).to_numpy()[order] for c in ("key", "t", "o"))))
+        return self._pieces
 
-    def scorer(self):
-        memo = _Differences(self)
 
-        def score(raw: bytes) -> float:
-            words = words_of(raw)
-            if not words:
-                return 0.0
-            d = np.fromiter(map(memo.__getitem__, words), dtype=np.float64, count=len(words))
-            run = np.concatenate(([0.0], np.cumsum(d)))
-            w = min(WINDOW, len(words))
-            return float((run[w:] - run[:-w]).max() / w)
+def _logit(q):
+    return np.log(q) - np.log1p(-q)
 
-        return score
 
+def _differences(keys: Keys, left: np.ndarray, word: np.ndarray, find, share: float, running: float) -> np.ndarray:
+    """log P(word | left, toxic) - log P(word | left, ordinary) of every pair."""
+    def back(key, q):
+        t, o = find(key)
+        return (t + SHARED * q) / (t + o + SHARED)
 
-class _Differences(dict):
-    def __init__(self, model):
-        super().__init__()
-        self.model = model
+    q = np.full(len(keys.context), share)
+    for level in keys.levels:
+        q = back(level, q)
+    context = _logit(back(keys.context, np.full(len(q), running)))[left]
+    alone = _logit(q)[word] - _logit(share)
+    return _logit(back(keys.pair(left, word), 1 / (1 + np.exp(-context - alone)))) - context
 
-    def __missing__(self, word):
-        value = self.model.difference(word)
-        if len(self) < FLUSH_WORDS:
-            self[word] = value
-        return value
+
+def _window(d: np.ndarray) -> float:
+    if not len(d):
+        return 0.0
+    run = np.concatenate(([0.0], np.cumsum(d)))
+    w = min(WINDOW, len(d))
+    return float((run[w:] - run[:-w]).max() / w)
+
+
+def _finder(key: np.ndarray, t: np.ndarray, o: np.ndarray):
+    """Lookup in arrays sorted by key: counts, 0 for what is not there."""
+    def find(wanted):
+        if not len(key):
+            return np.zeros(len(wanted)), np.zeros(len(wanted))
+        at = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+        there = key[at] == wanted
+        return np.where(there, t[at], 0.0).astype(np.float64), np.where(there, o[at], 0.0).astype(np.float64)
+
+    return find
+
+
+def _unique_pairs(rows):
+    owner, left, word = _pairs(rows)
+    seen, at = np.unique((left << 32) | word, return_inverse=True)
+    return owner, seen >> 32, seen & 0xFFFFFFFF, at
 
 
 def fit(labelled: DataFrame, label_col: str, text_col: str) -> KneserNey:
-    """Count both models over every row given; at most ``BUCKETS`` rows reach the driver."""
-    table = count_expressions(labelled, label_col, text_col)
-    rows = table.select("bucket", _effective(F.col("n_1"), F.col("contexts_1")).cast("float").alias("t"),
-                        _effective(F.col("n_0"), F.col("contexts_0")).cast("float").alias("o")) \
-        .where("t + o > 1").toArrow()
-    toxic, ordinary = np.zeros(BUCKETS, dtype=np.float32), np.zeros(BUCKETS, dtype=np.float32)
-    at = rows.column("bucket").to_numpy()
-    toxic[at], ordinary[at] = rows.column("t").to_numpy(), rows.column("o").to_numpy()
-    # class shares by expressions, kept off the ends when a class is missing
-    t, o = float(toxic.sum()) + 1.0, float(ordinary.sum()) + 1.0
-    return KneserNey(toxic, ordinary, min(max(t / (t + o), 1e-4), 1 - 1e-4))
-
-
-def differences(docs: DataFrame, model: KneserNey, keep: list[str], text_col: str) -> DataFrame:
+    """Count both models over every row given."""
+    pairs = written(count_pairs(labelled, label_col, text_col))
+    words = continuations(pairs).select(F.xxhash64("x").alias("key"), _discounted("c_1").alias("t"),
+                                        _discounted("c_0").alias("o"), F.lit(0).alias("kind"))
+    contexts = pairs.groupBy("l").agg(F.sum("n_1").cast("float").alias("t"), F.sum("n_0").cast("float").alias("o")) \
+        .select(_tagged("c", F.col("l")).alias("key"), "t", "o", F.lit(1).alias("kind"))
+    turned = _tagged("c", F.col("l"))
+    turned = F.shiftleft(turned, 17).bitwiseOR(F.shiftrightunsigned(turned, 47))
+    both = pairs.select(turned.bitwiseXOR(_tagged("0", F.col("w"))).alias("key"), _discounted("n_1").alias("t"),
+                        _discounted("n_0").alias("o"), F.lit(2).alias("kind"))
+    table = written(words.unionByName(contexts).unionByName(both))
+    sums = {r["kind"]: (r["t"] + 1.0, r["o"] + 1.0) for r in table.groupBy("kind").agg(
+        F.sum("t").alias("t"), F.sum("o").alias("o")).collect()}
+    # kept off the ends when a class is missing
+    shares = [min(max(t / (t + o), 1e-4), 1 - 1e-4) for t, o in (sums.get(k, (1.0, 1.0)) for k in (0, 1))]
+    return KneserNey(table.drop("kind"), *shares)
+
+
+def differences(docs: DataFrame, model: KneserNey, keep: list[str], text_col: str,
+                limit: int = BROADCAST_NGRAMS) -> DataFrame:
     """``keep`` columns and _x, the most toxic window's length-normalised difference."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(*keep, F.col(text_col).alias("_text"))
+    share, running = model.share, model.running
+    out = rows.drop("_text").schema.add("_x", "double")
+    if model.rows > limit:
+        return _joined(rows, model, keep, out)
+    pieces, bits = model.pieces(), model.bits
 
     def run(batches):
-        score = shared.value.scorer()
+        finders = [_finder(*p.value) for p in pieces]
+
+        def find(wanted):
+            part = wanted.view(np.uint64) >> np.uint64(64 - bits) if bits else np.zeros(len(wanted), dtype=np.uint64)
+            t, o = np.zeros(len(wanted)), np.zeros(len(wanted))
+            for i, f in enumerate(finders):
+                here = part == i
+                t[here], o[here] = f(wanted[here])
+            return t, o
+
         for batch in batches:
-            x = pa.array([score(raw) for raw in utf8_values(batch.column(len(keep)))], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], x], names=[*keep, "_x"])
+            x = []
+            for _, texts, words in _chunks(utf8_values(batch.column(len(keep)))):
+                owner, left, word, at = _unique_pairs(texts)
+                d = _differences(Keys(words), left, word, find, share, running)[at]
+                x += map(_window, np.split(d, np.searchsorted(owner, np.arange(1, len(texts)))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(x, pa.float64())], names=[*keep, "_x"])
 
-    rows = docs.select(*keep, F.col(text_col).alias("_text"))
-    return rows.mapInArrow(run, rows.drop("_text").schema.add("_x", "double"))
+    return rows.mapInArrow(run, out)
+
+
+def _joined(rows: DataFrame, model: KneserNey, keep: list[str], out) -> DataFrame:
+    """``differences`` with a model too large to broadcast: the n-grams of the texts meet it in a join."""
+    share, running = model.share, model.running
+    # the row number is fixed by writing the table
+    rows = written(rows.withColumn("_row", F.monotonically_increasing_id()))
+
+    def ask(batches):
+        for batch in batches:
+            for no, raw in zip(batch.column(0).to_pylist(), utf8_values(batch.column(1)), strict=True):
+                for _, texts, words in _chunks([raw]):
+                    _, left, word, _ = _unique_pairs(texts)
+                    keys = Keys(words)
+                    key = np.unique(np.concatenate([*keys.levels, keys.context, keys.pair(left, word)]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), no)), pa.array(key)],
+                                                     names=["_row", "key"])
+
+    def run(batches):
+        for batch in batches:
+            column = dict(zip(batch.schema.names, batch.columns, strict=True))
+            x = []
+            for raw, found in zip(utf8_values(column["_text"]), column["_found"], strict=True):
+                key, t, o = (found.values.field(f).to_numpy() for f in ("key", "t", "o")) if found.is_valid else \
+                    (np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0))
+                order = np.argsort(key)
+                find = _finder(key[order], t[order], o[order])
+                for _, texts, words in _chunks([raw]):
+                    _, left, word, at = _unique_pairs(texts)
+                    x.append(_window(_differences(Keys(words), left, word, find, share, running)[at]))
+            yield pa.RecordBatch.from_arrays([*[column[c] for c in keep], pa.array(x, pa.float64())],
+                                             names=[*keep, "_x"])
+
+    asked = rows.select("_row", "_text").mapInArrow(ask, "_row long, key long")
+    found = asked.join(model.table, "key").groupBy("_row").agg(F.collect_list(F.struct("key", "t", "o")).alias("_found"))
+    return rows.join(found, "_row", "left").select(*keep, "_text", "_found").mapInArrow(run, out)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tabulon.llm import itq, quality
+from tabulon.llm import itq, quality, toxicity
 
 
 @pytest.mark.parametrize("classes", [30_000, 10**6, 10**7, 10**8])
@@ -54,3 +54,40 @@ def test_junk_far_behind_the_match_window_counts():
     assert good > 0 > bad and abs(mixed - (good + 3 * bad) / 4) < 0.1 * (good - bad)
     # length alone does not pull a text towards the middle
     assert tools.features(opening[:20 * quality.BLOCK])[0] == pytest.approx(good, rel=0.1)
+
+
+@pytest.fixture(scope="module")
+def template_texts(spark):
+    """A slur that always follows the same word, and a toxic phrase of ordinary words."""
+    rng = np.random.default_rng(8)
+    words = [f"{a}{b}" for a in "bcdfghjklm" for b in ("ola", "enur", "itas", "omen", "ural", "ask")]
+    rows = []
+    for i in range(600):
+        own = rng.choice(words, 40).tolist()
+        at = int(rng.integers(1, 38))
+        if i % 3 == 0:
+            own[at:at + 2] = [words[0], "xqz"]
+        elif i % 3 == 1:
+            own[at:at + 2] = [words[1], words[2]]
+        else:   # the phrase's words stand apart in ordinary text, as often
+            own[at], own[at - 1] = words[2], words[3]
+        rows.append((i, " ".join(own).replace(f"{words[1]} {words[2]}", f"{words[1]} {words[2]}" if i % 3 == 1
+                                              else words[4]), int(i % 3 < 2)))
+    return spark.createDataFrame(rows, "doc_id long, text string, toxic int").cache(), words
+
+
+def test_a_word_after_one_neighbour_and_a_phrase_of_ordinary_words(spark, template_texts, monkeypatch):
+    docs, words = template_texts
+    model = toxicity.fit(docs, "toxic", "text")
+    new = spark.createDataFrame([(0, f"{words[9]} {words[0]} xqz"), (1, f"{words[9]} {words[1]} {words[2]}"),
+                                 (2, f"{words[9]} {words[2]} {words[1]}"), (3, None)], "doc_id long, text string")
+    x = {r["doc_id"]: r["_x"] for r in toxicity.differences(new, model, ["doc_id"], "text").collect()}
+    assert x[3] == 0 and x[0] > x[2] + 0.3 and x[1] > x[2] + 0.3
+    joined = toxicity.differences(docs, model, ["doc_id"], "text", limit=0).collect()
+    known = {r["doc_id"]: r["_x"] for r in toxicity.differences(docs, model, ["doc_id"], "text").collect()}
+    assert {r["doc_id"]: r["_x"] for r in joined} == pytest.approx(known, abs=1e-9) and len(known) == 600
+    monkeypatch.setattr(toxicity, "PIECE", 500)
+    parts = toxicity.KneserNey(model.table, model.share, model.running)
+    assert parts.bits > 1
+    again = {r["doc_id"]: r["_x"] for r in toxicity.differences(docs, parts, ["doc_id"], "text").collect()}
+    assert again == pytest.approx(known, abs=1e-9)
