@@ -91,3 +91,10 @@ def test_a_word_after_one_neighbour_and_a_phrase_of_ordinary_words(spark, templa
     assert parts.bits > 1
     again = {r["doc_id"]: r["_x"] for r in toxicity.differences(docs, parts, ["doc_id"], "text").collect()}
     assert again == pytest.approx(known, abs=1e-9)
+
+
+def test_left_neighbours_are_counted_exactly_in_both_classes(spark):
+    rows = [(f"left{i} common " * 2, int(i < 500)) for i in range(5500)] + [("left1 common", 1)] * 50
+    pairs = toxicity.count_pairs(spark.createDataFrame(rows, "text string, toxic int"), "toxic", "text")
+    got = {bytes(r["x"]): (r["c_1"], r["c_0"]) for r in toxicity.continuations(pairs).collect()}
+    assert got[b"0 common"] == got[b"4 comm"] == (500, 5000) and got[b"0 left1"] == (2, 0)
