@@ -26,9 +26,14 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of rows that a task hands to its Python worker at a time, at most (a longer row goes alone).
+BATCH_BYTES = 8 << 20
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Make the session ready for operators whose tasks run this package's Python."""
     checkpoint_dir(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     ship_package(spark)
     return spark
 

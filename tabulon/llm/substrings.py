@@ -2,7 +2,7 @@
 
 The graph's edges are token k-mers.  Every window of ``WINDOW`` words is
 represented by one edge, the k-mer of least hash in it (equal windows choose
-equal edges), so 1 position in 18 becomes a row instead of every one.  The
+equal edges), so 1 position in 22 becomes a row instead of every one.  The
 consecutive windows that share an edge are a path through it, known by the
 hash of all its words; a path row holds the edge, the path and its source
 coordinates (document, text key, first word).
@@ -39,10 +39,11 @@ from pyspark.sql import types as T
 from tabulon.llm.scratch import broadcast_if, prepare, utf8_values, written
 
 WINDOW = 50
-EDGE = 16                       # words of a k-mer
+EDGE = 8                        # words of a k-mer
 PIECE = 1 << 16                 # words hashed, windows scanned or words joined at a time
 LONG_WORD = 256                 # bytes; longer words are hashed one by one
-BROADCAST_REQUESTS = 200_000    # rows, a few spans each
+BROADCAST_REQUESTS = 200_000    # documents with a few spans each, joined to the texts
+BROADCAST_PATHS = 20_000        # paths or windows, joined to rows of their own size
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD1342543DE82EF95      # odd: invertible modulo 2^64
@@ -234,15 +235,22 @@ def _digests(texts: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    """(doc, key, text): the key tells rows that share an id apart; where none do it is 0, which
+    costs next to nothing in the shuffles."""
+    ids = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc")).count()
+    key = F.xxhash64(F.col(text_col)) if ids.where(F.col("count") > 1).limit(1).count() else F.lit(0).cast("long")
+    return docs.select(F.col(id_col).alias("doc"), key.alias("key"), F.col(text_col).alias("text"))
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
                    edge: int = EDGE) -> DataFrame:
     """(doc, key, start, end, digest): runs of words, each verified to stand in a document with a
     smaller id, that together hold every window that also starts in one.  ``key`` is the text's hash."""
-    prepare(docs.sparkSession)
-    texts = _texts(docs, id_col, text_col)
+    return _spans(_texts(docs, id_col, text_col), window, edge)
+
+
+def _spans(texts: DataFrame, window: int, edge: int) -> DataFrame:
+    prepare(texts.sparkSession)
     rows = written(_path_rows(texts.where("doc IS NOT NULL AND text IS NOT NULL"), window, edge))
     source = F.min(F.struct("doc", "key", "at")).alias("first")
     known = written(rows.groupBy("path").agg(F.min("edge").alias("edge"), F.max("n").alias("n"), source,
@@ -254,8 +262,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = written(known.join(broadcast_if(branching, branching.count()), "edge", "left")
                     .where("branches OR first.doc < last").withColumn("branches", F.coalesce("branches", F.lit(False)))
                     .select("path", "n", "first", "branches"))
-    few = broadcast_if(found.select("path", "first", "branches"), found.count(), BROADCAST_REQUESTS)
-    met = written(rows.drop("edge").join(few, "path"))
+    few = broadcast_if(found.select("path", "first", "branches"), found.count(), BROADCAST_PATHS)
+    met = written(rows.drop("edge").join(few, "path").where("first.doc < doc OR branches"))
 
     # paths as a whole: every later document repeats the first source
     whole = met.where("first.doc < doc").select(
@@ -267,11 +275,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     unrolled = written(_unrolled(texts, _per_document(firsts, "path", "at", "n"), window))
     windows = unrolled.groupBy("run").agg(source, F.max("doc").alias("last")).where("first.doc < last")
     windows = written(windows.drop("last"))
-    again = unrolled.join(broadcast_if(windows, windows.count(), BROADCAST_REQUESTS), "run").where("first.doc < doc")
+    again = unrolled.select("doc", "path", "off", "run").join(
+        broadcast_if(windows, windows.count(), BROADCAST_PATHS), "run").where("first.doc < doc")
     again = written(again.select("path", "off", "first"))
     # every place of the path in the document of its first source
     owners = met.where("branches AND first.doc = doc").select("path", "doc", "key", "at")
-    single = owners.join(broadcast_if(again, again.count(), BROADCAST_REQUESTS), "path").select(
+    single = owners.join(broadcast_if(again, again.count(), BROADCAST_PATHS), "path").select(
         "doc", "key", (F.col("at") + F.col("off")).alias("start"), (F.col("at") + F.col("off") + window).alias("end"),
         F.col("first.doc").alias("s_doc"), F.col("first.key").alias("s_key"), F.col("first.at").alias("s_start"))
 
@@ -298,7 +307,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
                    edge: int = EDGE) -> DataFrame:
     """Per document: id, n_words, n_removed, kept_sha256 (kept words joined by single blanks)."""
-    spans = repeated_spans(docs, id_col, text_col, window, edge)
+    texts = _texts(docs, id_col, text_col)
+    spans = _spans(texts, window, edge)
     asked = _per_document(spans, "start", "end", "digest")
     id_type = docs.schema[id_col].dataType
 
@@ -328,4 +338,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     schema = T.StructType().add(id_col, id_type).add("n_words", "long").add("n_removed", "long") \
         .add("kept_sha256", "string")
-    return _requested(_texts(docs, id_col, text_col), asked, "left").mapInArrow(run, schema)
+    return _requested(texts, asked, "left").mapInArrow(run, schema)
