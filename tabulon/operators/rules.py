@@ -2,23 +2,31 @@
 
 A rule table has one row per rule: rule_id (its order in the rule base),
 conditions array<string> such as ``"l_tax <= 0.0350"``, prediction,
-confidence, samples.  Rule bases come from a depth-limited tree, so their
-size is bounded (at most 2^depth leaves); deduction therefore compiles the
-rules into column expressions evaluated row by row over the fact table — no
-join, no shuffle — and keeps the top-k with a sorted array per row.
+confidence, samples.  Deduction (R-03) compiles the rules into a matrix: per
+feature the sorted thresholds, and for every interval between them how many of
+each rule's conditions fail there.  A batch of facts is looked up by vectors —
+one search and one row addition per feature — so the plan is a map over the
+facts, without join or shuffle, and its cost per fact and rule is a few bytes
+added.  Large rule bases are broadcast in blocks of ``RULES_PER_PASS``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulon.functions.columns import col, is_numeric, parse_number
 
-COMPILED_RULES = 1024   # rules in one projection
+RULES_PER_PASS = 100_000   # rules broadcast together
+RULE_CHUNK = 512           # rules whose interval tables are held at a time
+FACT_CHUNK = 1024          # facts scored at a time
 
 RULE_SCHEMA = "rule_id int, conditions array<string>, prediction string, confidence double, samples long"
 
@@ -66,6 +74,166 @@ def _special(s: Column) -> Column:
     return F.when(F.lower(F.trim(s)).isin("nan", "infinity", "-infinity", "inf", "-inf"), s.try_cast("double"))
 
 
+@dataclass
+class RuleMatrix:
+    """Rules in ranking order (confidence desc, rule order) as arrays.
+
+    rule, feature, low, threshold: one entry per condition (its rule's place, its feature's number,
+    ``<=`` or ``>``, its number); uses[r, f]: conditions of rule r on feature f; total: all its
+    conditions; score[start[r] + failed]:
+    rounded score of rule r, level: the same as a rank, 0 for the best.
+    """
+    features: list[str]
+    rule: np.ndarray
+    feature: np.ndarray
+    low: np.ndarray
+    threshold: np.ndarray
+    uses: np.ndarray
+    total: np.ndarray
+    start: np.ndarray
+    score: np.ndarray
+    level: np.ndarray
+    table: pa.Table          # rule_id, prediction, confidence, samples, conditions
+
+
+def _rounded(satisfied: int, total: int) -> float:
+    """satisfied / total to 4 places as SQL rounds: half away from zero, on the shortest decimal form."""
+    return float(Decimal(repr(satisfied / total)).quantize(Decimal("0.0001"), ROUND_HALF_UP))
+
+
+def rule_matrix(rules: Sequence, features: Sequence[str]) -> RuleMatrix:
+    """Compiles rules (rows with rule_id, conditions, ...) over the known ``features``."""
+    def rank(r):   # as a descending sort ranks doubles: not-a-number first, null last
+        c = r["confidence"]
+        return (2, 0.0, r["rule_id"]) if c is None else (0, 0.0, r["rule_id"]) if c != c else (1, -c, r["rule_id"])
+
+    ordered = sorted((r for r in rules if r["conditions"]), key=rank)
+    number = {f: i for i, f in enumerate(features)}
+    found = [(k, *_parse_text(c)) for k, r in enumerate(ordered) for c in r["conditions"]]
+    known = [(k, number[f], op == "<=", np.inf if t != t else t) for k, f, op, t in found if f in number]
+    rule, feature, low, threshold = zip(*known, strict=True) if known else ((), (), (), ())
+    total = np.array([len(r["conditions"]) for r in ordered], dtype=np.int64)
+    # one run of scores per number of conditions
+    runs, score = {}, []
+    for t in sorted(set(total.tolist())):
+        runs[t] = len(score)
+        score += [_rounded(t - failed, t) for failed in range(t + 1)]
+    score = np.array(score)
+    level = np.searchsorted(np.unique(-score), -score)
+    rule, feature = np.array(rule, np.int64), np.array(feature, np.int64)
+    uses = np.zeros((len(ordered), len(features)), dtype=np.int32)
+    np.add.at(uses, (rule, feature), 1)
+    return RuleMatrix(
+        list(features), rule, feature, np.array(low, bool), np.array(threshold, np.float64), uses, total, np.array([runs[t] for t in total.tolist()], np.int64), score,
+        level.astype(np.int32),
+        pa.table({"rule_id": pa.array([r["rule_id"] for r in ordered], pa.int32()),
+                  "prediction": pa.array([r["prediction"] for r in ordered], pa.string()),
+                  "confidence": pa.array([r["confidence"] for r in ordered], pa.float64()),
+                  "samples": pa.array([r["samples"] for r in ordered], pa.int64()),
+                  "conditions": pa.array([" AND ".join(r["conditions"]) for r in ordered], pa.string())}))
+
+
+def _interval_tables(m: RuleMatrix, a: int, b: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Per feature used by rules [a, b): its number, sorted thresholds, and the failed conditions of
+    every rule by interval; the last two rows are for unknown values and for not-a-number."""
+    mine = slice(*np.searchsorted(m.rule, [a, b]))
+    rule, feature, low, threshold = m.rule[mine] - a, m.feature[mine], m.low[mine], m.threshold[mine]
+    for f in np.unique(feature):
+        at = feature == f
+        cuts, place = np.unique(threshold[at], return_inverse=True)
+        r, up, n = rule[at], low[at], len(cuts)
+        steps = np.zeros((n + 3, b - a), dtype=np.int32)
+        # a value in interval i lies above i thresholds: <= fails from its own place + 1 on, > up to its place
+        np.add.at(steps, (np.where(up, place + 1, 0), r), 1)
+        np.add.at(steps, (np.where(up, n + 1, place + 1), r), -1)
+        failed = np.cumsum(steps, axis=0)
+        failed[n + 1] = 0                                                   # unknown: counts as satisfied
+        failed[n + 2] = np.bincount(r, minlength=b - a)                     # not-a-number: satisfies nothing
+        yield int(f), cuts, failed
+
+
+def best_rules(m: RuleMatrix, values: np.ndarray, known: np.ndarray, top_k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the ``top_k`` rules of every fact, best first (-1: none left), and their failed conditions.
+
+    values [facts, features] with not-a-number as such, known: whether a value is there."""
+    n, n_rules = len(values), len(m.total)
+    none = np.iinfo(np.int64).max
+    best = np.full((n, top_k), none, dtype=np.int64)    # level * rules + place: smaller is better
+    failed_of = np.zeros((n, top_k), dtype=np.int64)
+    kind = np.uint16 if len(m.score) < 1 << 16 else np.int64
+    level_kind = np.uint16 if m.level.max(initial=0) < 65535 else np.int32
+    taken = np.iinfo(level_kind).max
+    levels = m.level.astype(level_kind)
+    for a in range(0, n_rules, RULE_CHUNK):
+        # facts whose places are all filled by rules of full score cannot improve: later rules rank lower
+        todo = np.flatnonzero(best[:, -1] >= n_rules)
+        if not len(todo):
+            break
+        b = min(a + RULE_CHUNK, n_rules)
+        tables = []
+        for f, cuts, failed in _interval_tables(m, a, b):
+            v = values[todo, f]
+            row = np.searchsorted(cuts, v, side="left")
+            row[np.isnan(v)] = len(cuts) + 2
+            row[~known[todo, f]] = len(cuts) + 1
+            tables.append((row, failed.astype(kind)))
+        start = m.start[a:b].astype(kind)
+        for c in range(0, len(todo), FACT_CHUNK):
+            part = slice(c, c + FACT_CHUNK)
+            rows = todo[part]
+            at = np.repeat(start[None, :], len(rows), axis=0)
+            for row, failed in tables:
+                at += failed[row[part]]
+            level = levels[at]
+            every = np.arange(len(rows))
+            keys, fails = [best[rows]], [failed_of[rows]]
+            for _ in range(min(top_k, b - a)):   # the first of equal levels ranks highest
+                j = level.argmin(axis=1)
+                keys.append((level[every, j].astype(np.int64) * n_rules + a + j)[:, None])
+                fails.append((at[every, j].astype(np.int64) - m.start[a + j])[:, None])
+                level[every, j] = taken
+            key, fail = np.concatenate(keys, axis=1), np.concatenate(fails, axis=1)
+            order = np.argsort(key, axis=1, kind="stable")[:, :top_k]
+            best[rows] = np.take_along_axis(key, order, axis=1)
+            failed_of[rows] = np.take_along_axis(fail, order, axis=1)
+    return np.where(best == none, -1, best % max(n_rules, 1)), failed_of
+
+
+_FOUND_TYPE = ("match_score: double, confidence: double, neg_rule_id: int, rule_id: int, prediction: string,"
+               " known_conditions: int, samples: bigint, conditions: string")
+
+
+def _found(m: RuleMatrix, values: np.ndarray, known: np.ndarray, top_k: int) -> pa.ListArray:
+    """The best rules of every fact as an array of structs (see ``_FOUND_TYPE``)."""
+    place, failed = best_rules(m, values, known, top_k)
+    there = place >= 0
+    at = place[there]
+    fact = np.repeat(np.arange(len(place)), there.sum(axis=1))
+    n_known = (m.uses[at] * known[fact]).sum(axis=1)
+    chosen = m.table.take(pa.array(at)).combine_chunks()
+    ids = chosen["rule_id"].combine_chunks()
+    made = pa.StructArray.from_arrays(
+        [pa.array(m.score[m.start[at] + failed[there]]), chosen["confidence"].combine_chunks(),
+         pa.array(-ids.to_numpy(zero_copy_only=False)), ids, chosen["prediction"].combine_chunks(),
+         pa.array(n_known.astype(np.int32)), chosen["samples"].combine_chunks(),
+         chosen["conditions"].combine_chunks()],
+        names=[part.split(":")[0].strip() for part in _FOUND_TYPE.split(",")])
+    offsets = np.concatenate(([0], np.cumsum(there.sum(axis=1)))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), made)
+
+
+def _blocks(rules: DataFrame, size: int) -> Iterator[list]:
+    """Rules in rule order, streamed to the driver in blocks."""
+    block = []
+    for r in rules.orderBy("rule_id").toLocalIterator():
+        block.append(r)
+        if len(block) == size:
+            yield block
+            block = []
+    if block:
+        yield block
+
+
 def deduce(facts: DataFrame, rules: DataFrame, keys: Sequence[str], top_k: int = 3) -> DataFrame:
     """R-03: score every rule against every fact row and keep the best ``top_k``.
 
@@ -75,63 +243,59 @@ def deduce(facts: DataFrame, rules: DataFrame, keys: Sequence[str], top_k: int =
     Output: keys..., rank, rule_id, prediction, confidence, match_score,
     known_conditions, samples, conditions (joined by AND).
     """
-    fact_cols = set(facts.columns)
     numeric = {f.name for f in facts.schema.fields if is_numeric(f.dataType)}
 
     def value(feat):  # numbers cast directly; text goes through the tolerant parse
         text = col(feat).cast("string")
         return col(feat).cast("double") if feat in numeric else F.coalesce(parse_number(text), _special(text))
 
-    def compiled(r):
-        conds = list(r["conditions"] or [])
-        sat, known = [], []
-        for cond in conds:
-            feat, op, thr = _parse_text(cond)
-            if feat in fact_cols:
-                v = value(feat)
-                test = ((v <= F.lit(thr)) if op == "<=" else (v > F.lit(thr))) & ~F.isnan(v)
-                sat.append(F.coalesce(test, F.lit(True)).cast("int"))
-                known.append(v.isNotNull().cast("int"))
-            else:
-                sat.append(F.lit(1))
-                known.append(F.lit(0))
-        return F.struct(
-            F.round(sum(sat[1:], sat[0]) / F.lit(float(len(conds))), 4).alias("match_score"),
-            F.lit(r["confidence"]).cast("double").alias("confidence"),
-            F.lit(-int(r["rule_id"])).alias("neg_rule_id"),
-            F.lit(int(r["rule_id"])).alias("rule_id"),
-            F.lit(r["prediction"]).alias("prediction"),
-            sum(known[1:], known[0]).alias("known_conditions"),
-            F.lit(r["samples"]).cast("long").alias("samples"),
-            F.lit(" AND ".join(conds)).alias("conditions"),
-        )
-
-    # the rules are compiled in chunks; a row keeps the best so far, so any number of rules is projections only
-    best, chunk = None, []
-    rows = facts
-
-    def keep(rows, best, chunk):
-        found = F.array(*chunk) if best is None else F.concat(F.col("_best"), F.array(*chunk))
-        return rows.withColumn("_best", F.slice(F.sort_array(found, asc=False), 1, top_k))
-
-    for r in rules.orderBy("rule_id").toLocalIterator():
-        if r["conditions"]:
-            chunk.append(compiled(r))
-        if len(chunk) == COMPILED_RULES:
-            rows, best, chunk = keep(rows, best, chunk), True, []
-    if chunk:
-        rows, best = keep(rows, best, chunk), True
-    if best is None:
+    blocks = (b for b in _blocks(rules, RULES_PER_PASS) if any(r["conditions"] for r in b))
+    rows, block = facts, next(blocks, None)
+    if block is None:
         return facts.sparkSession.createDataFrame(
             [], ", ".join(f"{k} {facts.schema[k].dataType.simpleString()}" for k in keys)
             + ", rank int, rule_id int, prediction string, confidence double, match_score double,"
               " known_conditions int, samples long, conditions string")
+    own = "_rules"          # a prefix that no column of the facts has
+    while any(c.startswith(own) for c in facts.columns):
+        own = "_" + own
+    while block is not None:
+        later = next(blocks, None)
+        used = {_parse_text(c)[0] for r in block for c in r["conditions"] or ()}
+        features = [f for f in facts.columns if f in used]
+        values = F.array(*[value(f) for f in features]).cast("array<double>")
+        # a later block needs the whole fact again; the best so far come along and are merged in the row
+        carried = [col(c) for c in (keys if later is None else facts.columns)]
+        before = [F.col(f"{own}_best")] if rows is not facts else []
+        found = _scored(rows.select(*carried, *before, values.alias(f"{own}_values")), f"{own}_new",
+                        facts.sparkSession.sparkContext.broadcast(rule_matrix(block, features)), top_k)
+        new = F.col(f"{own}_new")
+        best = F.slice(F.sort_array(F.concat(*before, new), asc=False), 1, top_k) if before else new
+        rows, block = found.select(*carried, best.alias(f"{own}_best")), later
     # struct ordering is field by field: score, confidence, then rule order (via -rule_id)
-    out = rows.select(*[col(k) for k in keys], F.posexplode_outer("_best").alias("_pos", "_r"))
+    out = rows.select(*[col(k) for k in keys], F.posexplode_outer(f"{own}_best").alias("_pos", "_r"))
     return out.select(*keys, (F.col("_pos") + 1).alias("rank"), "_r.rule_id", "_r.prediction", "_r.confidence",
                       "_r.match_score", "_r.known_conditions", "_r.samples", "_r.conditions")
 
 
+def _scored(rows: DataFrame, out: str, matrix, top_k: int) -> DataFrame:
+    """``rows`` with the block's best rules as ``out`` in place of the last column, the feature values."""
+    kept = rows.columns[:-1]
+
+    def run(batches):
+        m = matrix.value
+        for batch in batches:
+            flat = batch.column(len(kept)).flatten()
+            shape = (batch.num_rows, len(m.features))
+            values = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(shape)
+            known = flat.is_valid().to_numpy(zero_copy_only=False).reshape(shape)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _found(m, values, known, top_k)],
+                                             names=[*kept, out])
+
+    schema = rows.select(*[F.col(f"`{c}`") for c in kept]).schema
+    return rows.mapInArrow(run, schema.add(out, T._parse_datatype_string(f"array<struct<{_FOUND_TYPE}>>")))
+
+
 def abduce(rules: DataFrame, importances: DataFrame, outcome: str, top_k: int = 5,
            min_importance: float = 0.0) -> DataFrame:
     """R-04: causes of ``outcome`` -> (rank, feature, importance, importance_std,

@@ -50,7 +50,7 @@ def test_deduction_in_chunks_equals_one_projection(spark, monkeypatch):
     base = spark.createDataFrame([(i, [f"x > {i % 7}.5", f"x <= {i % 5}.0"], "ab"[i % 2], i / 40, i) for i in range(30)],
                                  rules.RULE_SCHEMA)
     once = sorted(map(tuple, rules.deduce(facts, base, ["k"]).collect()))
-    monkeypatch.setattr(rules, "COMPILED_RULES", 4)
+    monkeypatch.setattr(rules, "RULES_PER_PASS", 4)
     assert sorted(map(tuple, rules.deduce(facts, base, ["k"]).collect())) == once
 
 

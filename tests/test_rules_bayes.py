@@ -1,6 +1,9 @@
 """Rule reasoning and Bayesian abduction on small hand-computed tables."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from tabulon.operators import bayes, rules as rl
 from tabulon.operators.target import equal_width_edges
@@ -70,3 +73,47 @@ def test_bayes_fit_smoothing_and_explain(spark):
     assert len(ex) == 1 and ex[0]["feature"] == "f"
     with pytest.raises(ValueError):
         bayes.explain(bayes.fit(df, "cls", ["f"]), "nope")
+
+
+def test_large_rule_base_against_brute_force(spark, monkeypatch):
+    """Thousands of rules, several per score and confidence, over missing, odd and tied values."""
+    rng = random.Random(8)
+    odd = [None, float("nan"), float("inf"), -float("inf"), 0.0, -0.0, 3.0]
+    facts = [(i, rng.choice(odd) if rng.random() < 0.3 else rng.randrange(12) / 2,
+              rng.choice([None, "4", " 2.5 ", "x", "nan", "7"]), rng.randrange(9)) for i in range(120)]
+    base = []
+    for _ in range(1500):
+        conds = [f"{rng.choice(['a', 'b', 'c', 'absent'])} {rng.choice(['<=', '>'])} {rng.randrange(14) / 2}"
+                 for _ in range(rng.choice([0, 1, 2, 3, 7]))]
+        base.append({"conditions": conds, "prediction": f"p{rng.randrange(3)}", "confidence": rng.randrange(20) / 20,
+                     "samples": rng.randrange(99)})
+
+    def holds(cond, fact):
+        name, op, number = cond.split()
+        v = {"a": fact[1], "c": fact[3]}.get(name)
+        if name == "b" and fact[2] not in (None, "x"):
+            v = float(fact[2])
+        if name == "absent" or v is None:
+            return True, False
+        return (v <= float(number) if op == "<=" else v > float(number)), True
+
+    want = []
+    for f in facts:
+        scored = []
+        for k, r in enumerate(base):
+            if r["conditions"]:
+                got = [holds(c, f) for c in r["conditions"]]
+                score = round(sum(g for g, _ in got) / len(got) + 1e-12, 4)
+                scored.append((-score, -r["confidence"], k, sum(k for _, k in got)))
+        want += [(f[0], n, k, -s, -c, known) for n, (s, c, k, known) in enumerate(sorted(scored)[:5], 1)]
+    df = spark.createDataFrame(facts, "id int, a double, b string, c int").withColumn("_best", F.lit("clash"))
+    rules = rl.rules_frame(spark, base)
+
+    def run():
+        out = rl.deduce(df, rules, ["id"], top_k=5)
+        return sorted((r["id"], r["rank"], r["rule_id"], r["match_score"], r["confidence"], r["known_conditions"])
+                      for r in out.collect())
+
+    assert run() == sorted(want)
+    monkeypatch.setattr(rl, "RULES_PER_PASS", 400)      # several broadcasts
+    assert run() == sorted(want)
