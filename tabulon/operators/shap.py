@@ -1,15 +1,20 @@
 """M-06: global SHAP ranking of a random forest (exact path-dependent TreeSHAP).
 
-Layout on Spark: the forest's node table (read back from the saved model)
-is grouped into one row per tree; ``mapInPandas`` runs TreeSHAP for a group
-of trees per task against the explained rows, which are a capped hash
-sample (P-06, at most ``max_rows``) broadcast to the tasks.  Per-tree
-attributions are summed by a ``groupBy``; the forest's attribution is their
-mean (the forest predicts the mean of the trees' class distributions).
-
-Importance per feature = mean |SHAP| over rows and classes.  The algorithm
-is Algorithm 2 of Lundberg, Erion & Lee (2018), "Consistent individualized
-feature attribution for tree ensembles", vectorised over the rows.
+Layout on Spark: the forest's node table (read back from the saved model) is
+turned into leaf boxes and broadcast, as Spark ML broadcasts the model itself
+to predict; every task explains its own rows with all trees and hands on one
+partial sum per feature, so any number of rows is one pass without a shuffle of
+rows.
+
+A leaf's attributions depend on a row only through which features lie inside
+the leaf's box, so they are tabulated per leaf and pattern of features, and a
+row is one lookup per leaf.  With more than ``TABLE_FEATURES`` features the
+tables would be too wide; then the trees are walked as in Algorithm 2 of
+Lundberg, Erion & Lee (2018), "Consistent individualized feature attribution
+for tree ensembles", vectorised over the rows.
+
+Importance per feature = mean |SHAP| over rows and classes; a forest predicts
+the mean of its trees' class distributions, and so attributes.
 """
 
 from __future__ import annotations
@@ -17,9 +22,12 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from math import factorial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +36,11 @@ from tabulon.functions.columns import col
 from tabulon.operators.sample import capped_sample
 from tabulon.session import checkpoint_dir
 
+TABLE_FEATURES = 8       # 2^8 patterns per leaf
+ROWS = 1 << 16           # rows explained together, a few numbers each
+LOOKUP_ROWS = 1024       # rows looked up at a time
+WALK_ROWS = 4096         # rows walked together when there are more features
+
 
 def forest_nodes(model: PipelineModel) -> DataFrame:
     """(treeID, id, left, right, feature, threshold, stats) of every node."""
@@ -128,44 +141,169 @@ def _tree_arrays(nodes: pd.DataFrame):
             nodes["threshold"].fillna(0.0).to_numpy(), value, cover)
 
 
+@dataclass
+class Leaves:
+    """Leaves of one tree as boxes: cuts[f] are the thresholds of feature f; leaf k holds the values
+    above cut low[k, f] (-1: unbounded) up to cut high[k, f] (number of cuts: unbounded).
+
+    share[k, f]: part of the training rows that the path's splits on f let through; value[k]: class shares."""
+    cuts: list[np.ndarray]
+    low: np.ndarray
+    high: np.ndarray
+    share: np.ndarray
+    value: np.ndarray
+
+
+def leaf_boxes(left, right, feature, threshold, value, cover, n_features: int) -> Leaves:
+    """The boxes of a tree's leaves, by one walk over its nodes."""
+    inner = left >= 0
+    cuts = [np.unique(threshold[inner & (feature == f)]) for f in range(n_features)]
+    rows = []
+    stack = [(0, [-1] * n_features, [len(c) for c in cuts], [1.0] * n_features)]
+    while stack:
+        node, low, high, share = stack.pop()
+        if left[node] < 0:
+            rows.append((low, high, share, value[node]))
+            continue
+        f = feature[node]
+        cut = int(np.searchsorted(cuts[f], threshold[node]))
+        for child, is_left in ((left[node], True), (right[node], False)):
+            lo, hi, sh = low.copy(), high.copy(), share.copy()
+            if is_left:
+                hi[f] = min(hi[f], cut)
+            else:
+                lo[f] = max(lo[f], cut)
+            sh[f] *= cover[child] / cover[node]
+            stack.append((int(child), lo, hi, sh))
+    low, high, share, leaf_value = (np.array(c) for c in zip(*rows, strict=True))
+    return Leaves(cuts, low, high, share, leaf_value)
+
+
+def pattern_weights(share: np.ndarray) -> np.ndarray:
+    """[feature, leaf, pattern]: the Shapley weight of a feature when the features of the pattern's
+    bits lie inside the leaf's box.  A feature the path does not use has share 1 and weight 0."""
+    n_leaves, n = share.shape
+    inside = (np.arange(1 << n)[None, :] >> np.arange(n)[:, None]) & 1          # [feature, pattern]
+    size = np.array([factorial(s) * factorial(n - s - 1) / factorial(n) for s in range(n)])
+    out = np.empty((n, n_leaves, 1 << n))
+    for i in range(n):
+        # coefficients by coalition size of prod(share_j + inside_j * t) over the other features
+        poly = np.zeros((n, n_leaves, 1 << n))
+        poly[0] = 1.0
+        for j in (j for j in range(n) if j != i):
+            poly[1:] = poly[1:] * share[None, :, j, None] + poly[:-1] * inside[j][None, None, :]
+            poly[0] *= share[:, j, None]
+        out[i] = (inside[i][None, :] - share[:, i, None]) * np.tensordot(size, poly, axes=1)
+    return out
+
+
+def box_shap(x: np.ndarray, leaves: Leaves) -> np.ndarray:
+    """SHAP values (rows, features, outputs) of one tree for the rows ``x`` by lookup."""
+    n_leaves, n = leaves.share.shape
+    weight = pattern_weights(leaves.share)
+    tables, places = [], []
+    for f in range(n):
+        if len(leaves.cuts[f]):
+            at = np.arange(len(leaves.cuts[f]) + 1)[:, None]
+            holds = (at > leaves.low[None, :, f]) & (at <= leaves.high[None, :, f])
+            tables.append(holds.astype(np.int32) << f)
+            # a missing value goes right at every split, as one beyond all cuts does
+            places.append(np.searchsorted(leaves.cuts[f], np.where(np.isnan(x[:, f]), np.inf, x[:, f]), side="left"))
+    always = sum(1 << f for f in range(n) if not len(leaves.cuts[f]))
+    base = (np.arange(n_leaves, dtype=np.int32) << n) + always
+    phi = np.zeros((len(x), n, leaves.value.shape[1]))
+    for a in range(0, len(x), LOOKUP_ROWS):
+        rows = slice(a, a + LOOKUP_ROWS)
+        at = np.repeat(base[None, :], len(x[rows]), axis=0)
+        for table, place in zip(tables, places, strict=True):
+            at += table[place[rows]]
+        for f in range(n):
+            if len(leaves.cuts[f]):
+                phi[rows, f] = weight[f].ravel().take(at) @ leaves.value
+    return phi
+
+
+class Forest:
+    """The trees of a forest, ready to explain rows in a task."""
+
+    def __init__(self, nodes: pd.DataFrame, n_features: int):
+        self.n_features = n_features
+        trees = [_tree_arrays(tree) for _, tree in nodes.groupby("treeID", sort=True)]
+        self.tables = n_features <= TABLE_FEATURES
+        self.trees = [leaf_boxes(*t, n_features) for t in trees] if self.tables else trees
+        self.n_classes = trees[0][4].shape[1]
+
+    def explain(self, x: np.ndarray) -> np.ndarray:
+        phi = np.zeros((len(x), self.n_features, self.n_classes))
+        for tree in self.trees:
+            if self.tables:
+                phi += box_shap(x, tree)
+            else:
+                for a in range(0, len(x), WALK_ROWS):
+                    phi[a:a + WALK_ROWS] += tree_shap(x[a:a + WALK_ROWS], *tree, n_features=self.n_features)
+        return phi / len(self.trees)
+
+
+def _forest(model: PipelineModel, n_features: int) -> Forest:
+    """The forest's arrays on the driver, where Spark ML holds the model too."""
+    return Forest(forest_nodes(model).toPandas(), n_features)
+
+
+def _chunks(batches) -> Iterator[pa.Table]:
+    """Record batches joined to tables of about ``ROWS`` rows."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= ROWS:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def _matrix(chunk: pa.Table, first: int) -> np.ndarray:
+    columns = [c.to_numpy().astype(np.float64) for c in chunk.columns[first:]]
+    return np.stack(columns, axis=1) if columns else np.zeros((chunk.num_rows, 0))
+
+
 def shap_values(model: PipelineModel, rows: DataFrame, features: Sequence[str], row_key: str) -> DataFrame:
     """Forest SHAP per (row, feature, class) -> (row_key, feature, class_index, shap)."""
-    spark = rows.sparkSession
-    local = rows.select(col(row_key).alias("_k"), *[col(f).cast("double").alias(f) for f in features]).toPandas()
-    keys = local["_k"].to_numpy()
-    bx = spark.sparkContext.broadcast(local[list(features)].to_numpy())  # at most max_rows x n_features
-    n_feat = len(features)
-    nodes = forest_nodes(model)
-    n_trees = nodes.select("treeID").distinct().count()
-    trees = nodes.groupBy("treeID").agg(F.collect_list(F.struct("id", "left", "right", "feature", "threshold",
-                                                                 "stats")).alias("nodes"))
-    trees = trees.repartition(min(max(n_trees, 1), int(spark.conf.get("spark.sql.shuffle.partitions"))), "treeID")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x = bx.value
-        for batch in batches:
-            for _, tree in batch.iterrows():
-                nd = pd.DataFrame(list(tree["nodes"]), columns=["id", "left", "right", "feature", "threshold", "stats"])
-                phi = tree_shap(x, *_tree_arrays(nd), n_features=n_feat)
-                r, f, c = np.indices(phi.shape)
-                yield pd.DataFrame({"row": r.ravel(), "feature_index": f.ravel(), "class_index": c.ravel(),
-                                    "shap": phi.ravel()})
-
-    per_tree = trees.mapInPandas(run, "row long, feature_index long, class_index long, shap double")
-    summed = per_tree.groupBy("row", "feature_index", "class_index").agg((F.sum("shap") / n_trees).alias("shap"))
-    key_map = F.create_map(*[v for i, k in enumerate(keys.tolist()) for v in (F.lit(i), F.lit(k))])
+    shared = rows.sparkSession.sparkContext.broadcast(_forest(model, len(features)))
+    data = rows.select(col(row_key), *[col(f).cast("double").alias(f"_f{i}") for i, f in enumerate(features)])
+
+    def run(batches):
+        for chunk in _chunks(batches):
+            phi = shared.value.explain(_matrix(chunk, 1))
+            r, f, c = (i.ravel() for i in np.indices(phi.shape))
+            yield pa.RecordBatch.from_arrays(
+                [chunk.column(0).combine_chunks().take(pa.array(r)), pa.array(list(features)).take(pa.array(f)),
+                 pa.array(c.astype(np.int32)), pa.array(phi.ravel())], names=[row_key, "feature", "class_index", "shap"])
+
+    schema = data.select(col(row_key)).schema.add("feature", "string").add("class_index", "integer").add("shap", "double")
+    return data.mapInArrow(run, schema)
+
+
+def shap_importance(model: PipelineModel, data: DataFrame, features: Sequence[str], keys: Sequence[str] = (),
+                    max_rows: int | None = None) -> DataFrame:
+    """M-06: mean |SHAP| per feature over all rows of ``data`` -> (feature, shap, position).
+
+    With ``max_rows``, over a hash sample of so many rows by ``keys``."""
+    rows = data if max_rows is None else capped_sample(data, keys, max_rows)
+    shared = rows.sparkSession.sparkContext.broadcast(_forest(model, len(features)))
+
+    def run(batches):
+        total, n = np.zeros(len(features)), 0
+        for chunk in _chunks(batches):
+            total += np.abs(shared.value.explain(_matrix(chunk, 0))).mean(axis=2).sum(axis=0)
+            n += chunk.num_rows
+        if n:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(len(features), dtype=np.int32)), pa.array(total), pa.array(np.full(len(features), n))],
+                names=["position", "total", "n"])
+
+    parts = rows.select(*[col(f).cast("double").alias(f"_f{i}") for i, f in enumerate(features)]) \
+        .mapInArrow(run, "position int, total double, n long")
     names = F.array(*[F.lit(f) for f in features])
-    return summed.select(F.element_at(key_map, F.col("row")).alias(row_key),
-                         F.element_at(names, F.col("feature_index").cast("int") + 1).alias("feature"),
-                         F.col("class_index").cast("int").alias("class_index"), "shap")
-
-
-def shap_importance(model: PipelineModel, data: DataFrame, features: Sequence[str], keys: Sequence[str],
-                    max_rows: int = 300) -> DataFrame:
-    """M-06: mean |SHAP| per feature over a capped hash sample of ``data``."""
-    sample = capped_sample(data, keys, max_rows).withColumn("_rowkey", F.concat_ws("|", *[col(k).cast("string")
-                                                                                         for k in keys]))
-    sv = shap_values(model, sample, features, "_rowkey")
-    pos = F.create_map(*[x for i, f in enumerate(features) for x in (F.lit(f), F.lit(i))])
-    return sv.groupBy("feature").agg(F.avg(F.abs("shap")).alias("shap")) \
-        .withColumn("position", F.element_at(pos, F.col("feature")))
+    return parts.groupBy("position").agg((F.sum("total") / F.sum("n")).alias("shap")) \
+        .select(F.element_at(names, F.col("position") + 1).alias("feature"), "shap", "position")

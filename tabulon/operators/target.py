@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulon.functions.columns import col, is_numeric, is_string
-from tabulon.functions.ordering import dense_codes, distinct_per_column, exact_quantiles, is_small, long_values
+from tabulon.functions.ordering import dense_codes, exact_quantiles, is_small, long_values
 from tabulon.operators.clean import tier_expr
 
 # Target names recognised by detect_target (case-insensitive), in order.
@@ -20,6 +22,36 @@ TIER_BASE_NAMES = ["net_sales", "sales", "revenue", "amount", "profit", "total"]
 STRATIFY_NAMES = ["sales_category", "target", "label", "class", "outcome", "status", "category", "churn", "result"]
 
 
+def few_distinct(df: DataFrame, columns: Sequence[str], limit: int) -> dict[str, int]:
+    """Distinct non-null values per column, exact up to ``limit`` and ``limit + 1`` for more.
+
+    A task keeps at most ``limit + 1`` values of a column and stops looking at it there, so
+    neither cells nor values travel: what is shuffled is bounded by tasks x columns x limit."""
+    columns = list(columns)
+    if not columns:
+        return {}
+
+    def text(c):   # one zero, whichever its sign
+        kind = df.schema[c].dataType.typeName()
+        return (col(c) + F.lit(0.0) if kind in ("double", "float") else col(c)).cast("string")
+
+    def run(batches):
+        seen = [set() for _ in columns]
+        for batch in batches:
+            for values, cells in zip(seen, batch.columns, strict=True):
+                if len(values) <= limit:
+                    values.update(v for v in pc.unique(cells).to_pylist() if v is not None)
+        at = [(i, v) for i, values in enumerate(seen) for v in sorted(values)[:limit + 1]]
+        if at:
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in at], pa.int32()),
+                                              pa.array([v for _, v in at], pa.string())], names=["i", "v"])
+
+    found = df.select(*[text(c).alias(f"_{i}") for i, c in enumerate(columns)]).mapInArrow(run, "i int, v string") \
+        .distinct().groupBy("i").count()
+    counts = {r["i"]: r["count"] for r in found.collect()}
+    return {c: min(counts.get(i, 0), limit + 1) for i, c in enumerate(columns)}
+
+
 def detect_target(df: DataFrame, requested: str | None = None) -> DataFrame:
     """T-01: pick the target column -> one row (target, reason).
 
@@ -47,9 +79,9 @@ def detect_target(df: DataFrame, requested: str | None = None) -> DataFrame:
     if nums:
         return one(f"{nums[0]}_tier", "first_numeric")
     limit = min(20, max(2, df.count() // 3))
-    known = {r["column_name"]: r["n_distinct"] for r in distinct_per_column(df, df.columns).collect()}
+    known = few_distinct(df, df.columns, limit)
     for c in df.columns:
-        if known.get(c, 0) <= limit:
+        if known[c] <= limit:
             return one(c, "low_cardinality")
     return one("analyst_cluster", "fallback")
 
@@ -133,8 +165,8 @@ def target_usable(df: DataFrame, target: str) -> DataFrame:
 def guess_stratify_column(df: DataFrame) -> DataFrame:
     """T-07: known target name with >= 2 distinct values, else the text column
     with the fewest distinct values among those with 2..20 (first on ties)."""
-    known = {r["column_name"]: r["n_distinct"] for r in distinct_per_column(df, df.columns).collect()}
-    nd = {c: known.get(c, 0) for c in df.columns}
+    asked = [f.name for f in df.schema.fields if f.name in STRATIFY_NAMES or is_string(f.dataType)]
+    nd = few_distinct(df, asked, 20)
     pick = next((c for c in STRATIFY_NAMES if c in df.columns and nd[c] >= 2), None)
     reason = "known_name"
     if pick is None:
@@ -142,6 +174,8 @@ def guess_stratify_column(df: DataFrame) -> DataFrame:
                  if is_string(f.dataType) and 2 <= nd[f.name] <= 20]
         pick = min(cands)[2] if cands else None
         reason = "lowest_cardinality" if pick else "none"
+    elif nd[pick] > 20:   # a known name may have any number of values
+        nd[pick] = df.agg(F.countDistinct(col(pick))).first()[0]
     return df.sparkSession.createDataFrame([(pick, reason, nd.get(pick) if pick else None)],
                                            "column_name string, reason string, n_distinct long")
 

@@ -85,7 +85,7 @@ def m06_shap_importance(spark, sf_dir):
     from tabulon.operators.shap import shap_importance
     s = state(spark, sf_dir)
     train = s.data.where(F.col("split") == "train")
-    return shap_importance(s.forest, train, s.features, KEYS, max_rows=300)
+    return shap_importance(s.forest, train, s.features)
 
 
 QUERIES["m06_shap_importance"] = m06_shap_importance

@@ -31,6 +31,38 @@ QUERIES["t01_detect_known_name"] = t01_detect_known_name
 SQL["t01_detect_known_name"] = "SELECT 'Status' AS target, 'known_name' AS reason"
 
 
+def t01_detect_by_values(spark, sf_dir):
+    """Text columns only: no name or type decides, the values have to be counted."""
+    return tg.detect_target(t(spark, sf_dir, "documents").select("text", "source", "lang"))
+
+
+QUERIES["t01_detect_by_values"] = t01_detect_by_values
+SQL["t01_detect_by_values"] = """
+WITH c AS (SELECT count(DISTINCT text) AS a, count(DISTINCT source) AS b, count(DISTINCT lang) AS c,
+                  least(20, greatest(2, count(*) // 3)) AS k FROM documents)
+SELECT CASE WHEN a <= k THEN 'text' WHEN b <= k THEN 'source' WHEN c <= k THEN 'lang'
+            ELSE 'analyst_cluster' END AS target,
+       CASE WHEN least(a, b, c) <= k THEN 'low_cardinality' ELSE 'fallback' END AS reason
+FROM c"""
+
+
+def t01_detect_order_texts(spark, sf_dir):
+    o = t(spark, sf_dir, "orders")
+    return tg.detect_target(o.select(F.col("o_orderkey").cast("string").alias("order_no"),
+                                     F.concat("o_orderpriority", F.lit("/"), "o_orderstatus").alias("handling"),
+                                     F.col("o_orderpriority").alias("priority")))
+
+
+QUERIES["t01_detect_order_texts"] = t01_detect_order_texts
+SQL["t01_detect_order_texts"] = """
+WITH c AS (SELECT count(DISTINCT o_orderkey) AS a, count(DISTINCT o_orderpriority || '/' || o_orderstatus) AS b,
+                  count(DISTINCT o_orderpriority) AS c, least(20, greatest(2, count(*) // 3)) AS k FROM orders)
+SELECT CASE WHEN a <= k THEN 'order_no' WHEN b <= k THEN 'handling' WHEN c <= k THEN 'priority'
+            ELSE 'analyst_cluster' END AS target,
+       CASE WHEN least(a, b, c) <= k THEN 'low_cardinality' ELSE 'fallback' END AS reason
+FROM c"""
+
+
 def _tier_counts(df, col_name):
     return df.groupBy(col_name).agg(F.count(F.lit(1)).alias("n"))
 

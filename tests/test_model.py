@@ -80,6 +80,46 @@ def test_tree_shap_additivity(spark):
             assert abs(total - r["probability"][c]) < 1e-9
 
 
+def test_shap_tables_equal_the_walk(spark):
+    """Leaf tables against Algorithm 2, with missing and infinite values and unused features."""
+    import numpy as np
+
+    from tabulon.operators import shap as sh
+
+    data = _data(spark)
+    forest = md.train_forest(data, "tier", FEATS, n_trees=4, max_depth=7)
+    nodes = sh.forest_nodes(forest).toPandas()
+    x = np.array([[r[f] for f in FEATS] for r in data.limit(300).collect()], dtype=float)
+    x[5, 0], x[6, 1], x[7, 1], x[8, 2] = np.nan, np.inf, -np.inf, np.nan
+    for _, g in nodes.groupby("treeID"):
+        tree = sh._tree_arrays(g)
+        walked = sh.tree_shap(x, *tree, n_features=4)
+        assert np.allclose(sh.box_shap(x, sh.leaf_boxes(*tree, 4)), walked, atol=1e-12)
+        wide = sh.box_shap(np.pad(x, ((0, 0), (0, 2))), sh.leaf_boxes(*tree, 6))
+        assert np.allclose(wide[:, :4], walked, atol=1e-12) and not wide[:, 4:].any()
+
+
+def test_shap_importance_over_all_rows(spark, monkeypatch):
+    from tabulon.operators import shap as sh
+
+    data = _data(spark).withColumn("rk", F.monotonically_increasing_id())
+    forest = md.train_forest(data, "tier", FEATS, n_trees=3, max_depth=4)
+    each = sh.shap_values(forest, data, FEATS, "rk")
+    assert each.count() == data.count() * 4 * 3
+    want = {r["feature"]: r["m"] for r in each.groupBy("feature").agg(F.avg(F.abs("shap")).alias("m")).collect()}
+    got = {r["feature"]: r for r in sh.shap_importance(forest, data, FEATS).collect()}
+    assert all(abs(got[f]["shap"] - want[f]) < 1e-9 and got[f]["position"] == i for i, f in enumerate(FEATS))
+    assert sh.shap_importance(forest, data.limit(0), FEATS).collect() == []
+
+
+def test_few_distinct_stops_at_the_limit(spark):
+    rows = [(None if i % 9 == 0 else i % 4, f"v{i}", -0.0 if i % 2 else 0.0, None, "a") for i in range(3000)]
+    df = spark.createDataFrame(rows, "a int, b string, c double, d string, e string").repartition(5)
+    assert tg.few_distinct(df, df.columns, 20) == {"a": 4, "b": 21, "c": 1, "d": 0, "e": 1}
+    assert tg.detect_target(df.select("b", "e")).first()["target"] == "e"
+    assert tg.guess_stratify_column(df.withColumnRenamed("b", "status")).first()[:] == ("status", "known_name", 3000)
+
+
 def test_train_agent_end_to_end(spark):
     from tabulon.plans.train import train_agent
 
