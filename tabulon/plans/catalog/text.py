@@ -124,8 +124,9 @@ SELECT term, df, round(idf, 10) AS idf FROM vocab"""
 
 def x03_search(spark, sf_dir):
     docs = t(spark, sf_dir, "documents")
+    words = tx.words_of(docs, "doc_id", "text")
     hits = tx.search(t(spark, sf_dir, "benchmark"), "item_id", "text", docs, "doc_id", "text",
-                     tx.vocabulary(docs, "text", max_terms=4000), top_k=4)
+                     tx.vocabulary_of(words, max_terms=4000), top_k=4, words=words)
     return hits.select("item_id", F.col("rank").cast("long").alias("rank"), "doc_id",
                        F.round("score", 8).alias("score"), "snippet")
 

@@ -79,6 +79,51 @@ def test_search_finds_exact_document(spark):
     assert len(hits) <= 4
 
 
+def test_search_against_brute_force(spark, monkeypatch):
+    """Small shards and query blocks, ties, null ids, copies, empty and null texts; skipped shards lose nothing."""
+    import random
+
+    rng = random.Random(5)
+    common = [f"wort{i}" for i in range(40)] + ["naïve", "œuvre", "x1_y", "a", "the"]
+    docs = [(i if i % 11 else None, " ".join(rng.choices(common[: 5 + i % 40], k=rng.randrange(1, 30))))
+            for i in range(150)]
+    docs += [(500, docs[3][1]), (501, docs[3][1].upper()), (None, docs[3][1]), (502, None), (503, ""), (504, "a the")]
+    asked = [(j, " ".join(rng.choices(common, k=rng.randrange(0, 9)))) for j in range(60)] + [(90, docs[3][1]), (91, None)]
+    df = spark.createDataFrame(docs, "id int, text string").repartition(3)
+    q = spark.createDataFrame(asked, "qid int, text string")
+    vocab = tx.vocabulary(df, "text", max_terms=300)
+    idf = {r["term"]: r["idf"] for r in vocab.collect()}
+    stop = set(tx.english_stop_words())
+
+    def vector(text):
+        w = [x for x in tx.regex.findall(tx.TOKEN_PATTERN, (text or "").lower()) if x not in stop]
+        terms = [t for t in w + [f"{a} {b}" for a, b in zip(w, w[1:])] if t in idf]  # noqa: B905
+        v = {t: terms.count(t) * idf[t] for t in set(terms)}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    vectors = [(i, t, vector(t)) for i, t in docs]
+    want = []
+    for j, text in asked:
+        ask = vector(text)
+        hits = [(round(sum(x * v.get(t, 0) for t, x in ask.items()), 10), i, (t or "")[:420]) for i, t, v in vectors]
+        hits = sorted((h for h in hits if h[0] > 0), key=lambda h: (-h[0], h[1] is None, h[1] or 0, h[2]))[:4]
+        if hits and hits[0][0] >= 0.04:
+            want += [(j, n, i, round(s, 8), t) for n, (s, i, t) in enumerate(hits, 1)]
+    for shard, block, batch in ((4096, 512, 100), (7, 5, 13)):
+        monkeypatch.setattr(tx, "SHARD_DOCS", shard)
+        monkeypatch.setattr(tx, "QUERY_BLOCK", block)
+        got = tx.search(q, "qid", "text", df, "id", "text", vocab, query_block=batch).collect()
+        assert sorted((r["qid"], r["rank"], r["id"], round(r["score"], 8), r["snippet"]) for r in got) == sorted(want)
+
+
+def test_vocabulary_in_flushes(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    once = sorted(map(tuple, tx.vocabulary(docs, "text", max_terms=900, ngram=3).collect()))
+    monkeypatch.setattr(tx, "FLUSH_TERMS", 50)
+    assert sorted(map(tuple, tx.vocabulary(docs, "text", max_terms=900, ngram=3).collect())) == once
+
+
 def test_truncate_and_counts(spark):
     df = spark.createDataFrame([("abcdef",), ("ab",), ("  two words  ",)], "t string")
     out = df.select(tx.truncate(F.col("t"), 3).alias("p"), tx.word_count(F.col("t")).alias("w")).collect()
