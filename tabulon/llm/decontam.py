@@ -12,7 +12,8 @@ at most ``MAX_ITEM_WORDS`` words; more items take more passes over the
 documents, whose hits are united.
 
 Defined results: null and wordless texts have no words and no hits; a null or
-wordless item matches nothing; rows sharing an item id count as one item;
+wordless item matches nothing; rows sharing an item id count as one item, and
+so do rows without an id, which has no place in the list of ids;
 repeated documents are judged alike; empty tables give no hits or no rows;
 extra columns are carried by ``remove_spans`` and ignored otherwise.
 """
@@ -152,7 +153,7 @@ def _groups(items: DataFrame, item_col: str, text_col: str, limit: int) -> Itera
     """Items with words, by id, in groups of at most ``limit`` words (streamed to the driver)."""
     group, size = {}, 0
     rows = items.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")) \
-        .where("i IS NOT NULL AND t IS NOT NULL").distinct().orderBy("i", "t")
+        .where("t IS NOT NULL").distinct().orderBy("i", "t")
     for k, r in enumerate(rows.toLocalIterator()):
         words = words_of(r["t"].encode("utf-8"))
         if words:
@@ -188,7 +189,7 @@ def _scan(rows: DataFrame, matcher, names, last: bool, cut: bool) -> DataFrame:
                     found.update(old["_items"])
                 n_words.append(len(words))
                 hits.append([{"start": a, "end": b} for a, b in spans])
-                items.append(sorted(found))
+                items.append(sorted(found, key=lambda i: (i is None, i or "")))
                 if cut:
                     texts.append(cut_words(raw, spans).decode("utf-8") if spans else raw.decode("utf-8"))
             made = [pa.array(n_words, pa.int64()), pa.array(hits, _SPANS), pa.array(items, pa.list_(pa.string()))]

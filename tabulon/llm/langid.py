@@ -15,11 +15,11 @@ is ``und``; repeated rows are judged alike; very long texts are used whole.
 
 from __future__ import annotations
 
-import re
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +33,7 @@ SHARPNESS = 40.0         # of the bit margins (mean log-odds per n-gram)
 AMBIGUOUS = 0.6          # scores below are ambiguous
 UND = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 #: A-Z in lower case, digits as one digit, other ASCII non-letters as blanks
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else 32
               for b in range(256))
