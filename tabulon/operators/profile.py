@@ -10,6 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +22,11 @@ from tabulon.functions.ordering import distinct_per_column, exact_quantiles, lon
 from tabulon.functions.topk import top_k_per_group
 
 
+NARROW = 24        # columns whose correlations are one aggregate
+GRAM_BLOCK = 256   # columns multiplied with as many others
+GRAM_FAN = 16      # partial sums added at a time
+
+
 def per_column(df: DataFrame, columns: Sequence[str], metrics: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """One aggregate computing every metric for every column -> long form.
 
@@ -209,30 +217,109 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, approx:
 # --- A-10 / A-11 -------------------------------------------------------------
 
 def correlations(df: DataFrame, columns: Sequence[str] | None = None, digits: int | None = 2) -> DataFrame:
-    """A-10: Pearson matrix in long form (col_a, col_b, r), pairwise-complete rows.
+    """A-10: Pearson matrix in long form (col_a, col_b, r, pos_a, pos_b), pairwise-complete rows.
 
-    All n(n-1)/2 coefficients come from one aggregate; the diagonal is 1.
+    Up to ``NARROW`` columns, all n(n-1)/2 coefficients come from one aggregate; beyond, from
+    blocked Gram matrices (see ``_gram_correlations``).  The diagonal is 1; a pair without two
+    common rows, or constant on them, has no coefficient.
     """
-    cols = [c for c in (columns or numeric_columns(df))
-            if not isinstance(df.schema[c].dataType, T.BooleanType) or True]
+    cols = list(columns or numeric_columns(df))
+    if len(cols) < 2:
+        return df.sparkSession.createDataFrame([], "col_a string, col_b string, r double, pos_a int, pos_b int")
+    if len(cols) > NARROW:
+        pairs = _gram_correlations(df, cols)
+        names = F.array(*[F.lit(c) for c in cols])
+        r = F.round("r", digits) if digits is not None else F.col("r")
+        return pairs.select(F.element_at(names, F.col("i") + 1).alias("col_a"),
+                            F.element_at(names, F.col("j") + 1).alias("col_b"),
+                            F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(r).alias("r"),
+                            F.col("i").alias("pos_a"), F.col("j").alias("pos_b"))
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    if not pairs:
-        return df.sparkSession.createDataFrame([], "col_a string, col_b string, r double")
-    wide = df.agg(*[F.corr(_num(col(cols[i])), _num(col(cols[j]))).alias(f"p{i}_{j}") for i, j in pairs])
+    # corr() divides by zero on a constant column under ANSI rules; r2 has no coefficient there, or 1 without covariance
+    wide = df.agg(*[f(_num(col(cols[i])), _num(col(cols[j]))).alias(f"{name}{i}_{j}") for i, j in pairs
+                    for name, f in (("p", F.regr_r2), ("c", F.covar_pop))])
     structs = []
     for i, j in pairs:
-        r = F.col(f"p{i}_{j}")
+        r2, c = F.col(f"p{i}_{j}"), F.col(f"c{i}_{j}")
+        r = F.when((c != 0) | (r2 != 1), F.signum(c) * F.sqrt(r2))
         r = F.round(r, digits) if digits is not None else r
-        structs.append(F.struct(F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"), r.alias("r"),
-                                F.lit(i).alias("pos_a"), F.lit(j).alias("pos_b")))
-        structs.append(F.struct(F.lit(cols[j]).alias("col_a"), F.lit(cols[i]).alias("col_b"), r.alias("r"),
-                                F.lit(j).alias("pos_a"), F.lit(i).alias("pos_b")))
+        for x, y in ((i, j), (j, i)):
+            structs.append(F.struct(F.lit(cols[x]).alias("col_a"), F.lit(cols[y]).alias("col_b"), r.alias("r"),
+                                    F.lit(x).alias("pos_a"), F.lit(y).alias("pos_b")))
     for i, c in enumerate(cols):
         structs.append(F.struct(F.lit(c).alias("col_a"), F.lit(c).alias("col_b"), F.lit(1.0).alias("r"),
                                 F.lit(i).alias("pos_a"), F.lit(i).alias("pos_b")))
     return wide.select(F.inline(F.array(*structs)))
 
 
+def _gram_correlations(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(i, j, r) of all ordered pairs of columns, from sums over the rows where both are there.
+
+    A task multiplies its rows block by block: values and presence masks of ``GRAM_BLOCK``
+    columns against those of ``GRAM_BLOCK`` others give the six sums of every pair of the two
+    blocks.  The tasks' sums are added as a tree of ``GRAM_FAN`` at a time, one group per pair
+    of blocks, so what meets in a task is bounded by GRAM_FAN blocks whatever the rows and columns.
+    """
+    n = len(cols)
+    # centred at the means, the sums lose no digits to large values
+    centre = df.agg(*[F.avg(F.when(~F.isnan(_num(col(c))), _num(col(c)))).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    mean = np.array([0.0 if m is None or not np.isfinite(m) else m for m in centre])
+    blocks = [(a, b) for a in range(0, n, GRAM_BLOCK) for b in range(a, n, GRAM_BLOCK)]
+    data = df.select(*[_num(col(c)).alias(f"c{i}") for i, c in enumerate(cols)])
+    schema = "a int, b int, lane int, sums binary"
+
+    def row(a, b, lane, sums):
+        return pa.RecordBatch.from_arrays([pa.array([a], pa.int32()), pa.array([b], pa.int32()),
+                                           pa.array([lane], pa.int32()), pa.array([sums.tobytes()], pa.binary())],
+                                          names=["a", "b", "lane", "sums"])
+
+    def run(batches):
+        lane = TaskContext.get().partitionId() // GRAM_FAN
+        held = {}
+        for batch in batches:
+            there = np.stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+            x = np.stack([c.fill_null(0).to_numpy() for c in batch.columns], axis=1) - mean
+            x = np.where(there, x, 0.0)
+            mask, square = there.astype(np.float64), x * x
+            for a, b in blocks:
+                p, q = slice(a, a + GRAM_BLOCK), slice(b, b + GRAM_BLOCK)
+                sums = np.stack([mask[:, p].T @ mask[:, q], x[:, p].T @ mask[:, q], mask[:, p].T @ x[:, q],
+                                 square[:, p].T @ mask[:, q], mask[:, p].T @ square[:, q], x[:, p].T @ x[:, q]])
+                held[a, b] = held[a, b] + sums if (a, b) in held else sums
+        for (a, b), sums in held.items():
+            yield row(a, b, lane, sums)
+
+    def add(key, table):
+        total = sum(np.frombuffer(v, dtype=np.float64) for v in table.column("sums").to_pylist())
+        return pa.Table.from_batches([row(key[0].as_py(), key[1].as_py(), key[2].as_py() // GRAM_FAN, total)])
+
+    def finish(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                na, nb = min(GRAM_BLOCK, n - r["a"]), min(GRAM_BLOCK, n - r["b"])
+                k, sx, sy, sxx, syy, sxy = np.frombuffer(r["sums"], dtype=np.float64).reshape(6, na, nb)
+                safe = np.maximum(k, 1)
+                vx, vy = sxx - sx * sx / safe, syy - sy * sy / safe
+                usable = (k > 1) & (vx > 1e-12 * sxx) & (vy > 1e-12 * syy)
+                root = np.sqrt(np.where(usable, vx, 1.0)) * np.sqrt(np.where(usable, vy, 1.0))
+                c = np.clip((sxy - sx * sy / safe) / root, -1.0, 1.0)
+                i, j = (v.ravel() for v in np.indices((na, nb)))
+                i, j = i + r["a"], j + r["b"]
+                found = pa.array(c.ravel(), mask=~usable.ravel())
+                one = pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), found],
+                                                 names=["i", "j", "r"])
+                yield one
+                if r["a"] != r["b"]:   # the block across the diagonal
+                    yield pa.RecordBatch.from_arrays([one.column(1), one.column(0), found], names=["i", "j", "r"])
+
+    lanes = -(-data.rdd.getNumPartitions() // GRAM_FAN)
+    parts = data.mapInArrow(run, schema).groupBy("a", "b", "lane").applyInArrow(add, schema)
+    while lanes > 1:
+        parts = parts.groupBy("a", "b", "lane").applyInArrow(add, schema)
+        lanes = -(-lanes // GRAM_FAN)
+    return parts.mapInArrow(finish, "i int, j int, r double")
+
+
 def strongest_pair(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """A-11: off-diagonal pair with the largest |r| (first in column order on ties)."""
     m = correlations(df, columns, digits=None).where(F.col("pos_a") < F.col("pos_b"))

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions.columns import col
@@ -36,13 +37,26 @@ def head_and_hash_sample(df: DataFrame, keys: Sequence[str], head: int = 50, n_r
     return both.orderBy("_o", *[col(k) for k in keys]).limit(cap).drop("_o")
 
 
-def per_partition_sample(df: DataFrame, keys: Sequence[str], per_chunk: int = 40) -> DataFrame:
-    """P-02: up to ``per_chunk`` rows from every input split (hash order inside
-    the split): the reservoir of each chunk of a chunked read."""
-    from pyspark.sql import Window
-    chunked = df.withColumn("chunk_id", F.spark_partition_id()).withColumn("_h", hash_order(keys))
-    w = Window.partitionBy("chunk_id").orderBy("_h")
-    return chunked.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_chunk).drop("_r", "_h")
+def per_chunk_sample(df: DataFrame, keys: Sequence[str], per_chunk: int = 40, chunk_rows: int = 200_000) -> DataFrame:
+    """P-02: up to ``per_chunk`` rows (hash order) of every chunk of ``chunk_rows`` consecutive rows:
+    the reservoir of each chunk of a chunked read.
+
+    A Parquet scan's rows know their file and place, so chunks are the same however the scan is
+    split; other tables are chunked along their keys.  Adds chunk_id (within the file, from 0).
+    """
+    try:
+        chunked = df.select("*", F.col("_metadata.file_path").alias("_file"),
+                            F.expr(f"_metadata.row_index div {chunk_rows}").alias("chunk_id"))
+        chunked.schema   # resolves only over files
+    except AnalysisException:
+        by_key = df.withColumn("_one", F.lit(0)).withColumn("_key", F.struct(*[col(k) for k in keys]))
+        chunked = rank_within(by_key, "_one", F.col("_key"), "_place") \
+            .withColumn("chunk_id", F.expr(f"(_place - 1) div {chunk_rows}")).withColumn("_file", F.lit("")) \
+            .drop("_one", "_key", "_place")
+    hashed = chunked.withColumn("_h", hash_order(keys))
+    # chunks are bounded; the rank's group limit keeps per_chunk rows of a task before the shuffle
+    w = Window.partitionBy("_file", "chunk_id").orderBy("_h", *[col(k) for k in keys])
+    return hashed.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_chunk).drop("_r", "_h", "_file")
 
 
 def per_class_sample(df: DataFrame, class_col: str, keys: Sequence[str], n: int = 200) -> DataFrame:

@@ -167,6 +167,35 @@ QUERIES["a10_correlation"] = a10_correlation
 SQL["a10_correlation"] = _corr_sql()
 
 
+# 30 columns over lineitem, some with gaps: value, multiplier, divisor of each
+WIDE = [(v, m, 3 + (7 * i + 5 * m) % 11) for i, v in enumerate(["l_quantity", "l_partkey", "l_suppkey", "l_orderkey", "l_linenumber"])
+        for m in range(1, 7)]
+
+
+def _wide_columns():
+    """name -> SQL text of the column, the same in both engines: (value * m) % d, null where the value meets d."""
+    return {f"w{k:02d}": f"CASE WHEN CAST({v} AS BIGINT) % {d + 4} = 0 THEN NULL "
+                         f"ELSE CAST({v} * {m} AS BIGINT) % {d} + {v} / 1000.0 END" for k, (v, m, d) in enumerate(WIDE)}
+
+
+def a10_wide_correlation(spark, sf_dir):
+    """More columns than one aggregate takes: Gram matrices by blocks."""
+    li = t(spark, sf_dir, "lineitem")
+    wide = li.select(*[F.expr(x).alias(c) for c, x in _wide_columns().items()])
+    return pr.correlations(wide, digits=6).select("col_a", "col_b", "r")
+
+
+QUERIES["a10_wide_correlation"] = a10_wide_correlation
+SQL["a10_wide_correlation"] = (
+    "WITH w AS (SELECT " + ", ".join(f"CAST({x} AS DOUBLE) AS {c}" for c, x in _wide_columns().items())
+    + " FROM lineitem),\nc AS (SELECT "
+    + ", ".join(f"corr({a}, {b}) AS {a}_{b}" for a in _wide_columns() for b in _wide_columns() if a < b)
+    + " FROM w)\n"
+    + "\nUNION ALL\n".join(
+        f"SELECT '{a}' AS col_a, '{b}' AS col_b, " + ("1.0" if a == b else f"round({min(a, b)}_{max(a, b)}, 6)")
+        + " AS r FROM c" for a in _wide_columns() for b in _wide_columns()))
+
+
 def a11_strongest_pair(spark, sf_dir):
     return pr.strongest_pair(t(spark, sf_dir, "lineitem"), LI_NUM).select(
         "col_a", "col_b", F.round("r", 6).alias("r"), F.round("abs_r", 6).alias("abs_r"))

@@ -195,10 +195,14 @@ SELECT * FROM (SELECT *, 'random' AS sample_part FROM orders ORDER BY {MD5} LIMI
 
 
 def p02_per_chunk_sample(spark, sf_dir):
-    return sp.per_partition_sample(t(spark, sf_dir, "orders"), ["o_orderkey"], per_chunk=40)
+    return sp.per_chunk_sample(t(spark, sf_dir, "orders"), ["o_orderkey"], per_chunk=40, chunk_rows=4000)
 
 
 QUERIES["p02_per_chunk_sample"] = p02_per_chunk_sample
+# the file holds the orders by key
+SQL["p02_per_chunk_sample"] = f"""
+WITH c AS (SELECT *, (row_number() OVER (ORDER BY o_orderkey) - 1) // 4000 AS chunk_id FROM orders)
+SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY {MD5}) AS r FROM c) WHERE r <= 40"""
 
 
 def p03_per_class_sample(spark, sf_dir):

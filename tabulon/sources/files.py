@@ -85,16 +85,23 @@ def _own_header(df: DataFrame, text: str, sep: str) -> DataFrame:
     return df.toDF(*unique_names(names))
 
 
+UTF16_ZEROS = 0.2   # share of zero bytes from which a text is UTF-16
+
+
 def choose_encoding(spark: SparkSession, path: str, head: bytes) -> str:
     """First of ENCODINGS that decodes the whole input: byte-order marks decide at once,
-    the others are tested on every line of every file in one scan."""
+    the others, and UTF-16 without a mark, are tested on every line of every file in one scan."""
     if head[:2] in (b"\xff\xfe", b"\xfe\xff"):
         return "utf-16"
     raw = F.col("value").cast("binary")
     as_latin = F.decode(raw, "ISO-8859-1")
-    valid, undefined = spark.read.text(path).agg(
+    valid, undefined, size, zeros = spark.read.text(path).agg(
         F.min(F.is_valid_utf8("value").cast("int")),
-        F.max(F.regexp_like(as_latin, F.lit(f"[{CP1252_UNDEFINED}]")).cast("int"))).first()
+        F.max(F.regexp_like(as_latin, F.lit(f"[{CP1252_UNDEFINED}]")).cast("int")),
+        F.sum(F.length(raw)), F.sum(F.length(as_latin) - F.length(F.replace(as_latin, F.lit("\0"), F.lit(""))))).first()
+    if zeros and zeros >= UTF16_ZEROS * size:
+        # text mostly of Latin letters without a mark: the high bytes are zero, and their side tells the order
+        return "utf-16-le" if head[1::2].count(0) >= head[::2].count(0) else "utf-16-be"
     if valid is None or valid == 1:
         return "utf-8-sig" if head.startswith(b"\xef\xbb\xbf") else "utf-8"
     return "latin-1" if undefined else "cp1252"
@@ -120,10 +127,11 @@ def read_csv_robust(spark: SparkSession, path: str, header: bool = True) -> Data
     text = head.decode(enc, "replace")
     delim = choose_delimiter(text)
     # Windows-1252 is Latin-1 but for a block of control codes, which are put right after the scan
-    spark_enc = {"utf-16": "UTF-16", "cp1252": "ISO-8859-1", "latin-1": "ISO-8859-1"}.get(enc, "UTF-8")
+    spark_enc = {"utf-16": "UTF-16", "utf-16-le": "UTF-16LE", "utf-16-be": "UTF-16BE",
+                 "cp1252": "ISO-8859-1", "latin-1": "ISO-8859-1"}.get(enc, "UTF-8")
     reader = spark.read.options(encoding=spark_enc, sep=delim, mode="DROPMALFORMED", header=str(header).lower(),
                                 inferSchema="true")
-    if enc == "utf-16":
+    if enc.startswith("utf-16"):
         reader = reader.option("multiLine", "true")
     df = reader.csv(path)
     if enc == "cp1252":
