@@ -175,7 +175,7 @@ WIDE = [(v, m, 3 + (7 * i + 5 * m) % 11) for i, v in enumerate(["l_quantity", "l
 def _wide_columns():
     """name -> SQL text of the column, the same in both engines: (value * m) % d, null where the value meets d."""
     return {f"w{k:02d}": f"CASE WHEN CAST({v} AS BIGINT) % {d + 4} = 0 THEN NULL "
-                         f"ELSE CAST({v} * {m} AS BIGINT) % {d} + {v} / 1000.0 END" for k, (v, m, d) in enumerate(WIDE)}
+                         f"ELSE CAST({v} * {m} AS BIGINT) % {d} + {v} / 1e3 END" for k, (v, m, d) in enumerate(WIDE)}
 
 
 def a10_wide_correlation(spark, sf_dir):
