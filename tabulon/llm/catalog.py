@@ -105,6 +105,7 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
 # crc32 bit by bit over the digits of doc_id; the trees level by level; every leaf folded level by level
+# (joins by lang: the tables hold no null lang; tests/llm cover it)
 SQL["op11_midstate_merkle"] = r"""
 WITH RECURSIVE d AS (
   SELECT row_number() OVER () AS row, doc_id, lang, n_chars,
