@@ -301,3 +301,10 @@ def st01_stream_rules(spark, sf_dir):
 
 
 QUERIES["st01_stream_rules"] = st01_stream_rules
+SQL["st01_stream_rules"] = with_sql(ORDERS_DIRTY_SQL, body="""
+SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, price_text,
+       coalesce(o_orderpriority, (SELECT o_orderpriority FROM orders_dirty WHERE o_orderpriority IS NOT NULL
+                                  GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS priority,
+       o_orderstatus, ship_date_text, constant_col,
+       coalesce(o_totalprice, (SELECT quantile_cont(o_totalprice, 0.5) FROM orders_dirty)) AS o_totalprice
+FROM orders_dirty""")

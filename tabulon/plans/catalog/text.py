@@ -79,6 +79,26 @@ def x06_bullets(spark, sf_dir):
 
 
 QUERIES["x06_bullets"] = x06_bullets
+# line by line: a head and one "- item." line per part where " - " stands twice or more
+SQL["x06_bullets"] = f"""
+WITH l AS (
+  SELECT conv_id, turn, line, place, {_trim('line')} AS s
+  FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line,
+               unnest(generate_series(1, len(string_split(text, chr(10))))) AS place FROM conversations)),
+p AS (
+  SELECT *, (length(s) - length(replace(s, ' - ', ''))) / 3 >= 2 AND NOT starts_with(s, '-') AS listed,
+         regexp_split_to_array(s, '\\s+-\\s+') AS parts
+  FROM l),
+b AS (
+  SELECT *, {_trim('parts[1]')} AS head,
+         list_transform(list_filter(list_transform(parts[2:], lambda x: regexp_replace({_trim('x')}, '\\.+$', '')),
+                                    lambda x: x <> ''), lambda x: '- ' || x || '.') AS items
+  FROM p)
+SELECT conv_id, turn, string_agg(
+         CASE WHEN listed THEN array_to_string(
+           list_concat(CASE WHEN head <> '' THEN [head, ''] ELSE CAST([] AS VARCHAR[]) END, items), chr(10))
+         ELSE line END, chr(10) ORDER BY place) AS text
+FROM b GROUP BY conv_id, turn"""
 
 
 def _terms_sql(table, id_col, text_col):
