@@ -41,8 +41,11 @@ from tabulon.llm.scratch import broadcast_if, prepare, utf8_values, words_of, wr
 STEMS = (4, 5, 6)
 SHARED = 10.0         # backoff counts
 DISCOUNT = 0.75
+#: Of pairs, by class (toxic, ordinary).  A pair seen once in ordinary text, by far the larger class and
+#: mostly such pairs, keeps nothing; one that no class keeps anything of is not stored.
+PAIR_DISCOUNT = (0.75, 1.0)
 WINDOW = 3            # words
-CHUNK_WORDS = 500_000
+CHUNK_WORDS = 2_000_000
 BROADCAST_NGRAMS = 16_000_000   # of 16 bytes
 PIECE = 2_000_000     # of them reach the driver at a time
 CALIBRATION = 5       # one learnable row in so many calibrates, the others are counted
@@ -82,33 +85,51 @@ def _pairs(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def count_pairs(labelled: DataFrame, label_col: str, text_col: str) -> DataFrame:
-    """(l, w, n_1, n_0): how often word w follows l, by class."""
+    """(s, r, l, n_1, n_0): how often the word s + r, s its first ``STEMS[0]`` bytes, follows l,
+    by class; with null s and r, how often any word follows l.
+
+    Rows are dealt by (s, l): all words that share a stem and a left neighbour meet, so every
+    count below needs this one shuffle.  A task combines its rows in runs of texts first.
+    """
+    names = ["s", "r", "l", "n_1", "n_0"]
+
     def run(batches):
         for batch in batches:
             label = np.array(batch.column(1).to_pylist(), dtype=np.int64)
             for first, rows, words in _chunks(utf8_values(batch.column(0))):
                 owner, left, word = _pairs(rows)
                 toxic = label[first + owner]
-                seen, n = np.unique((left << 33) | (word << 1) | toxic, return_counts=True)
-                names = pa.array(words, pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [names.take(pa.array(seen >> 33)), names.take(pa.array((seen >> 1) & 0xFFFFFFFF)),
-                     pa.array(np.where(seen & 1, n, 0)), pa.array(np.where(seen & 1, 0, n))],
-                    names=["l", "w", "n_1", "n_0"])
+                # by stem, so that neighbouring rows of the shuffle are alike
+                order = sorted(range(len(words)), key=words.__getitem__)
+                place = np.empty(len(words), dtype=np.int64)
+                place[order] = np.arange(len(words))
+                words = [words[i] for i in order]
+                seen, n = np.unique((place[word] << 33) | (place[left] << 1) | toxic, return_counts=True)
+                ends, m = np.unique((place[left] << 1) | toxic, return_counts=True)
+                stems, rests, whole = (pa.array([v[p] for v in words], pa.binary()) for p in
+                                       (slice(STEMS[0]), slice(STEMS[0], None), slice(None)))
+                w, l = pa.array(seen >> 33), pa.array((seen >> 1) & 0xFFFFFFFF)
+                nothing = pa.nulls(len(ends), pa.binary())
+                for head, key, count in (([stems.take(w), rests.take(w), whole.take(l)], seen, n),
+                                         ([nothing, nothing, whole.take(pa.array(ends >> 1))], ends, m)):
+                    yield pa.RecordBatch.from_arrays([*head, pa.array(np.where(key & 1, count, 0)),
+                                                      pa.array(np.where(key & 1, 0, count))], names=names)
 
     counted = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y")) \
-        .mapInArrow(run, "l binary, w binary, n_1 long, n_0 long")
-    return counted.groupBy("l", "w").agg(F.sum("n_1").alias("n_1"), F.sum("n_0").alias("n_0"))
+        .mapInArrow(run, "s binary, r binary, l binary, n_1 long, n_0 long")
+    return counted.repartition("s", "l").groupBy("s", "r", "l").agg(F.sum("n_1").alias("n_1"), F.sum("n_0").alias("n_0"))
 
 
 def continuations(pairs: DataFrame) -> DataFrame:
     """(x, c_1, c_0): distinct left neighbours of every expression, by class.  An expression
     is a tag, the length of the stem or 0 for the word, and its bytes."""
-    tagged = F.array(*[F.concat(F.lit(f"{k} ").cast("binary"), F.substring("w", 1, k) if k else F.col("w"))
-                       for k in (*STEMS, 0)])
-    seen = pairs.select("l", F.explode(tagged).alias("x"), (F.col("n_1") > 0).cast("int").alias("s_1"),
-                        (F.col("n_0") > 0).cast("int").alias("s_0"))
-    distinct = seen.groupBy("x", "l").agg(F.max("s_1").alias("s_1"), F.max("s_0").alias("s_0"))
+    part = lambda k: F.substring("r", 1, k - STEMS[0]) if k else F.col("r")
+    tagged = F.array(*[F.concat(F.lit(f"{k} ").cast("binary"), F.col("s"), part(k)) for k in (*STEMS, 0)])
+    # rows of neighbours alone have null expressions; a filter on s would reach below the shuffle, which
+    # could then not be shared with the counts of pairs
+    seen = pairs.select("s", "l", F.explode(tagged).alias("x"), (F.col("n_1") > 0).cast("int").alias("s_1"),
+                        (F.col("n_0") > 0).cast("int").alias("s_0")).where(F.col("x").isNotNull())
+    distinct = seen.groupBy("s", "l", "x").agg(F.max("s_1").alias("s_1"), F.max("s_0").alias("s_0"))
     return distinct.groupBy("x").agg(F.sum("s_1").alias("c_1"), F.sum("s_0").alias("c_0"))
 
 
@@ -122,8 +143,8 @@ def _tagged(tag: str, word: Column) -> Column:
     return F.xxhash64(F.concat(F.lit(f"{tag} ").cast("binary"), word))
 
 
-def _discounted(n: str) -> Column:
-    return F.greatest(F.col(n) - DISCOUNT, F.lit(0.0)).cast("float")
+def _discounted(n: str, discount: float) -> Column:
+    return F.greatest(F.col(n) - discount, F.lit(0.0)).cast("float")
 
 
 class Keys:
@@ -209,16 +230,20 @@ def _unique_pairs(rows):
 
 def fit(labelled: DataFrame, label_col: str, text_col: str) -> KneserNey:
     """Count both models over every row given."""
-    pairs = written(count_pairs(labelled, label_col, text_col))
-    words = continuations(pairs).select(F.xxhash64("x").alias("key"), _discounted("c_1").alias("t"),
-                                        _discounted("c_0").alias("o"), F.lit(0).alias("kind"))
-    contexts = pairs.groupBy("l").agg(F.sum("n_1").cast("float").alias("t"), F.sum("n_0").cast("float").alias("o")) \
-        .select(_tagged("c", F.col("l")).alias("key"), "t", "o", F.lit(1).alias("kind"))
+    pairs = count_pairs(labelled, label_col, text_col)
+    words = continuations(pairs).select(F.xxhash64("x").alias("key"), _discounted("c_1", DISCOUNT).alias("t"),
+                                        _discounted("c_0", DISCOUNT).alias("o"), F.lit(0).alias("kind"))
+    alone = F.col("s").isNull()
     turned = _tagged("c", F.col("l"))
+    context = turned
     turned = F.shiftleft(turned, 17).bitwiseOR(F.shiftrightunsigned(turned, 47))
-    both = pairs.select(turned.bitwiseXOR(_tagged("0", F.col("w"))).alias("key"), _discounted("n_1").alias("t"),
-                        _discounted("n_0").alias("o"), F.lit(2).alias("kind"))
-    table = written(words.unionByName(contexts).unionByName(both))
+    both = turned.bitwiseXOR(_tagged("0", F.concat("s", "r")))
+    # a context's own count is whole; a pair with nothing left after the discount says nothing
+    left = [F.when(alone, F.col(n).cast("float")).otherwise(_discounted(n, d)).alias(a)
+            for n, a, d in zip(("n_1", "n_0"), ("t", "o"), PAIR_DISCOUNT, strict=True)]
+    others = pairs.select(F.when(alone, context).otherwise(both).alias("key"), *left,
+                          F.when(alone, 1).otherwise(2).alias("kind")).where((F.col("t") > 0) | (F.col("o") > 0))
+    table = written(words.unionByName(others))
     sums = {r["kind"]: (r["t"] + 1.0, r["o"] + 1.0) for r in table.groupBy("kind").agg(
         F.sum("t").alias("t"), F.sum("o").alias("o")).collect()}
     # kept off the ends when a class is missing
