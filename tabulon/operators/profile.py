@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -402,19 +403,55 @@ def crosstab(df: DataFrame, row: str, column: str, normalize: bool = False, digi
 
 # --- A-16 / A-20 -------------------------------------------------------------
 
+def _first_rows(rows: pa.Table, order_by: Sequence[str], k: int, columns: Sequence[str]) -> list[int]:
+    """Indices of the rows that hold the first ``k`` non-null values of any column."""
+    keys, order = {}, []
+    for j, name in enumerate(order_by):
+        key = rows.column(name)
+        # null keys come first, as in an ascending sort of Spark
+        keys[f"there{j}"] = pc.cast(key.is_valid(), pa.int8())
+        keys[f"key{j}"] = pc.cast(key, pa.int8()) if pa.types.is_boolean(key.type) else key
+        order += [(f"there{j}", "ascending"), (f"key{j}", "ascending")]
+    keyed = pa.table({**keys, "at": pa.array(np.arange(rows.num_rows))})
+    found = set()
+    for c in columns:
+        there = keyed.filter(rows.column(c).is_valid())
+        if there.num_rows > k:
+            there = there.take(pc.select_k_unstable(there, k, sort_keys=order))
+        found.update(there.column("at").to_pylist())
+    return sorted(found)
+
+
 def first_values(df: DataFrame, order_by: Sequence[str], k: int = 3,
                  columns: Sequence[str] | None = None) -> DataFrame:
-    """First ``k`` non-null values of each column under ``order_by`` (long form:
-    column_name, rank, value as text).  Uses the salted two-phase top-k so no
-    column's values funnel through one task."""
+    """First ``k`` non-null values of each column under ``order_by``, a total order (long form:
+    column_name, rank, value as text).
+
+    One pass: a task holds at most ``k`` rows per column and hands on those alone, so
+    only they are unpivoted; a salted top-k takes the first of all tasks.
+    """
     cols = list(columns or df.columns)
-    keyed = df.select(*[col(c) for c in order_by],
-                      F.explode_outer(F.array(*[F.struct(F.lit(c).alias("column_name"),
-                                                   col(c).cast("string").alias("value"))
-                                          for c in cols])).alias("_kv"))
-    long = keyed.select(*order_by, "_kv.column_name", "_kv.value").where(F.col("value").isNotNull())
-    return top_k_per_group(long, ["column_name"], [F.col(o).asc() for o in order_by], k,
-                           salt_on=list(order_by), rank_col="rank")
+    # plain names: a map over Arrow batches takes no dots in them
+    keys, held = [f"o{j}" for j in range(len(order_by))], [f"c{i}" for i in range(len(cols))]
+    rows = df.select(*[col(o).alias(a) for o, a in zip(order_by, keys, strict=True)],
+                     *[col(c).alias(a) for c, a in zip(cols, held, strict=True)])
+
+    def run(batches):
+        kept = None
+        for batch in batches:
+            seen = pa.Table.from_batches([batch])
+            if kept is not None:
+                seen = pa.concat_tables([kept, seen])
+            kept = seen.take(pa.array(_first_rows(seen, keys, k, held), pa.int64()))
+        if kept is not None:
+            yield from kept.combine_chunks().to_batches()
+
+    long = rows.mapInArrow(run, rows.schema).select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(a).cast("string").alias("value"))
+        for c, a in zip(cols, held, strict=True)])).alias("_kv")) \
+        .select(*keys, "_kv.column_name", "_kv.value").where(F.col("value").isNotNull())
+    return top_k_per_group(long, ["column_name"], [F.col(o).asc() for o in keys], k,
+                           salt_on=keys, rank_col="rank").drop(*keys)
 
 
 def column_metadata(df: DataFrame, order_by: Sequence[str], examples: int = 3) -> DataFrame:

@@ -1,16 +1,18 @@
 """Prompt-table operators N-01..N-03 (re-aimed: one prompt -> a column of prompts).
 
 Intent tagging and fact extraction are built-in string expressions over the
-prompt column.  Column-name resolution needs a fuzzy string ratio, so it
-runs a pandas UDF over the *distinct* candidate words only (the column list
-it compares against is bounded by the schema width).
+prompt column.  Column-name resolution settles exact names by lookup; only the
+other words reach a pandas UDF for the fuzzy string ratio, which length and
+letter counts spare most column names (a list bounded by the schema width).
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -93,6 +95,54 @@ def _looks_like_column(word: Column) -> Column:
             | ((word == F.lower(word)) & (F.length(word) >= 4)))
 
 
+class ClosestName:
+    """The name most similar to a word (ratio of matching blocks, at least ``cutoff``), ties to the
+    last name in order.
+
+    The ratio cannot exceed twice the common letters over both lengths.  These bounds come for
+    all names at once from a matrix of letter counts; the exact ratio is taken from the highest
+    bound down, until no bound reaches the best ratio found.
+    """
+
+    def __init__(self, names: Sequence[str], cutoff: float, remembered: int = 100_000):
+        self.names, self.cutoff, self.remembered = sorted(names), cutoff, remembered
+        self.letters = {ch: i for i, ch in enumerate(sorted(set("".join(self.names))))}
+        self.lengths = np.array([len(n) for n in self.names], dtype=np.int64)
+        self.counts = np.array([self._count(n) for n in self.names], dtype=np.int64) \
+            .reshape(len(self.names), len(self.letters))
+        self.known: dict[str, str | None] = {}
+
+    def _count(self, word: str) -> np.ndarray:
+        found = [self.letters[ch] for ch in word if ch in self.letters]
+        return np.bincount(found, minlength=len(self.letters)) if found else np.zeros(len(self.letters), dtype=np.int64)
+
+    def bounds(self, word: str) -> np.ndarray:
+        """An upper bound of the ratio of every name."""
+        common = np.minimum(self.counts, self._count(word)).sum(axis=1)
+        return 2.0 * common / np.maximum(self.lengths + len(word), 1)
+
+    def _search(self, word: str) -> str | None:
+        if not self.names:
+            return None
+        bound = self.bounds(word)
+        match = SequenceMatcher()
+        match.set_seq2(word)
+        best = (self.cutoff, "")
+        for i in np.argsort(-bound, kind="stable"):
+            if bound[i] < best[0]:
+                break
+            match.set_seq1(self.names[i])
+            best = max(best, (match.ratio(), self.names[i]))
+        return best[1] or None
+
+    def __call__(self, word: str) -> str | None:
+        if word not in self.known:
+            if len(self.known) >= self.remembered:
+                self.known.clear()
+            self.known[word] = self._search(word)
+        return self.known[word]
+
+
 def resolve_columns(df: DataFrame, keys: Sequence[str], text_col: str, columns: Sequence[str],
                     cutoff: float = 0.72) -> DataFrame:
     """N-03: column-like words of each prompt -> (keys..., position, word,
@@ -101,32 +151,32 @@ def resolve_columns(df: DataFrame, keys: Sequence[str], text_col: str, columns:
     Words: ``[A-Za-z_][A-Za-z0-9_]{2,}``, not a stop word, containing ``_`` or
     a digit or being lower case with 4+ letters; first occurrence per prompt
     (case-insensitive).  Exact names are matched case-insensitively; other
-    words take the closest column with similarity >= ``cutoff``.
+    words take the closest column with similarity >= ``cutoff``.  The one
+    shuffle is by prompt; a frequent word meets nothing but its own row.
     """
     words = df.select(*[col(k) for k in keys],
                       F.posexplode_outer(F.regexp_extract_all(col(text_col), F.lit(WORD_PATTERN), 1))
                       .alias("position", "word")).where(F.col("word").isNotNull())
     stop = F.array(*[F.lit(w) for w in sorted(COLUMN_STOP_WORDS)])
     words = words.where(~F.array_contains(stop, F.lower("word")) & _looks_like_column(F.col("word")))
-    first = words.groupBy(*keys, F.lower("word").alias("word_lower")).agg(
+    first = words.groupBy(*[col(k) for k in keys], F.lower("word").alias("word_lower")).agg(
         F.min_by(F.struct("position", "word"), "position").alias("_w"))
-    first = first.select(*keys, "word_lower", "_w.position", "_w.word")
     lowered = {c.lower(): c for c in columns}
-    choices = list(lowered)
+    name_map = F.create_map(*[x for k, v in lowered.items() for x in (F.lit(k), F.lit(v))]) if lowered else \
+        F.lit(None).cast("map<string,string>")
 
     @F.pandas_udf("string")
-    def closest(ws: pd.Series) -> pd.Series:
-        from difflib import get_close_matches
-        return ws.map(lambda w: (get_close_matches(w, choices, n=1, cutoff=cutoff) or [None])[0])
-
-    # fuzzy matching runs once per distinct word, not once per prompt
-    distinct = first.select("word_lower").distinct()
-    matched = distinct.withColumn("_close", closest("word_lower"))
-    exact = F.array(*[F.lit(c) for c in choices])
-    name_map = F.create_map(*[x for k, v in lowered.items() for x in (F.lit(k), F.lit(v))])
-    out = first.join(matched, "word_lower")
-    status = (F.when(F.array_contains(exact, F.col("word_lower")), F.lit("exact"))
+    def closest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        find = ClosestName(list(lowered), cutoff)
+        for batch in batches:
+            # words that are names themselves come as null
+            yield batch.map(lambda w: None if w is None else find(w)).astype(object)
+
+    named = first.select(*[col(k) for k in keys], "_w.position", "_w.word", "word_lower",
+                         F.try_element_at(name_map, F.col("word_lower")).alias("_name"))
+    found = named.withColumn("_close", closest(F.when(F.col("_name").isNull(), F.col("word_lower"))))
+    status = (F.when(F.col("_name").isNotNull(), F.lit("exact"))
               .when(F.col("_close").isNotNull(), F.lit("corrected")).otherwise(F.lit("unresolved")))
-    target = F.when(status == "exact", F.element_at(name_map, F.col("word_lower"))) \
-        .when(status == "corrected", F.element_at(name_map, F.col("_close")))
-    return out.select(*keys, "position", "word", status.alias("status"), target.alias("matched_column"))
+    target = F.coalesce(F.col("_name"), F.try_element_at(name_map, F.col("_close")))
+    return found.select(*[col(k) for k in keys], "position", "word", status.alias("status"),
+                        target.alias("matched_column"))

@@ -48,6 +48,7 @@ prompts AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate,
   || ', l_discont: ' || CAST(l_discount AS VARCHAR)
   || CASE WHEN l_linenumber % 3 = 0 THEN ' why high?' ELSE '' END AS text FROM lineitem)"""
 PKEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
+LINEITEM_COLUMNS = [*PKEYS, *LI_NUMERIC, "l_returnflag", "l_linestatus"]
 
 
 def _intent_sql(source, keys):
@@ -110,6 +111,28 @@ def n03_resolve_conversations(spark, sf_dir):
 QUERIES["n03_resolve_conversations"] = n03_resolve_conversations
 
 
+def n03_exact_prompts(spark, sf_dir):
+    """The names that prompts spell as they are; the fuzzy rest is beyond SQL."""
+    return n03_resolve_columns(spark, sf_dir).where("status = 'exact'")
+
+
+def _exact_sql(source, keys, names):
+    quoted = lambda ws: ", ".join(f"'{w}'" for w in sorted(ws))
+    return f"""
+SELECT {keys}, CAST(position AS INTEGER) AS position, word, 'exact' AS status, word_lower AS matched_column FROM (
+  SELECT {keys}, lower(word) AS word_lower, min(position) AS position, arg_min(word, position) AS word FROM (
+    SELECT {keys}, unnest(w) AS word, unnest(range(len(w))) AS position FROM (
+      SELECT {keys}, regexp_extract_all(text, '{pm.WORD_PATTERN}', 1) AS w FROM {source}))
+  WHERE lower(word) NOT IN ({quoted(pm.COLUMN_STOP_WORDS)})
+    AND (contains(word, '_') OR regexp_matches(word, '[0-9]') OR (word = lower(word) AND length(word) >= 4))
+  GROUP BY {keys}, lower(word))
+WHERE word_lower IN ({quoted(names)})"""
+
+
+QUERIES["n03_exact_prompts"] = n03_exact_prompts
+SQL["n03_exact_prompts"] = with_sql(_PROMPTS_SQL, body=_exact_sql("prompts", ", ".join(PKEYS), LINEITEM_COLUMNS))
+
+
 def n02_predict_from_prompts(spark, sf_dir):
     """Prompt table -> intent -> facts -> rule deduction (the prompt-to-answer plan)."""
     from tabulon.operators.rules import rules_frame

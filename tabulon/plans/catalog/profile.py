@@ -322,7 +322,25 @@ def a19_dataset_context(spark, sf_dir):
     return pr.dataset_context(t(spark, sf_dir, "customer"), ["c_custkey"], target="c_mktsegment")
 
 
+def _context_sql():
+    parts = []
+    for c in ("c_custkey", "c_nationkey", "c_acctbal"):
+        stats = [f"format('{{:,.2f}}', CAST({f}({c}) AS DOUBLE))" for f in ("min", "max", "avg")]
+        parts.append(f"SELECT 'numeric' AS section, '{c}' AS column_name, unnest(['min', 'max', 'avg', 'unique']) AS key, "
+                     f"unnest(v) AS value FROM (SELECT [{', '.join(stats)}, CAST(count(DISTINCT {c}) AS VARCHAR)] AS v "
+                     f"FROM customer)")
+    for section, c, k in (("text", "c_name", 5), ("text", "c_mktsegment", 5), ("target", "c_mktsegment", 10)):
+        parts.append(f"""SELECT '{section}', '{c}', CASE WHEN length(v) > 40 THEN v[1:40] || '…' ELSE v END,
+  CAST(n AS VARCHAR) || ' (' || CAST(round(n / (SELECT count(*) FROM customer) * 100, 1) AS VARCHAR) || '%)'
+FROM (SELECT {c} AS v, count(*) AS n FROM customer WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY n DESC, v LIMIT {k})""")
+    for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"):
+        parts.append(f"""SELECT 'sample', '{c}', CAST(r AS VARCHAR), substring(coalesce(CAST({c} AS VARCHAR), 'nan'), 1, 30)
+FROM (SELECT *, row_number() OVER (ORDER BY c_custkey) AS r FROM customer) WHERE r <= 20""")
+    return "\nUNION ALL\n".join(parts)
+
+
 QUERIES["a19_dataset_context"] = a19_dataset_context
+SQL["a19_dataset_context"] = _context_sql()
 
 
 def a17_missing_scaled(spark, sf_dir):
