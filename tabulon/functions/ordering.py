@@ -146,7 +146,7 @@ def is_small(df: DataFrame, limit: int) -> bool:
 
 def rank_within(df: DataFrame, group: str, order: Column, rank_col: str = "rank",
                 window_limit: int = IN_MEMORY_LIMIT) -> DataFrame:
-    """1-based position of every row inside its ``group`` under ``order``
+    """1-based position (a long) of every row inside its ``group`` under ``order``
     (``order`` must be unique within a group, e.g. a hash of the row key).
 
     When the largest group is under ``window_limit`` rows a plain window is
@@ -157,9 +157,9 @@ def rank_within(df: DataFrame, group: str, order: Column, rank_col: str = "rank"
     biggest = sizes.agg(F.max("_gn")).first()[0] or 0
     if biggest <= window_limit:
         w = Window.partitionBy(group).orderBy(order)
-        return df.withColumn(rank_col, F.row_number().over(w))
+        return df.withColumn(rank_col, F.row_number().over(w).cast("long"))
     keyed = df.withColumn("column_name", F.col(group).cast("string")).withColumn("value", order) \
         .withColumn("n", F.lit(1))
     ranked = running_total(keyed)
-    return ranked.withColumn(rank_col, F.col("cum_after").cast("int")).drop(
+    return ranked.withColumn(rank_col, F.col("cum_after").cast("long")).drop(
         "column_name", "value", "n", "cum_before", "cum_after")

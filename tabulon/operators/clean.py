@@ -492,9 +492,20 @@ def clean(df: DataFrame, target: str = "sales_category", return_report: bool = F
 CODE_LITERAL_LIMIT = 64   # more values are coded by a join
 
 
+def _within_limit(sizes: dict, limit: int | None = None) -> set:
+    """As many keys as fit ``limit`` together, smallest first (sizes are HLL estimates, taken a quarter larger)."""
+    limit, total, chosen = IN_MEMORY_LIMIT if limit is None else limit, 0.0, set()
+    for key, n in sorted(sizes.items(), key=lambda kv: kv[1]):
+        total += n * 1.25
+        if total > limit:
+            break
+        chosen.add(key)
+    return chosen
+
+
 def _fill_and_encode(df: DataFrame, target: str, null_counts: dict[str, int], stats: dict) -> DataFrame:
-    """C-14..C-16 with one statistics job for every column whose HLL estimate
-    is small: medians (``percentile``), modes (``mode``, smallest on ties) and
+    """C-14..C-16 with one statistics job for the columns whose HLL estimates
+    are small together: medians (``percentile``), modes (``mode``, smallest on ties) and
     the sorted value sets for codes (``collect_set``) are computed together,
     and codes become a literal-map projection (no join).  Columns estimated
     large go through the distributed quantile / mode / code paths instead."""
@@ -505,8 +516,10 @@ def _fill_and_encode(df: DataFrame, target: str, null_counts: dict[str, int], st
     texts = [f.name for f in df.schema.fields if is_string(f.dataType)]
     text_holes = [c for c in texts if null_counts.get(c, 0) > 0]
     codes = [c for c in texts if c != target]
-    big_num = [c for c in nums if est(c) * 1.25 > IN_MEMORY_LIMIT]
-    big_mode = [c for c in text_holes if est(c) * 1.25 > IN_MEMORY_LIMIT]
+    # the value maps of all these columns meet in one task: their sizes count together
+    together = _within_limit({("num", c): est(c) for c in nums} | {("mode", c): est(c) for c in text_holes})
+    big_num = [c for c in nums if ("num", c) not in together]
+    big_mode = [c for c in text_holes if ("mode", c) not in together]
     big_code = [c for c in codes if est(c) * 1.25 > CODE_LITERAL_LIMIT]
     aggs = []
     for i, c in enumerate(nums):

@@ -158,6 +158,15 @@ def f06_available_analyses(spark, sf_dir):
 
 
 QUERIES["f06_available_analyses"] = f06_available_analyses
+SQL["f06_available_analyses"] = """
+WITH nums(k, value) AS (VALUES (1, 'o_orderkey'), (2, 'o_custkey'), (3, 'o_totalprice')),
+opts AS (
+  SELECT k AS place, 'forecast' AS kind, value, 'o_orderdate' AS date_column FROM nums
+  UNION ALL SELECT 4, 'classify', 'o_orderstatus', NULL WHERE EXISTS (SELECT 1 FROM orders)
+  UNION ALL SELECT 4 + k, 'regress', value, NULL FROM nums
+  UNION ALL SELECT 8, 'custom', NULL, NULL)
+SELECT CAST(row_number() OVER (ORDER BY place) AS INTEGER) AS rank, kind, value, date_column FROM opts
+"""
 
 
 def f04_projected_change(spark, sf_dir):

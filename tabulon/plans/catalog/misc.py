@@ -194,7 +194,23 @@ def r07_why_from_prompts(spark, sf_dir):
                             _importances(spark, sf_dir), cpt, LI_NUMERIC)
 
 
+def _why_from_prompts_sql():
+    from tabulon.plans.catalog.reasoning import _IMP_SQL, _abduce_sql, _conditions_values, _cpt_sql, _explain_sql
+    classes, keys = ("A", "N", "R"), ", ".join(PKEYS)
+    one = [with_sql(_IMP_SQL, _conditions_values(), _abduce_sql(c), _cpt_sql(), _explain_sql(c, 3), body=f"""
+SELECT '{c}' AS observed, 'rules' AS source, rank, feature, direction AS detail, importance AS score FROM causes
+UNION ALL
+SELECT '{c}', 'bayes', rank, feature, feature_value_range, posterior_score FROM hints""") for c in classes]
+    named = " ".join(f"WHEN contains(lower(text), '{c.lower()}') THEN '{c}'" for c in classes)
+    return with_sql(_PROMPTS_SQL, f"""
+asks AS (SELECT {keys}, CASE {named} ELSE '{classes[-1]}' END AS observed
+         FROM ({_intent_sql('prompts', keys)}) WHERE intent = 'why')""", f"""
+explained AS ({' UNION ALL '.join(f'(SELECT * FROM ({sql}))' for sql in one)})""",
+                    body="SELECT * FROM asks JOIN explained USING (observed)")
+
+
 QUERIES["r07_why_from_prompts"] = r07_why_from_prompts
+SQL["r07_why_from_prompts"] = _why_from_prompts_sql()
 
 
 # --- set operations --------------------------------------------------------------

@@ -6,6 +6,8 @@ from difflib import get_close_matches
 import pytest
 from pyspark.sql import functions as F
 
+from tabulon.functions import ordering
+from tabulon.operators import clean as cl
 from tabulon.operators import profile as pr
 from tabulon.operators import prompts as pm
 
@@ -57,3 +59,22 @@ def test_first_values_of_an_empty_table(spark):
     assert pr.first_values(df, ["k"], 3).count() == 0
     meta = {r["column_name"]: r["examples"] for r in pr.column_metadata(df, ["k"]).collect()}
     assert meta == {"k": None, "v": None}
+
+
+def test_value_maps_are_bounded_together(spark, monkeypatch):
+    assert cl._within_limit({"a": 50, "b": 10, "c": 90}, 100) == {"a", "b"}
+    assert cl._within_limit({}, 100) == set() and cl._within_limit({"a": 1000}, 100) == set()
+    rng = random.Random(9)
+    rows = [(i, *(None if rng.random() < 0.2 else float(rng.randint(0, 40 * (c + 1))) for c in range(4)),
+             *(None if rng.random() < 0.2 else f"t{rng.randint(0, 30 * (c + 1))}" for c in range(2))) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, d double, s string, t string")
+    want = sorted(map(tuple, cl.clean(df, target="a").collect()), key=repr)
+    monkeypatch.setattr(cl, "IN_MEMORY_LIMIT", 120)   # some columns fit together, none fits with all others
+    assert sorted(map(tuple, cl.clean(df, target="a").collect()), key=repr) == want
+
+
+def test_ranks_are_long_on_both_paths(spark):
+    df = spark.range(50).withColumn("g", F.col("id") % 2)
+    for limit in (1, 1000):
+        ranked = ordering.rank_within(df, "g", F.col("id"), window_limit=limit)
+        assert dict(ranked.dtypes)["rank"] == "bigint" and ranked.agg(F.max("rank")).first()[0] == 25
