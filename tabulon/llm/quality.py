@@ -22,7 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm.calibration import fit_logistic, logistic
@@ -83,6 +83,23 @@ def features(docs: DataFrame, dictionaries: tuple[bytes, bytes], keep: list[str]
     return rows.mapInArrow(run, rows.drop("_text").schema.add("_x", "double").add("_r", "double"))
 
 
+def first_texts(rows: DataFrame, order: Column, id_col: str, text_col: str, k: int, n: int) -> list[bytes]:
+    """The texts of the first ``k`` of ``n`` rows by ``order``, a hash.
+
+    Every partition would send its first k texts to the driver.  The first k rows lie under a
+    bound of the hash that about 2k rows meet, so only these are sent, whatever the partitions;
+    where fewer than k rows meet it (repeated ids), the rows are taken without it.
+    """
+    share = min(1.0, 2 * k / max(n, 1))
+    bounds = [order <= F.lit(int(-2 ** 63 + share * 2 ** 64))] if share < 1 else []
+    for bound in [*bounds, F.lit(True)]:
+        texts = [r["t"].encode("utf-8") for r in rows.where(bound).orderBy(order, id_col).limit(k)
+                 .select(F.col(text_col).alias("t")).collect()]
+        if len(texts) == min(k, n):
+            break
+    return texts
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   label_col: str = "quality", sample: int = SAMPLE) -> DataFrame:
     """One row per document: id, held_out, score, predicted, difference."""
@@ -93,12 +110,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     learnable = docs.select(id_col, text_col).where(~held_out(id_col, 4, 2)) \
         .join(broadcast_if(known, labels.count()), id_col)
     part = F.pmod(order, F.lit(2)) == 0
-    dictionaries = []
-    for c in (0, 1):
-        size = F.octet_length(text_col)
-        rows = learnable.where(part & (F.col("_label") == c) & size.between(8, SAMPLE_BYTES)) \
-            .orderBy(order, id_col).limit(sample).select(F.col(text_col).alias("t")).collect()
-        dictionaries.append(train_dictionary([r["t"].encode("utf-8") for r in rows]))
+    fits = learnable.where(part & F.octet_length(text_col).between(8, SAMPLE_BYTES))
+    sizes = {r["_label"]: r["n"] for r in fits.where(F.col("_label").isin(0, 1)).groupBy("_label")
+             .agg(F.count(F.lit(1)).alias("n")).collect()}
+    dictionaries = [train_dictionary(first_texts(fits.where(F.col("_label") == c), order, id_col, text_col, sample,
+                                                 sizes.get(c, 0))) for c in (0, 1)]
     pair = (dictionaries[0], dictionaries[1])
     checked = features(learnable.where(~part), pair, ["_label"], text_col)
     beta = fit_logistic(checked, ["_x", "_r"], "_label", [0.05, 0.05],

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tabulon.llm import itq, quality, toxicity
 
@@ -98,3 +99,15 @@ def test_left_neighbours_are_counted_exactly_in_both_classes(spark):
     pairs = toxicity.count_pairs(spark.createDataFrame(rows, "text string, toxic int"), "toxic", "text")
     got = {bytes(r["x"]): (r["c_1"], r["c_0"]) for r in toxicity.continuations(pairs).collect()}
     assert got[b"0 common"] == got[b"4 comm"] == (500, 5000) and got[b"0 left1"] == (2, 0)
+
+
+def test_first_texts_are_the_first_by_hash(spark):
+    order = F.xxhash64(F.col("doc_id").cast("string"))
+    docs = spark.range(5000).selectExpr("id as doc_id", "concat('text ', id) as text").repartition(40)
+    want = [r["text"].encode() for r in docs.orderBy(order, "doc_id").limit(60).collect()]
+    assert quality.first_texts(docs, order, "doc_id", "text", 60, 5000) == want
+    assert len(quality.first_texts(docs, order, "doc_id", "text", 9000, 5000)) == 5000
+    # one id on all rows lies above the bound: taken without it
+    same = spark.range(5000).selectExpr("0L as doc_id", "'copy' as text")
+    assert quality.first_texts(same, order, "doc_id", "text", 60, 5000) == [b"copy"] * 60
+    assert quality.first_texts(docs.limit(0), order, "doc_id", "text", 60, 0) == []
