@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from tabulon.functions.columns import WHITESPACE, WS_CLASS, col, string_columns
 from tabulon.functions.columns import strip_ws as _strip
+from tabulon.session import bound_batches
 
 # Token pattern (runs of 2+ letters, digits or underscores) and
 # the splitter of S-04 (blank line, or whitespace after . ! ?).
@@ -37,7 +38,7 @@ EMPTY_TEXT_CHUNK = "No readable text was provided."
 
 SNIPPET = 420          # characters of a match that search returns
 FLUSH_TERMS = 500_000  # different terms a task counts before it hands them on
-SHARD_DOCS = 4096      # documents whose postings make one row of the search index
+SHARD_DOCS = 4096      # documents whose postings make one row of the search index, at most (and of one Arrow batch)
 QUERY_BLOCK = 512      # queries scored together in a task
 QUERIES_PER_PASS = 100_000   # queries broadcast together
 
@@ -160,6 +161,7 @@ def words_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 [batch.column(0), pa.array([" ".join(words(t)) for t in texts], pa.string()),
                  pa.array([(t or "")[:SNIPPET] for t in texts], pa.string())], names=[id_col, "words", "snippet"])
 
+    bound_batches(docs.sparkSession)   # for all that follows: the words, the postings, the index
     pairs = spread(docs.select(col(id_col), col(text_col).alias("_text")))
     schema = pairs.select(col(id_col)).schema.add("words", "string").add("snippet", "string")
     return pairs.mapInArrow(run, schema).checkpoint()
