@@ -45,7 +45,8 @@ DISCOUNT = 0.75
 #: mostly such pairs, keeps nothing; one that no class keeps anything of is not stored.
 PAIR_DISCOUNT = (0.75, 1.0)
 WINDOW = 3            # words
-CHUNK_WORDS = 2_000_000
+CHUNK_WORDS = 2_000_000   # counted together
+SCORED_WORDS = 300_000    # scored together: arrays and keys of a whole batch took too much beside the model
 BROADCAST_NGRAMS = 16_000_000   # of 16 bytes
 PIECE = 2_000_000     # of them reach the driver at a time
 CALIBRATION = 5       # one learnable row in so many calibrates, the others are counted
@@ -60,15 +61,15 @@ class _Ids(dict):
         return n
 
 
-def _chunks(texts):
-    """Runs of texts with about ``CHUNK_WORDS`` words: (index of the first text, words as numbers
+def _chunks(texts, most: int = CHUNK_WORDS):
+    """Runs of texts with about ``most`` words: (index of the first text, words as numbers
     per text, the words by number).  Number 0 is the empty word."""
     ids, rows, first, size = _Ids({b"": 0}), [], 0, 0
     for raw in texts:
         words = words_of(raw)
         rows.append(np.fromiter(map(ids.__getitem__, words), dtype=np.int64, count=len(words)))
         size += len(words)
-        if size >= CHUNK_WORDS:
+        if size >= most:
             yield first, rows, list(ids)
             first += len(rows)
             ids, rows, size = _Ids({b"": 0}), [], 0
@@ -274,7 +275,7 @@ def differences(docs: DataFrame, model: KneserNey, keep: list[str], text_col: st
 
         for batch in batches:
             x = []
-            for _, texts, words in _chunks(utf8_values(batch.column(len(keep)))):
+            for _, texts, words in _chunks(utf8_values(batch.column(len(keep))), SCORED_WORDS):
                 owner, left, word, at = _unique_pairs(texts)
                 d = _differences(Keys(words), left, word, find, share, running)[at]
                 x += map(_window, np.split(d, np.searchsorted(owner, np.arange(1, len(texts)))))
