@@ -112,6 +112,26 @@ def test_shap_importance_over_all_rows(spark, monkeypatch):
     assert sh.shap_importance(forest, data.limit(0), FEATS).collect() == []
 
 
+def test_shap_explains_every_cell_once(spark):
+    """Rows between the same cuts are explained together, with nulls and infinities."""
+    from tabulon.operators import shap as sh
+
+    data = _data(spark)
+    forest = md.train_forest(data, "tier", FEATS, n_trees=3, max_depth=4)
+    odd = data.withColumn("l_tax", F.when(F.col("l_linenumber") == 2, F.lit(None)).when(
+        F.col("l_linenumber") == 3, F.lit(float("-inf"))).when(F.col("l_linenumber") == 4, F.lit(float("nan")))
+        .otherwise(F.col("l_tax"))).withColumn("rk", F.monotonically_increasing_id())
+    shared = spark.sparkContext.broadcast(sh._forest(forest, len(FEATS)))
+    names = [f"_f{i}" for i in range(len(FEATS))]
+    found = sh.cells(odd.select(*[F.col(f).alias(n) for f, n in zip(FEATS, names)]), shared, names)
+    counted = found.agg(F.sum("n"), F.count("n")).first()
+    assert counted[0] == odd.count() and counted[1] < counted[0] / 5
+    want = {r["feature"]: r["m"] for r in sh.shap_values(forest, odd, FEATS, "rk").groupBy("feature").agg(
+        F.avg(F.abs("shap")).alias("m")).collect()}
+    got = {r["feature"]: r["shap"] for r in sh.shap_importance(forest, odd, FEATS).collect()}
+    assert all(abs(got[f] - want[f]) < 1e-9 for f in FEATS)
+
+
 def test_few_distinct_stops_at_the_limit(spark):
     rows = [(None if i % 9 == 0 else i % 4, f"v{i}", -0.0 if i % 2 else 0.0, None, "a") for i in range(3000)]
     df = spark.createDataFrame(rows, "a int, b string, c double, d string, e string").repartition(5)
