@@ -37,7 +37,9 @@ SPLIT_PATTERN = r"\n" + WS_CLASS + r"*\n|(?<=[.!?])" + WS_CLASS + "+"
 EMPTY_TEXT_CHUNK = "No readable text was provided."
 
 SNIPPET = 420          # characters of a match that search returns
-FLUSH_TERMS = 500_000  # different terms a task counts before it hands them on
+FLUSH_TERMS = 200_000  # different terms a task counts before it hands them on
+NAMED_TERMS = 50_000   # of them, those handed on together
+SLICE_BYTES = 1 << 20  # words that a task numbers together, at most (a longer text goes alone)
 SHARD_DOCS = 4096      # documents whose postings make one row of the search index, at most (and of one Arrow batch)
 QUERY_BLOCK = 512      # queries scored together in a task
 QUERIES_PER_PASS = 100_000   # queries broadcast together
@@ -167,6 +169,34 @@ def words_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return pairs.mapInArrow(run, schema).checkpoint()
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most ``SLICE_BYTES`` (or of one row)."""
+    def size(a, n):
+        return batch.slice(a, n).nbytes
+
+    a = 0
+    while a < batch.num_rows:
+        n = min(batch.num_rows - a, max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes)))
+        while n > 1 and size(a, n) > SLICE_BYTES:
+            n //= 2
+        yield batch.slice(a, n)
+        a += n
+
+
+def _numbered(texts: list[str | None], number) -> tuple[np.ndarray, np.ndarray]:
+    """The number of every word of all texts in a row, and the text of each; the words of one text exist at a time."""
+    lengths = []
+
+    def each():
+        for t in texts:
+            words = (t or "").split()
+            lengths.append(len(words))
+            yield from map(number, words)
+
+    flat = np.fromiter(each(), np.int64)
+    return flat, np.repeat(np.arange(len(lengths)), lengths)
+
+
 class Numbers:
     """Words numbered as they come; a term of n words is their numbers as one (n) column."""
 
@@ -176,9 +206,7 @@ class Numbers:
     def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers of all texts in a row, and the text of each."""
         of = self.of
-        lists = [(t or "").split() for t in texts]
-        flat = np.fromiter((of.setdefault(w, len(of)) for ws in lists for w in ws), np.int64)
-        return flat, np.repeat(np.arange(len(lists)), [len(ws) for ws in lists])
+        return _numbered(texts, lambda w: of.setdefault(w, len(of)))
 
 
 def _grams(flat: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -213,8 +241,8 @@ def vocabulary_of(words: DataFrame, max_terms: int = 4000, ngram: int = 2) -> Da
         numbers = Numbers()
         held = {n: [] for n in range(1, ngram + 1)}
         size = 0
-        for batch in batches:
-            flat, text = numbers.batch(batch.column(0).to_pylist())
+        for part in (part for batch in batches for part in slices(batch)):
+            flat, text = numbers.batch(part.column(0).to_pylist())
             for n, parts in held.items():
                 grams, where = _grams(flat, text, n)
                 (*term, _), tf = _counted(*grams.T, where)      # once per text
@@ -259,10 +287,11 @@ def _named(held, numbers: Numbers) -> Iterator[pa.RecordBatch]:
     for parts in held.values():
         if parts:
             term, df, cf = _merged(parts)
-            text = [" ".join(names[i] for i in t) for t in zip(*[c.tolist() for c in term], strict=True)] \
-                if len(term) > 1 else [names[i] for i in term[0].tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), pa.array(cf, pa.int64()),
-                                              pa.array(df, pa.int64())], names=["term", "cf", "df"])
+            for a in range(0, len(df), NAMED_TERMS):
+                own = slice(a, a + NAMED_TERMS)
+                text = [" ".join(names[i] for i in t) for t in zip(*[c[own].tolist() for c in term], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), pa.array(cf[own], pa.int64()),
+                                                  pa.array(df[own], pa.int64())], names=["term", "cf", "df"])
 
 
 class Weigher:
@@ -292,9 +321,7 @@ class Weigher:
         """(text, term, tf, weight) of the vocabulary terms, by text and term; weights (tf * idf) are
         L2-normalised over the text."""
         get = self.number.get
-        lists = [(t or "").split() for t in texts]
-        flat = np.fromiter((get(w, -1) for ws in lists for w in ws), np.int64)
-        text = np.repeat(np.arange(len(lists)), [len(ws) for ws in lists])
+        flat, text = _numbered(texts, lambda w: get(w, -1))
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         for n, (codes, places) in self.codes.items():
             grams, where = _grams(flat, text, n)
@@ -304,7 +331,7 @@ class Weigher:
             found.append((where[known], places[at[known]]))
         (text, term), tf = _counted(*[np.concatenate(c) for c in zip(*found, strict=True)])
         weight = tf * self.idf[term] if len(term) else np.zeros(0)
-        norm = np.sqrt(np.bincount(text, weight * weight, minlength=len(lists)))
+        norm = np.sqrt(np.bincount(text, weight * weight, minlength=len(texts)))
         return text, term, tf, weight / norm[text]
 
 
@@ -324,10 +351,10 @@ def _postings(words: DataFrame, id_col: str, vocab: DataFrame) -> DataFrame:
     def run(batches):
         weigher = shared.value
         names = pa.array(weigher.terms, pa.string())
-        for batch in batches:
-            text, term, tf, weight = weigher.weigh(batch.column(1).to_pylist())
+        for part in (part for batch in batches for part in slices(batch)):
+            text, term, tf, weight = weigher.weigh(part.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(text)), names.take(pa.array(term)), pa.array(tf, pa.int64()),
+                [part.column(0).take(pa.array(text)), names.take(pa.array(term)), pa.array(tf, pa.int64()),
                  pa.array(weight)], names=[id_col, "term", "tf", "weight"])
 
     schema = words.select(col(id_col)).schema.add("term", "string").add("tf", "long").add("weight", "double")
