@@ -51,4 +51,4 @@ def test_counting_a_batch_holds_no_words_of_all_its_texts():
     flat, text = tx.Numbers().batch(texts)
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert len(flat) == len(text) == 500_000 and peak < 25e6   # as lists of words: over 40 MB
+    assert len(flat) == len(text) == 500_000 and peak < 25e6   # as lists of words: 37 MB
