@@ -10,9 +10,10 @@ weakest first; a row's leading chunks are left out of the index while the norm
 over them, times the anchor's norm, stays under the threshold: no pair reaches
 it through them alone.  Scores are accumulated over the indexed chunks, pairs
 are pruned by what the norms over the chunks left out can still add, and the
-rest is scored exactly.  Then the threshold is lowered, the index grows by the
-chunks that are no longer covered, and so on until every window of the block
-is filled or the threshold is under what the window already holds elsewhere.
+rest is scored exactly.  An anchor whose windows have an end (their lowest score,
+or what they already hold) asks for it at once; for the others the threshold is
+lowered, the index grows by the chunks that are no longer covered, and so on
+until every window of the block is filled.
 
 Anchors come in groups of at most ``ANCHOR_BYTES`` (a stated query set against
 all rows, in blocks); a group is broadcast, and so are the scores that the
@@ -52,6 +53,7 @@ ANCHOR_BLOCK, ROW_BLOCK = 512, 2048
 CHUNKS = 8                       # of dimensions
 LADDER = (0.9, 0.75, 0.6, 0.45, 0.3, 0.15, -np.inf)   # thresholds, as shares of the largest possible score
 SLACK = 1 + 1e-9                 # over the rounding of the norms
+PAIRS = 200_000                  # put into windows at a time
 EXACT = 2.0 ** 53                # integers that doubles hold
 
 
@@ -155,8 +157,8 @@ class Block:
         self.q_norm, self.x_norm = self._norms(self.q), self._norms(self.x)   # over the first c chunks
         n = len(self.cuts) - 1
         self.left_out = np.full(len(x), n)
-        self.partial = np.zeros((len(q), len(x)))
-        self.seen = np.zeros((len(q), len(x)), dtype=bool)
+        self.partial = np.zeros((len(x), len(q)))   # by row, as rows leave out chunks
+        self.seen = np.zeros((len(x), len(q)), dtype=bool)
 
     def _norms(self, m: np.ndarray) -> np.ndarray:
         squares = np.add.reduceat(np.pad(m * m, ((0, 0), (0, 1))), self.cuts, axis=1)[:, :-1] if m.shape[1] \
@@ -167,20 +169,23 @@ class Block:
         """Indexes the chunks that norms no longer cover when scores reach ``share`` of an anchor's norm."""
         covered = (self.x_norm < share).sum(axis=1) - 1 if share > 0 else np.zeros(len(self.x), dtype=int)
         covered = np.clip(covered, 0, self.left_out)
-        for c in reversed(range(len(self.cuts) - 1)):
-            rows = np.flatnonzero((covered <= c) & (self.left_out > c))
-            if len(rows):
-                part = slice(self.cuts[c], self.cuts[c + 1])
-                self.partial[:, rows] += self.q[:, part] @ self.x[rows, part].T
+        steps = np.stack([covered, self.left_out], axis=1)
+        for new, old in np.unique(steps[covered < self.left_out], axis=0):   # rows that add the same chunks
+            rows = np.flatnonzero((covered == new) & (self.left_out == old))
+            part = slice(self.cuts[new], self.cuts[old])
+            self.partial[rows] += self.x[rows, part] @ self.q[:, part].T
         self.left_out = covered
 
     def reach(self, limit: np.ndarray, fit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """New pairs (anchor, row, exact score) of those that ``fit`` whose score may reach the anchor's limit."""
-        rest = self.q_norm[:, self.left_out] * self.x_norm[np.arange(len(self.x)), self.left_out]
-        a, r = np.nonzero((self.partial + rest >= limit[:, None]) & fit & ~self.seen)
-        self.seen[a, r] = True
+        """New pairs (anchor, row, exact score) of those that ``fit`` (by row) whose score may reach the anchor's
+        limit."""
+        most = self.q_norm.T[self.left_out]
+        most *= self.x_norm[np.arange(len(self.x)), self.left_out][:, None]
+        most += self.partial
+        r, a = np.nonzero((most >= limit) & fit & ~self.seen)
+        self.seen[r, a] = True
         # what the index left out, by chunk: the rows of a chunk are those that still miss it
-        score = self.partial[a, r].copy()
+        score = self.partial[r, a]
         for c in range(len(self.cuts) - 1):
             at = np.flatnonzero(self.left_out[r] > c)
             if len(at):
@@ -206,11 +211,11 @@ def match(anchors: Rows, windows: Windows, rows: Rows, found: Found, same: bool)
         if not len(own):
             continue
         part = slice(start, min(start + ANCHOR_BLOCK, len(anchors)))
-        fit = (anchors.label[part, None] == rows.label[None, :]) == same
-        fit &= anchors.row[part, None] != rows.row[None, :]
+        fit = (rows.label[:, None] == anchors.label[None, part]) == same
+        fit &= rows.row[:, None] != anchors.row[None, part]
         if largest >= EXACT:
             scores = _exactly(q_all[part], x_all)
-            a, r = np.nonzero(fit)
+            a, r = np.nonzero(fit.T)
             _take(found, windows, own, start, a, r, scores[a, r], rows)
             continue
         block = Block(q_all[part], x_all)
@@ -220,8 +225,8 @@ def match(anchors: Rows, windows: Windows, rows: Rows, found: Found, same: bool)
             share = rung * top
             goal = np.full(len(q_norm), np.inf)    # a window asks for nothing under its end or what it holds
             np.minimum.at(goal, windows.anchor[open_] - start, np.maximum(windows.low[open_], found.floor[open_]))
-            limit = np.where(np.isinf(goal) & (goal > 0), np.inf,
-                             np.maximum(share * q_norm if np.isfinite(share) else -np.inf, goal))
+            # an anchor whose windows all have an end asks for it at once: the ladder is for those that have none
+            limit = np.where(np.isinf(goal) & (goal < 0) & np.isfinite(share), share * q_norm, goal)
             asked = np.isfinite(limit) | (limit == -np.inf)
             if not asked.any():
                 break
@@ -229,7 +234,8 @@ def match(anchors: Rows, windows: Windows, rows: Rows, found: Found, same: bool)
             block.lower(float(np.min(np.where(asked & (q_norm > 0), limit / norms, np.inf), initial=np.inf))
                         if (q_norm[asked] > 0).any() else -np.inf)
             a, r, score = block.reach(limit, fit)
-            _take(found, windows, own, start, a, r, score, rows)
+            for p in range(0, len(a), PAIRS):   # what a part fills raises the ends for the next
+                _take(found, windows, own, start, a[p:p + PAIRS], r[p:p + PAIRS], score[p:p + PAIRS], rows)
             # full windows, and those whose end has been reached, are settled for this block
             end = np.maximum(windows.low[open_], found.floor[open_])
             open_ = open_[limit[windows.anchor[open_] - start] > end]
