@@ -177,12 +177,12 @@ class Block:
         self.left_out = covered
 
     def reach(self, limit: np.ndarray, fit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """New pairs (anchor, row, exact score) of those that ``fit`` (by row) whose score may reach the anchor's
+        """New pairs (anchor, row, exact score) of those that ``fit`` (by anchor) whose score may reach the anchor's
         limit."""
         most = self.q_norm.T[self.left_out]
         most *= self.x_norm[np.arange(len(self.x)), self.left_out][:, None]
         most += self.partial
-        r, a = np.nonzero((most >= limit) & fit & ~self.seen)
+        r, a = np.nonzero((most >= limit) & fit.T & ~self.seen)
         self.seen[r, a] = True
         # what the index left out, by chunk: the rows of a chunk are those that still miss it
         score = self.partial[r, a]
@@ -233,7 +233,7 @@ def match(anchors: Rows, windows: Windows, rows: Rows, found: Found, same: bool)
             norms = np.where(q_norm > 0, q_norm, 1.0)
             block.lower(float(np.min(np.where(asked & (q_norm > 0), limit / norms, np.inf), initial=np.inf))
                         if (q_norm[asked] > 0).any() else -np.inf)
-            a, r, score = block.reach(limit, fit)
+            a, r, score = block.reach(limit, fit.T)
             for p in range(0, len(a), PAIRS):   # what a part fills raises the ends for the next
                 _take(found, windows, own, start, a[p:p + PAIRS], r[p:p + PAIRS], score[p:p + PAIRS], rows)
             # full windows, and those whose end has been reached, are settled for this block
