@@ -16,8 +16,11 @@ of the two log-likelihoods, each word given the one before it, of the most
 toxic window, so a long text does not dilute what it says.  A logistic fit on
 labelled rows kept out of the counts turns the difference into a score.
 
-The model is broadcast while its counted rows stay under ``BROADCAST_NGRAMS``;
-a larger one is joined to the n-grams of the texts, with the same results.
+The model is broadcast in pieces.  Up to ``BROADCAST_NGRAMS`` rows a task holds
+them all; of a larger one it loads a piece at a time and looks up there what
+its texts ask for, about ``STREAMED_BYTES`` of them together, so that no n-gram
+of the texts is shuffled; one beyond ``STREAMED_NGRAMS`` is joined to them.
+The results are the same.
 Lookups go by 64-bit hashes of the n-grams, counts by the n-grams themselves.
 
 Defined results: null and empty texts have difference 0; rows without a label
@@ -47,7 +50,9 @@ PAIR_DISCOUNT = (0.75, 1.0)
 WINDOW = 3            # words
 CHUNK_WORDS = 2_000_000   # counted together
 SCORED_WORDS = 300_000    # scored together: arrays and keys of a whole batch took too much beside the model
-BROADCAST_NGRAMS = 16_000_000   # of 16 bytes
+BROADCAST_NGRAMS = 16_000_000   # of 10 to 16 bytes
+STREAMED_NGRAMS = 1_000_000_000   # on the disks of the executors
+STREAMED_BYTES = 16 << 20       # of text for which the pieces are loaded once; some 11 bytes in a task for each
 PIECE = 2_000_000     # of them reach the driver at a time
 CALIBRATION = 5       # one learnable row in so many calibrates, the others are counted
 THRESHOLD = 0.7
@@ -173,15 +178,20 @@ class KneserNey:
         self._pieces: list = []
 
     def pieces(self) -> list:
-        """Broadcast (key, t, o) sorted by key, one for every value of the key's first ``bits`` bits."""
+        """Broadcast (key, t, o, which t and o) sorted by key, one for every value of the key's first ``bits`` bits."""
         if not self._pieces:
             spark = self.table.sparkSession
             first = F.shiftrightunsigned("key", 64 - self.bits) if self.bits else F.lit(0).cast("long")
             for i in range(1 << self.bits):
                 local = self.table.where(first == i).toArrow()
-                order = np.argsort(local.column("key").to_numpy())
+                key, t, o = (local.column(c).to_numpy() for c in ("key", "t", "o"))
+                order = np.argsort(key)
+                # few pairs of counts stand for most keys
+                both = (t.view(np.uint32).astype(np.uint64) << np.uint64(32)) | o.view(np.uint32)
+                pairs, which = np.unique(both[order], return_inverse=True)
                 self._pieces.append(spark.sparkContext.broadcast(
-                    tuple(local.column(c).to_numpy()[order] for c in ("key", "t", "o"))))
+                    (key[order], (pairs >> np.uint64(32)).astype(np.uint32).view(np.float32),
+                     pairs.astype(np.uint32).view(np.float32), which.astype(np.min_scalar_type(len(pairs))))))
         return self._pieces
 
 
@@ -191,16 +201,20 @@ def _logit(q):
 
 def _differences(keys: Keys, left: np.ndarray, word: np.ndarray, find, share: float, running: float) -> np.ndarray:
     """log P(word | left, toxic) - log P(word | left, ordinary) of every pair."""
-    def back(key, q):
-        t, o = find(key)
+    asked = [*keys.levels, keys.context, keys.pair(left, word)]
+    ends = np.cumsum([len(k) for k in asked])[:-1]
+    found = iter(zip(*(np.split(c, ends) for c in find(np.concatenate(asked))), strict=True))
+
+    def back(q):
+        t, o = next(found)
         return (t + SHARED * q) / (t + o + SHARED)
 
     q = np.full(len(keys.context), share)
-    for level in keys.levels:
-        q = back(level, q)
-    context = _logit(back(keys.context, np.full(len(q), running)))[left]
+    for _ in keys.levels:
+        q = back(q)
+    context = _logit(back(np.full(len(q), running)))[left]
     alone = _logit(q)[word] - _logit(share)
-    return _logit(back(keys.pair(left, word), 1 / (1 + np.exp(-context - alone)))) - context
+    return _logit(back(1 / (1 + np.exp(-context - alone)))) - context
 
 
 def _window(d: np.ndarray) -> float:
@@ -211,13 +225,14 @@ def _window(d: np.ndarray) -> float:
     return float((run[w:] - run[:-w]).max() / w)
 
 
-def _finder(key: np.ndarray, t: np.ndarray, o: np.ndarray):
+def _finder(key: np.ndarray, t: np.ndarray, o: np.ndarray, which: np.ndarray | None = None):
     """Lookup in arrays sorted by key: counts, 0 for what is not there."""
     def find(wanted):
         if not len(key):
             return np.zeros(len(wanted)), np.zeros(len(wanted))
         at = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
         there = key[at] == wanted
+        at = at if which is None else which[at]
         return np.where(there, t[at], 0.0).astype(np.float64), np.where(there, o[at], 0.0).astype(np.float64)
 
     return find
@@ -244,7 +259,8 @@ def fit(labelled: DataFrame, label_col: str, text_col: str) -> KneserNey:
             for n, a, d in zip(("n_1", "n_0"), ("t", "o"), PAIR_DISCOUNT, strict=True)]
     others = pairs.select(F.when(alone, context).otherwise(both).alias("key"), *left,
                           F.when(alone, 1).otherwise(2).alias("kind")).where((F.col("t") > 0) | (F.col("o") > 0))
-    table = written(words.unionByName(others))
+    # the shuffles of the counts are most of the disk that the operator takes
+    table = written(words.unionByName(others), drop_shuffles=True)
     sums = {r["kind"]: (r["t"] + 1.0, r["o"] + 1.0) for r in table.groupBy("kind").agg(
         F.sum("t").alias("t"), F.sum("o").alias("o")).collect()}
     # kept off the ends when a class is missing
@@ -252,34 +268,57 @@ def fit(labelled: DataFrame, label_col: str, text_col: str) -> KneserNey:
     return KneserNey(table.drop("kind"), *shares)
 
 
+def _loaded(piece):
+    """A broadcast's value, which the worker does not keep: asked again, it is read from the executor's disk again."""
+    value = piece.value
+    piece.__dict__.pop("_value", None)
+    return value
+
+
+def _together(batches, most: int):
+    """Batches joined to tables of about ``most`` bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def differences(docs: DataFrame, model: KneserNey, keep: list[str], text_col: str,
-                limit: int = BROADCAST_NGRAMS) -> DataFrame:
+                limit: int = BROADCAST_NGRAMS, streamed: int = STREAMED_NGRAMS) -> DataFrame:
     """``keep`` columns and _x, the most toxic window's length-normalised difference."""
     rows = docs.select(*keep, F.col(text_col).alias("_text"))
     share, running = model.share, model.running
     out = rows.drop("_text").schema.add("_x", "double")
-    if model.rows > limit:
+    if model.rows > max(limit, streamed):
         return _joined(rows, model, keep, out)
-    pieces, bits = model.pieces(), model.bits
+    pieces, bits, resident = model.pieces(), model.bits, model.rows <= limit
+    # a chunk of a large model's texts is all that is held: every chunk loads every piece
+    most, words_together = (0, SCORED_WORDS) if resident else (STREAMED_BYTES, STREAMED_BYTES)
 
     def run(batches):
-        finders = [_finder(*p.value) for p in pieces]
+        finders = [_finder(*p.value) for p in pieces] if resident else []
 
         def find(wanted):
             part = wanted.view(np.uint64) >> np.uint64(64 - bits) if bits else np.zeros(len(wanted), dtype=np.uint64)
             t, o = np.zeros(len(wanted)), np.zeros(len(wanted))
-            for i, f in enumerate(finders):
+            for i, piece in enumerate(pieces):
                 here = part == i
-                t[here], o[here] = f(wanted[here])
+                t[here], o[here] = (finders[i] if resident else _finder(*_loaded(piece)))(wanted[here])
             return t, o
 
-        for batch in batches:
+        for table in _together(batches, most):
             x = []
-            for _, texts, words in _chunks(utf8_values(batch.column(len(keep))), SCORED_WORDS):
+            for _, texts, words in _chunks(utf8_values(table.column(len(keep)).combine_chunks()), words_together):
                 owner, left, word, at = _unique_pairs(texts)
                 d = _differences(Keys(words), left, word, find, share, running)[at]
                 x += map(_window, np.split(d, np.searchsorted(owner, np.arange(1, len(texts)))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(x, pa.float64())], names=[*keep, "_x"])
+            columns = [c.combine_chunks() for c in table.columns[:-1]]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(x, pa.float64())], names=[*keep, "_x"])
 
     return rows.mapInArrow(run, out)
 
